@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard_join, language_id, packing, quality_trees, robust_outliers, token_counts
+from . import chat_snapshots, decontamination, jaccard_join, language_id, license_rules, masked_lm, packing, quality_trees, robust_outliers, token_counts
 from .common import fold, table
 
 
@@ -15,10 +15,23 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_rules.recognised(table(spark, sf_dir, "documents"))
+
+
+def op3_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return masked_lm.scored(docs, masked_lm.learn(docs))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.with_sums(token_counts.length_histogram(table(spark, sf_dir, "documents")))
 
 
+def op5_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_snapshots.rendered(table(spark, sf_dir, "conversations"))
+
+
 def op6_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_trees.scored(docs, quality_trees.learn(docs, table(spark, sf_dir, "labels")))
@@ -44,7 +57,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op4_token_counts, op6_quality_trees, op7_robust_outliers, op8_packing, op9_jaccard_join, op10_language_id)}
+    return {f.__name__: f for f in (op1_decontamination, op2_license_rules, op3_masked_lm, op4_token_counts, op5_chat_snapshots, op6_quality_trees, op7_robust_outliers, op8_packing, op9_jaccard_join, op10_language_id)}
 
 
 #: Shingle sets, all links by brute force, and the smallest id reachable.
@@ -53,7 +66,7 @@ WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
 ), s AS (
   SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
-    ELSE list_transform(range(1, len(ws) - 3), i -> array_to_string(ws[i:i+4], ' ')) END) AS sh FROM w
+    ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' ')) END) AS sh FROM w
 ), e AS (SELECT doc_id, unnest(sh) AS h FROM s),
 p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM e a JOIN e b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2),
 l AS (SELECT x, y FROM p JOIN s a ON a.doc_id = x JOIN s b ON b.doc_id = y WHERE 100 * i >= 75 * (len(a.sh) + len(b.sh) - i)),
@@ -64,4 +77,4 @@ SELECT s.doc_id, len(s.sh)::BIGINT AS n_shingles, least(s.doc_id, min(r.root)) A
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_jaccard_join": OP9_SQL}
+    return {"op2_license_rules": license_rules.oracle(), "op5_chat_snapshots": chat_snapshots.ORACLE, "op9_jaccard_join": OP9_SQL}
