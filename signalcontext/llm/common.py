@@ -26,12 +26,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
+def kept(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     """The frame written as Parquet in the shared folder and read back: its lineage ends here, no executor's
-    loss costs more than a re-read, and Spark knows its size when it picks join strategies."""
+    loss costs more than a re-read, and Spark knows its size when it picks join strategies.
+
+    free: shuffle files of finished steps are no longer needed, and the driver lets go of them now."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if free:
+        spark.sparkContext._jvm.System.gc()
     _made.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -38,6 +38,9 @@ NUM, DEN = 75, 100
 FREQUENT, FREQUENT_MOST = 8, 1 << 18
 #: Local counts are taken over so many shingles at a time.
 COUNT_BLOCK = 1 << 21
+#: While the lists hold more than so many pairs of different components a row, neighbours of different components
+#: are joined first, so many times at most, before all such pairs are looked at.
+FEW_PAIRS, NEIGHBOUR_ROUNDS = 4, 3
 #: Sizes above this are always heavy.
 LIGHT_MOST = 64
 _LIGHT, _HEAVY = np.uint64(0x2545F4914F6CDD1D), np.uint64(0xD6E8FEB86659FD93)
@@ -149,13 +152,30 @@ def _set_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(offsets), pa.array(h.view(np.int64)))], names=["doc_id", "s"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets link."""
+def _plausible(pairs: DataFrame, lists: DataFrame, boundary: int) -> DataFrame:
+    """The pairs that can still link, by the tokens that they share in their prefixes.
+
+    Common elements outside one of the two prefixes all lie beyond the prefix of the same set, so there are at
+    most ceil(t * larger size) - 1 of them; the shared tokens must make up the rest of the overlap that a link
+    needs.  Two light sets share 2-subsets, not elements, and are passed on as they are."""
+    one = lists.select(F.col("doc_id").alias("a"), "token", F.col("n").alias("na"))
+    two = lists.select(F.col("doc_id").alias("b"), "token", F.col("n").alias("nb"))
+    shared = pairs.join(one, "a").join(two, ["b", "token"]).groupBy("a", "b").agg(F.count("*").alias("s"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+    need = f"(({NUM} * (na + nb) + {NUM + DEN - 1}) div {NUM + DEN})"
+    rest = f"(({NUM} * greatest(na, nb) + {DEN - 1}) div {DEN} - 1)"
+    return shared.where(f"greatest(na, nb) <= {boundary} or s + {rest} >= {need}").select("a", "b")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets link.  Only the texts of documents in pairs are taken."""
+    wanted = kept(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
+    texts = docs.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    sets = kept(texts.mapInArrow(_set_pass, "doc_id long, s array<long>"), "sets", free=True)
     a = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa"))
     b = sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb")).cast("long")
     full = pairs.join(a, "a").join(b, "b").select("a", "b", both.alias("i"), (F.size("sa") + F.size("sb")).cast("long").alias("t"))
-    return full.where(f"{DEN} * i >= {NUM} * (t - i)").select("a", "b")
+    return kept(full.where(f"{DEN} * i >= {NUM} * (t - i)").select("a", "b"), "verified", free=True)
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -181,27 +201,37 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     w = Window.partitionBy("token").orderBy("n", "doc_id")
     near = tokens.select("token", "n", "doc_id", F.lag("doc_id").over(w).alias("before"), F.lag("n").over(w).alias("before_n"), F.lead("n").over(w).alias("after_n"))
     lists = near.where(f"{DEN} * before_n >= {NUM} * n or {DEN} * n >= {NUM} * after_n").drop("after_n")
-    lists = kept(lists, "lists")
+    lists = kept(lists, "lists", free=True)
     pair = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
     chain = kept(lists.where(f"{DEN} * before_n >= {NUM} * n and doc_id <> before").select(F.col("before").alias("x"), F.col("doc_id").alias("y")).select(*pair).distinct(), "chain")
-
-    wanted = lists.select("doc_id").distinct()
-    texts = docs.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    sets = kept(texts.mapInArrow(_set_pass, "doc_id long, s array<long>"), "sets")
-    links = kept(_verified(chain, sets), "verified")
+    links = _verified(kept(_plausible(chain, lists, boundary), "plausible", free=True), docs)
     found = components(links)
 
-    labelled = lists.select("token", "n", "doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    labelled = labelled.select("token", "n", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    mixed = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    labelled = kept(labelled.join(mixed, "token", "left_semi"), "mixed")
-    x = labelled.select("token", F.col("n").alias("xn"), F.col("doc_id").alias("x"), F.col("component").alias("xc"))
-    y = labelled.select("token", F.col("n").alias("yn"), F.col("doc_id").alias("y"), F.col("component").alias("yc"))
-    cross = x.join(y, "token").where(f"xc <> yc and (xn < yn or xn = yn and x < y) and {DEN} * xn >= {NUM} * yn").select(*pair).distinct()
-    cross = kept(cross.join(chain, ["a", "b"], "left_anti"), "cross")
-    more = kept(_verified(cross, sets), "verified")
-    if not more.isEmpty():
-        found = components(links.unionByName(more))
+    tried = chain
+    for turn in range(NEIGHBOUR_ROUNDS + 1):
+        last = turn == NEIGHBOUR_ROUNDS
+        labelled = lists.select("token", "n", "doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+        labelled = labelled.select("token", "n", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+        mixed = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
+        labelled = kept(labelled.join(mixed, "token", "left_semi"), "mixed")
+        each = labelled.groupBy("token", "component").agg(F.count("*").alias("c")).groupBy("token").agg(F.sum("c").alias("m"), F.sum(F.expr("c * c")).alias("q"))
+        size = each.agg(F.sum("m").alias("rows"), F.sum(F.expr("(m * m - q) / 2")).alias("pairs")).first()
+        last = last or (size.pairs or 0) <= FEW_PAIRS * (size.rows or 0)
+        if last:
+            x = labelled.select("token", F.col("n").alias("xn"), F.col("doc_id").alias("x"), F.col("component").alias("xc"))
+            y = labelled.select("token", F.col("n").alias("yn"), F.col("doc_id").alias("y"), F.col("component").alias("yc"))
+            cross = x.join(y, "token").where(f"xc <> yc and (xn < yn or xn = yn and x < y) and {DEN} * xn >= {NUM} * yn")
+        else:
+            w = Window.partitionBy("token").orderBy(F.xxhash64("doc_id", F.lit(turn)), "doc_id")
+            cross = labelled.select(F.col("doc_id").alias("y"), F.col("n").alias("yn"), F.col("component").alias("yc"), F.lag("doc_id").over(w).alias("x"), F.lag("n").over(w).alias("xn"), F.lag("component").over(w).alias("xc"))
+            cross = cross.where(f"xc <> yc and {DEN} * least(xn, yn) >= {NUM} * greatest(xn, yn)")
+        cross = kept(cross.select(*pair).distinct().join(tried, ["a", "b"], "left_anti"), "cross", free=True)
+        if not cross.isEmpty():
+            links = links.unionByName(_verified(kept(_plausible(cross, lists, boundary), "plausible", free=True), docs))
+            found = components(links)
+        tried = tried.unionByName(cross)
+        if last:
+            break
 
     labels = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component_id"))
     full = rows.where("n > 0").join(labels, ["n", "d1", "d2"], "left")
