@@ -81,3 +81,15 @@ def components(links: DataFrame) -> DataFrame:
     if labels is None:
         return links.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return labels
+
+
+def joined_components(found: DataFrame, links: DataFrame) -> DataFrame:
+    """The components (node, component) of what `found` describes and further links (a, b): only the links between
+    different components are contracted."""
+    a = found.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+    b = found.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    raised = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    up = components(raised)
+    new = up.join(found.select("node"), "node", "left_anti")
+    old = found.join(up.select(F.col("node").alias("component"), F.col("component").alias("up")), "component", "left").select("node", F.coalesce("up", "component").alias("component"))
+    return kept(old.unionByName(new), "joined")

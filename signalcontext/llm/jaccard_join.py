@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import wordbytes as wb
-from .common import components, kept
+from .common import components, joined_components, kept
 
 WIDTH = 5
 #: A link needs at least NUM / DEN of the union in common.
@@ -40,7 +40,9 @@ FREQUENT, FREQUENT_MOST = 8, 1 << 18
 COUNT_BLOCK = 1 << 21
 #: While the lists hold more than so many pairs of different components a row, neighbours of different components
 #: are joined first, so many times at most, before all such pairs are looked at.
-FEW_PAIRS, NEIGHBOUR_ROUNDS = 4, 3
+FEW_PAIRS, NEIGHBOUR_ROUNDS = 4, 2
+#: Up to so many ids of documents in candidate pairs are sent to the tasks instead of dealing out the texts.
+SENT_IDS = 500_000
 #: Sizes above this are always heavy.
 LIGHT_MOST = 64
 _LIGHT, _HEAVY = np.uint64(0x2545F4914F6CDD1D), np.uint64(0xD6E8FEB86659FD93)
@@ -169,7 +171,9 @@ def _plausible(pairs: DataFrame, lists: DataFrame, boundary: int) -> DataFrame:
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets link.  Only the texts of documents in pairs are taken."""
     wanted = kept(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
-    texts = docs.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    # Few enough ids go to every task (8 bytes each); else texts and ids meet by key.
+    ids = F.broadcast(wanted) if wanted.count() <= SENT_IDS else wanted
+    texts = docs.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
     sets = kept(texts.mapInArrow(_set_pass, "doc_id long, s array<long>"), "sets", free=True)
     a = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa"))
     b = sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
@@ -227,8 +231,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
             cross = cross.where(f"xc <> yc and {DEN} * least(xn, yn) >= {NUM} * greatest(xn, yn)")
         cross = kept(cross.select(*pair).distinct().join(tried, ["a", "b"], "left_anti"), "cross", free=True)
         if not cross.isEmpty():
-            links = links.unionByName(_verified(kept(_plausible(cross, lists, boundary), "plausible", free=True), docs))
-            found = components(links)
+            more = _verified(kept(_plausible(cross, lists, boundary), "plausible", free=True), docs)
+            if not more.isEmpty():
+                found = joined_components(found, more)
         tried = tried.unionByName(cross)
         if last:
             break

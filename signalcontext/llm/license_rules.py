@@ -53,7 +53,7 @@ RULES = [
     ("MPL-2.0", ["mpl2.notice"]), ("CC-BY-4.0", ["ccby.notice"]), ("CC-BY-SA-4.0", ["ccbysa.notice"]), ("CC-BY-NC-4.0", ["ccbync.notice"]), ("CC0-1.0", ["cc0.notice"]), ("Unlicense", ["unlicense.public"]),
 ]
 #: Each known sentence contains one of these.
-KEY_WORDS = ("license", "permission", "permitted", "copyright", "software", "licensed")
+KEY_WORDS = ("license", "permission", "permitted", "copyright", "software", "warranty")
 
 SENTENCE_END = r"[.!?]+\s+|\s*\n\s*"
 OTHER = r"[^\p{L}\p{N}.]+"
