@@ -58,26 +58,43 @@ def fold(column: str, modulus: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(modulus)), F.lit(0)).cast("int")
 
 
-def components(links: DataFrame) -> DataFrame:
+#: Rows of a few ids that one task writes.
+ROWS_A_TASK = 200_000
+
+
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """df in as many partitions as `rows`, a bound on its rows, asks for: a small frame does not pay for a task and
+    a file a shuffle partition, a large one keeps them all."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, rows // ROWS_A_TASK))
+
+
+def components(links: DataFrame, rows: int | None = None) -> DataFrame:
     """(node, component): the smallest node reachable, for each node of the undirected links (a, b), a != b.
+    rows: a bound on the links, where it is known.
 
     Each round maps a node to the smallest of its closed neighbourhood and contracts the links, so the nodes
     left at least halve or become stars that the next round closes.
     """
-    links = kept(links.select("a", "b").where("a <> b").distinct(), "links")
+    links = links.select("a", "b").where("a <> b").distinct()
+    links = kept(links if rows is None else sized(links, rows), "links")
+    left = first = links.count()
     labels = None
-    while not links.isEmpty():
+    while left:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parent = kept(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("component")), "parent")
+        parent = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("component"))
+        parent = kept(sized(parent, 2 * left), "parent")
         if labels is None:
             labels = parent
         else:
             up = parent.select(F.col("node").alias("component"), F.col("component").alias("up"))
-            labels = kept(labels.join(up, "component", "left").select("node", F.coalesce("up", "component").alias("component")), "labels")
+            labels = labels.join(up, "component", "left").select("node", F.coalesce("up", "component").alias("component"))
+            labels = kept(sized(labels, 2 * first), "labels")
         a = parent.select(F.col("node").alias("a"), F.col("component").alias("pa"))
         b = parent.select(F.col("node").alias("b"), F.col("component").alias("pb"))
         nxt = links.join(a, "a").join(b, "b").where("pa <> pb")
-        links = kept(nxt.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "links")
+        nxt = nxt.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct()
+        links = kept(sized(nxt, left), "links")
+        left = links.count()
     if labels is None:
         return links.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return labels
@@ -89,7 +106,7 @@ def joined_components(found: DataFrame, links: DataFrame) -> DataFrame:
     a = found.select(F.col("node").alias("a"), F.col("component").alias("ca"))
     b = found.select(F.col("node").alias("b"), F.col("component").alias("cb"))
     raised = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    up = components(raised)
+    up = components(raised, links.count())
     new = up.join(found.select("node"), "node", "left_anti")
     old = found.join(up.select(F.col("node").alias("component"), F.col("component").alias("up")), "component", "left").select("node", F.coalesce("up", "component").alias("component"))
-    return kept(old.unionByName(new), "joined")
+    return kept(sized(old.unionByName(new), found.count() + up.count()), "joined")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import wordbytes as wb
-from .common import components, joined_components, kept
+from .common import components, joined_components, kept, sized
 
 WIDTH = 5
 #: A link needs at least NUM / DEN of the union in common.
@@ -170,7 +170,8 @@ def _plausible(pairs: DataFrame, lists: DataFrame, boundary: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets link.  Only the texts of documents in pairs are taken."""
-    wanted = kept(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    wanted = kept(sized(wanted, 2 * pairs.count()), "wanted")
     # Few enough ids go to every task (8 bytes each); else texts and ids meet by key.
     ids = F.broadcast(wanted) if wanted.count() <= SENT_IDS else wanted
     texts = docs.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
@@ -209,7 +210,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     pair = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
     chain = kept(lists.where(f"{DEN} * before_n >= {NUM} * n and doc_id <> before").select(F.col("before").alias("x"), F.col("doc_id").alias("y")).select(*pair).distinct(), "chain")
     links = _verified(kept(_plausible(chain, lists, boundary), "plausible", free=True), docs)
-    found = components(links)
+    found = components(links, links.count())
 
     tried = chain
     for turn in range(NEIGHBOUR_ROUNDS + 1):
