@@ -11,8 +11,11 @@ global order, the k smallest common ones lie in the first |A| - ceil(t|A|) + k e
 
 The global order puts shingles that many documents share last, so that they hardly ever stand in a prefix.
 That order is only a matter of speed: any order finds every link.  Equal sets form one class first, and only
-class representatives are joined.  Inside an inverted list, neighbours by size are verified first; pairs of
-one component need no further look, all other pairs of a list are then verified, so no link is lost.
+class representatives are joined.  Two sets that meet in a list at places i and j of the global order, for the first
+time, have at most min(|A| - i, |B| - j) elements in common; where that is too few, the list does not bring them
+together.  Inside an inverted list, neighbours by size are verified first, then all members against the most
+central ones, whose elements stand in the longest lists; pairs of one component need no further look, all other pairs of a list are then verified,
+so no link is lost.
 
 Edge cases: a null or wordless text has an empty set and is linked with nothing; rows whose doc_id is null come
 back with component_id null; repeated rows are documents of one class; an empty table gives an empty result;
@@ -38,9 +41,9 @@ NUM, DEN = 75, 100
 FREQUENT, FREQUENT_MOST = 8, 1 << 18
 #: Local counts are taken over so many shingles at a time.
 COUNT_BLOCK = 1 << 21
-#: While the lists hold more than so many pairs of different components a row, neighbours of different components
-#: are joined first, so many times at most, before all such pairs are looked at.
-FEW_PAIRS, NEIGHBOUR_ROUNDS = 4, 2
+#: While the lists hold more than so many pairs of different components a row, the members of each list meet its
+#: most central members first, so many of them in each round, before all such pairs are looked at.
+FEW_PAIRS, HUBS = 1, (1, 4)
 #: Up to so many ids of documents in candidate pairs are sent to the tasks instead of dealing out the texts.
 SENT_IDS = 500_000
 #: Sizes above this are always heavy.
@@ -154,6 +157,12 @@ def _set_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(offsets), pa.array(h.view(np.int64)))], names=["doc_id", "s"])
 
 
+def _meet(xn: str, xpos: str, yn: str, ypos: str) -> str:
+    """Whether sets of sizes xn, yn that share the elements at places xpos, ypos, and none before, can still link."""
+    need = f"(({NUM} * ({xn} + {yn}) + {NUM + DEN - 1}) div {NUM + DEN})"
+    return f"{DEN} * least({xn}, {yn}) >= {NUM} * greatest({xn}, {yn}) and least({xn} - {xpos}, {yn} - {ypos}) >= {need}"
+
+
 def _plausible(pairs: DataFrame, lists: DataFrame, boundary: int) -> DataFrame:
     """The pairs that can still link, by the tokens that they share in their prefixes.
 
@@ -201,35 +210,48 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     reps = classes.select(F.col("rep").alias("doc_id"), F.col("n").alias("rep_n"))
     tokens = docs.where("doc_id is not null").mapInArrow(_prefix_pass(frequent, counts, boundary), "doc_id long, n long, tokens array<long>")
     tokens = tokens.where(F.size("tokens") > 0).join(reps, "doc_id", "left_semi")
-    tokens = tokens.select("doc_id", "n", F.explode(F.array_distinct("tokens")).alias("token"))
+    # An element's place is its index among the tokens; 2-subsets, which come last, count as met at the front.
+    heavy_n = F.expr(f"if({DEN} * n > {NUM * boundary}, n - ({NUM} * n + {DEN - 1}) div {DEN} + 1, 0)")
+    tokens = tokens.select("doc_id", "n", heavy_n.alias("heavy_n"), F.posexplode("tokens").alias("i", "token"))
+    # Size and place travel in one number, which also sorts a list by size.
+    tokens = tokens.select("doc_id", "token", F.expr("shiftleft(n, 31) | if(i < heavy_n, i, 0)").alias("np"))
     # A list's rows by size: its neighbours are verified first.
-    w = Window.partitionBy("token").orderBy("n", "doc_id")
-    near = tokens.select("token", "n", "doc_id", F.lag("doc_id").over(w).alias("before"), F.lag("n").over(w).alias("before_n"), F.lead("n").over(w).alias("after_n"))
+    w = Window.partitionBy("token").orderBy("np", "doc_id")
+    near = tokens.select("token", "np", "doc_id", F.lag("doc_id").over(w).alias("before"), F.lag("np").over(w).alias("before_np"), F.lead("np").over(w).alias("after_np"))
+    split = [F.expr(f"shiftright({x}np, 31)").alias(f"{x}n") for x in ("", "before_", "after_")]
+    split += [F.expr(f"{x}np & {(1 << 31) - 1}L").alias(f"{x}pos") for x in ("", "before_")]
+    near = near.select("token", "doc_id", "before", *split)
     lists = near.where(f"{DEN} * before_n >= {NUM} * n or {DEN} * n >= {NUM} * after_n").drop("after_n")
     lists = kept(lists, "lists", free=True)
     pair = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
-    chain = kept(lists.where(f"{DEN} * before_n >= {NUM} * n and doc_id <> before").select(F.col("before").alias("x"), F.col("doc_id").alias("y")).select(*pair).distinct(), "chain")
+    chain = kept(lists.where(f"{_meet('n', 'pos', 'before_n', 'before_pos')} and doc_id <> before").select(F.col("before").alias("x"), F.col("doc_id").alias("y")).select(*pair).distinct(), "chain")
     links = _verified(kept(_plausible(chain, lists, boundary), "plausible", free=True), docs)
     found = components(links, links.count())
 
     tried = chain
-    for turn in range(NEIGHBOUR_ROUNDS + 1):
-        last = turn == NEIGHBOUR_ROUNDS
-        labelled = lists.select("token", "n", "doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        labelled = labelled.select("token", "n", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    lengths = lists.groupBy("token").agg(F.count("*").alias("length"))
+    central = lists.join(lengths, "token").groupBy("doc_id").agg(F.sum("length").alias("weight"))
+    central = kept(central, "central", free=True)
+    for turn in range(len(HUBS) + 1):
+        labelled = lists.select("token", "n", "pos", "doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+        labelled = labelled.select("token", "n", "pos", "doc_id", F.coalesce("component", "doc_id").alias("component"))
         mixed = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
         labelled = kept(labelled.join(mixed, "token", "left_semi"), "mixed")
-        each = labelled.groupBy("token", "component").agg(F.count("*").alias("c")).groupBy("token").agg(F.sum("c").alias("m"), F.sum(F.expr("c * c")).alias("q"))
+        each = labelled.groupBy("token", "component").agg(F.count("*").alias("c"))
+        each = each.groupBy("token").agg(F.sum("c").alias("m"), F.sum(F.expr("c * c")).alias("q"), F.max(F.struct("c", "component")).alias("largest"))
         size = each.agg(F.sum("m").alias("rows"), F.sum(F.expr("(m * m - q) / 2")).alias("pairs")).first()
-        last = last or (size.pairs or 0) <= FEW_PAIRS * (size.rows or 0)
+        last = turn == len(HUBS) or (size.pairs or 0) <= FEW_PAIRS * (size.rows or 0)
+        y = labelled.select("token", F.col("n").alias("yn"), F.col("pos").alias("yp"), F.col("doc_id").alias("y"), F.col("component").alias("yc"))
         if last:
-            x = labelled.select("token", F.col("n").alias("xn"), F.col("doc_id").alias("x"), F.col("component").alias("xc"))
-            y = labelled.select("token", F.col("n").alias("yn"), F.col("doc_id").alias("y"), F.col("component").alias("yc"))
-            cross = x.join(y, "token").where(f"xc <> yc and (xn < yn or xn = yn and x < y) and {DEN} * xn >= {NUM} * yn")
+            # One side leaves out each list's largest component, so a list in which nearly all are one costs no square.
+            y = y.join(each.select("token", F.col("largest.component").alias("largest")), "token").where("yc <> largest")
+            x = labelled.select("token", F.col("n").alias("xn"), F.col("pos").alias("xp"), F.col("doc_id").alias("x"), F.col("component").alias("xc"))
+            cross = x.join(y, "token").where(f"xc <> yc and {_meet('xn', 'xp', 'yn', 'yp')}")
         else:
-            w = Window.partitionBy("token").orderBy(F.xxhash64("doc_id", F.lit(turn)), "doc_id")
-            cross = labelled.select(F.col("doc_id").alias("y"), F.col("n").alias("yn"), F.col("component").alias("yc"), F.lag("doc_id").over(w).alias("x"), F.lag("n").over(w).alias("xn"), F.lag("component").over(w).alias("xc"))
-            cross = cross.where(f"xc <> yc and {DEN} * least(xn, yn) >= {NUM} * greatest(xn, yn)")
+            w = Window.partitionBy("token").orderBy(F.desc("weight"), "doc_id")
+            hubs = labelled.join(central, "doc_id").select("*", F.row_number().over(w).alias("place")).where(F.col("place") <= HUBS[turn])
+            x = hubs.select("token", F.col("n").alias("xn"), F.col("pos").alias("xp"), F.col("doc_id").alias("x"), F.col("component").alias("xc"))
+            cross = y.join(x, "token").where(f"xc <> yc and {_meet('xn', 'xp', 'yn', 'yp')}")
         cross = kept(cross.select(*pair).distinct().join(tried, ["a", "b"], "left_anti"), "cross", free=True)
         if not cross.isEmpty():
             more = _verified(kept(_plausible(cross, lists, boundary), "plausible", free=True), docs)
