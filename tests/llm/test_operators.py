@@ -87,6 +87,21 @@ def test_jaccard_group_of_near_copies(spark):
     assert sorted(map(tuple, got)) == brute_components(rows)
 
 
+def test_jaccard_lists_with_components_that_do_not_link(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "FEW_PAIRS", 0)
+    rng = random.Random(5)
+    base, rows = words(rng, 120).split(), []
+    for i in range(70):
+        w = list(base)
+        for _ in range(rng.choice([1, 2, 4, 5, 6, 9])):
+            w[rng.randrange(120)] = f"x{rng.randrange(40)}"
+        rows.append((i, " ".join(w[: rng.choice([120, 120, 100, 90])]), "en", "s", 0))
+    want = brute_components(rows)
+    assert 1 < len({c for _, _, c in want}) < 60
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(map(tuple, got)) == want
+
+
 def test_keep_one(docs):
     left = jaccard_join.keep_one(docs)
     assert left.columns == docs.columns
