@@ -24,29 +24,58 @@ def name_tokens(name: Column) -> Column:
     return F.filter(F.array_distinct(F.split(F.lower(name), r"[^\p{L}\p{N}]+")), lambda t: F.octet_length(t) >= 4)
 
 
+#: One task pairs so many entities of a class with those of the linked class.
+BLOCK = 512
+
+
+def name_pairs(entities: DataFrame) -> DataFrame:
+    """left_id, right_id, signal of each pair of entities of a kind with an equal normal name or else a shared token.
+
+    Entities with equal names form a class; names are compared between classes, and the members of linked classes
+    are paired a block of the left class at a time, so that a common name is dealt to many tasks."""
+    own = entities.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("kind", "name"))).alias("names"))
+    own = own.withColumn("class", F.to_json("names", {"ignoreNullFields": "false"}))
+    sizes = own.groupBy("class").agg(F.first("names").alias("names"), F.count("*").alias("n"))
+    each = sizes.select("class", F.explode("names").alias("x")).select("class", "x.kind", "x.name")
+    normal = each.select("class", "kind", normal_name(F.col("name")).alias("key"))
+    tokens = each.select("class", "kind", F.explode(name_tokens(F.col("name"))).alias("key"))
+
+    def linked(rows: DataFrame, signal: str) -> DataFrame:
+        l, r = rows.withColumnRenamed("class", "left_class"), rows.withColumnRenamed("class", "right_class")
+        return l.join(r, ["kind", "key"]).select("left_class", "right_class", F.lit(-SIGNALS[signal][0]).alias("order"), F.lit(signal).alias("signal"))
+
+    links = linked(normal, "name").unionByName(linked(tokens, "token")).groupBy("left_class", "right_class").agg(F.min_by("signal", "order").alias("signal"))
+    blocks = F.ceil(F.col("n") / BLOCK)
+    left = own.join(sizes.select("class", blocks.alias("blocks")), "class").select(F.col("class").alias("left_class"), F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"), F.col("id").alias("left_id"))
+    right = links.join(sizes.select(F.col("class").alias("left_class"), blocks.alias("blocks")), "left_class").join(own.select(F.col("class").alias("right_class"), F.col("id").alias("right_id")), "right_class")
+    right = right.select("left_class", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "right_id", "signal")
+    # As many tasks as the session asks for: the pairs are many more than the rows by which tasks would be put together.
+    n = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = left.repartition(n, "left_class", "block").join(right, ["left_class", "block"])
+    return pairs.where("left_id < right_id").select("left_id", "right_id", "signal")
+
+
 def resolve(entities: DataFrame, external: DataFrame | None = None, aliases: DataFrame | None = None) -> DataFrame:
     """left_id, right_id, score, outcome of each pair of entities of a kind with a signal; blocks, never all pairs.
 
     external: id, namespace, value.  aliases: id, alias (declared name of another entity, normal)."""
     own = entities.select("id", "kind", "name", normal_name(F.col("name")).alias("normal"))
-
-    def pairs(rows: DataFrame, keys: list[str], signal: str) -> DataFrame:
-        l, r = rows.select(F.col("id").alias("left_id"), *keys), rows.select(F.col("id").alias("right_id"), *keys)
-        return l.join(r, keys).where("left_id < right_id").select("left_id", "right_id").distinct().withColumn("signal", F.lit(signal))
-
-    named = pairs(own, ["kind", "normal"], "name")
-    tokens = pairs(own.select("id", "kind", F.explode(name_tokens(F.col("name"))).alias("token")), ["kind", "token"], "token")
-    found = named.unionByName(tokens.join(named, ["left_id", "right_id"], "left_anti"))
-    if external is not None:
-        found = found.unionByName(pairs(external, ["namespace", "value"], "external_id"))
-    if aliases is not None:
-        hit = aliases.withColumnRenamed("id", "a").join(own, F.col("alias") == F.col("normal")).where("a <> id")
-        found = found.unionByName(hit.select(F.least("a", "id").alias("left_id"), F.greatest("a", "id").alias("right_id"), F.lit("alias").alias("signal")).distinct())
-    points = F.lit(0)
+    found = name_pairs(entities)
+    points, decides = F.lit(0), F.col("signal").isin([s for s, (_, d) in SIGNALS.items() if d])
     for s, (p, _) in SIGNALS.items():
         points = F.when(F.col("signal") == s, p).otherwise(points)
-    decisive = F.max(F.col("signal").isin([s for s, (_, d) in SIGNALS.items() if d]))
-    out = found.groupBy("left_id", "right_id").agg(F.max(points).cast("long").alias("score"), decisive.alias("decisive"))
+    if external is None and aliases is None:
+        # Each pair stands once already.
+        out = found.select("left_id", "right_id", points.cast("long").alias("score"), decides.alias("decisive"))
+    else:
+        if external is not None:
+            keys = ["namespace", "value"]
+            l, r = external.select(F.col("id").alias("left_id"), *keys), external.select(F.col("id").alias("right_id"), *keys)
+            found = found.unionByName(l.join(r, keys).where("left_id < right_id").select("left_id", "right_id").distinct().withColumn("signal", F.lit("external_id")))
+        if aliases is not None:
+            hit = aliases.withColumnRenamed("id", "a").join(own, F.col("alias") == F.col("normal")).where("a <> id")
+            found = found.unionByName(hit.select(F.least("a", "id").alias("left_id"), F.greatest("a", "id").alias("right_id"), F.lit("alias").alias("signal")).distinct())
+        out = found.groupBy("left_id", "right_id").agg(F.max(points).cast("long").alias("score"), F.max(decides).alias("decisive"))
     return out.select("left_id", "right_id", "score", F.when(F.col("decisive"), "merged").otherwise("candidate").alias("outcome"))
 
 

@@ -200,7 +200,7 @@ _NAMED = "e AS (SELECT 'p:' || p_partkey AS id, 'tool' AS kind, p_type AS name F
 
 @registered(f"WITH {_NAMED} SELECT a.id AS left_id, b.id AS right_id, CASE WHEN a.normal = b.normal THEN 60 ELSE 25 END::BIGINT AS score, 'candidate' AS outcome FROM n a JOIN n b ON a.id < b.id AND a.kind = b.kind WHERE a.normal = b.normal OR list_has_any(a.tokens, b.tokens)")
 def resolve_outcomes(spark, d):
-    rows = b.read(spark, d, "part").where("p_size <= 3").select(F.concat(F.lit("p:"), F.col("p_partkey").cast("string")).alias("id"), F.lit("tool").alias("kind"), F.col("p_type").alias("name"))
+    rows = b.read(spark, d, "part").select(F.concat(F.lit("p:"), F.col("p_partkey").cast("string")).alias("id"), F.lit("tool").alias("kind"), F.col("p_type").alias("name"))
     return g.resolve(rows)
 
 

@@ -69,3 +69,29 @@ def test_traverse(spark):
     assert {r.node for r in found.nodes.collect()} == {"a", "b", "c"} and found.truncated == ["depth"]
     assert g.traverse(edges, "a", nodes=2).truncated == ["nodes"]
     assert g.traverse(edges, "c", fan_out=1, depth=3).truncated == ["fan_out"]
+
+
+def test_resolve_whole_table(spark, tmp_path, monkeypatch):
+    import random
+    import re
+    from collections import Counter
+
+    monkeypatch.setattr(g, "BLOCK", 4)
+    rng = random.Random(3)
+    names = ["LARGE BRASS", "large-brass", "LARGEBRASS", "SMALL BRASS", "TIN", "tin", "A B", "", None, "SMALL STEEL"]
+    rows = [(i, rng.randrange(1, 51), rng.choice(names)) for i in range(90)]
+    spark.createDataFrame(rows, "p_partkey long, p_size int, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    want = {}
+    form = [(f"p:{i}", re.sub("[^a-z]+", "", t.lower()), {x for x in re.split("[^a-z]+", t.lower()) if len(x) >= 4}) for i, _, t in rows if t is not None]
+    for l, n, x in form:
+        for r, m, y in form:
+            if l < r and (n == m or x & y):
+                want[l, r] = (60 if n == m else 25, "candidate")
+    got = plans.resolve_outcomes(spark, str(tmp_path)).collect()
+    assert Counter((r.left_id, r.right_id) for r in got) == Counter(want.keys())
+    assert {(r.left_id, r.right_id): (r.score, r.outcome) for r in got} == want
+    # An id with two names: one row a pair, by its best signal; an external id decides.
+    two = spark.createDataFrame([("a", "k", "NORTH WIND"), ("a", "k", "SOUTH"), ("b", "k", "south"), ("b", "k", "wind gust"), ("c", "j", "south"), ("a", "k", "SOUTH")], "id string, kind string, name string")
+    assert [tuple(r) for r in g.resolve(two).collect()] == [("a", "b", 60, "candidate")]
+    ext = spark.createDataFrame([("a", "n", "1"), ("b", "n", "1"), ("c", "n", "1")], "id string, namespace string, value string")
+    assert sorted(tuple(r) for r in g.resolve(two, ext).collect()) == [("a", "b", 95, "merged"), ("a", "c", 95, "merged"), ("b", "c", 95, "merged")]
