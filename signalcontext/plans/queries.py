@@ -295,7 +295,7 @@ def policy_partition(spark, d):
 
 @registered("WITH x AS (SELECT source, CASE WHEN toxic = 1 THEN 4 WHEN quality = 0 THEN 3 ELSE 1 END AS s FROM labels JOIN documents USING (doc_id) WHERE doc_id % 9 > 0) SELECT source, ([ 'benign', 'allow_listed', 'suspicious', 'malicious'])[max(s)] AS disposition FROM x GROUP BY 1")
 def strongest_disposition(spark, d):
-    rows = b.dispositions(spark, d).join(b.read(spark, d, "documents").select("doc_id", "source"), "doc_id").where("doc_id % 9 > 0").withColumn("status", F.lit("active"))
+    rows = b.dispositions(spark, d).join(b.read(spark, d, "documents").select("doc_id", "source"), "doc_id").withColumn("status", F.lit("active"))
     return ev.strongest_disposition(rows, "source")
 
 

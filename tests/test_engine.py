@@ -95,3 +95,10 @@ def test_resolve_whole_table(spark, tmp_path, monkeypatch):
     assert [tuple(r) for r in g.resolve(two).collect()] == [("a", "b", 60, "candidate")]
     ext = spark.createDataFrame([("a", "n", "1"), ("b", "n", "1"), ("c", "n", "1")], "id string, namespace string, value string")
     assert sorted(tuple(r) for r in g.resolve(two, ext).collect()) == [("a", "b", 95, "merged"), ("a", "c", 95, "merged"), ("b", "c", 95, "merged")]
+
+
+def test_strongest_disposition_of_all_documents(spark, tmp_path):
+    labels = [(9, 1, 1), (1, 1, 0), (18, 0, 0), (2, 0, 0), (3, 1, 0)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(9, "a"), (1, "a"), (18, "b"), (2, "c"), (3, "c")], "doc_id long, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(tuple(r) for r in plans.strongest_disposition(spark, str(tmp_path)).collect()) == [("a", "malicious"), ("b", "suspicious"), ("c", "suspicious")]
