@@ -6,7 +6,7 @@ place, squashes the sum, and predicts the token between as a class and a member
 is the sum over its tokens of the log-probability given both sides.
 
 Training is spread over the tasks: every task starts a round from the same parameters, takes gradient steps over
-its own share of the corpus (one document in SLICES each round, so the share grows with the corpus), and the
+its own share of the corpus (the rounds divide the documents among them: each is trained on in one round), and the
 results are averaged by weight, a fixed number at a time, until one is left.
 
 Edge cases: null, empty and wordless texts have no tokens, score 0 and a null mean; repeated rows are scored each;
@@ -31,7 +31,7 @@ SIDE = 32
 SIZE, BUCKETS = SIDE * SIDE, 256
 FREQUENT = SIZE - 1 - BUCKETS
 HIDDEN, REACH = 16, 2
-ROUNDS, SLICES, BATCH, RATE = 3, 48, 2048, 0.3
+ROUNDS, BATCH, RATE = 3, 2048, 0.3
 #: Words are counted over so many at a time; so many results are averaged by one task.
 COUNT_BLOCK, FAN_IN = 1 << 21, 32
 OFFSETS = [o for o in range(-REACH, REACH + 1) if o]
@@ -158,13 +158,18 @@ def _averaged(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"w": [int(w.sum())], "p": [p.astype("<f4").tobytes()]})
 
 
+def in_round(docs: DataFrame, r: int) -> DataFrame:
+    """The documents on which round r trains; each document is in one round of ROUNDS."""
+    return docs.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(ROUNDS)) == r)
+
+
 def learn(docs: DataFrame) -> Net:
     """The network after ROUNDS of local training and averaging.  The parameters alone come to the driver."""
     texts = docs.select("doc_id", "text")
     words = vocabulary(texts)
     flat = None
     for r in range(ROUNDS):
-        share = texts.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(SLICES)) == r).select("text")
+        share = in_round(texts, r).select("text")
         parts = kept(share.mapInArrow(_trained(words, flat, RATE * 0.6**r), "w long, p binary"), "round")
         n = parts.count()
         while n > 1:

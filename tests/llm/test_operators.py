@@ -324,6 +324,23 @@ def test_language_model(spark, docs, rows, empty):
     assert masked_lm.scored(empty, net).count() == 0
 
 
+def test_language_model_trains_on_every_document(spark, docs, rows, monkeypatch):
+    seen = []
+    averaged = masked_lm.kept
+
+    def kept(frame, name, *a):
+        out = averaged(frame, name, *a)
+        if name == "round":
+            seen.append(sum(r.w for r in out.select("w").collect()))
+        return out
+
+    monkeypatch.setattr(masked_lm, "FAN_IN", 1 << 20)
+    monkeypatch.setattr(masked_lm, "kept", kept)
+    masked_lm.learn(docs.coalesce(1))
+    # One result a round before averaging: the tokens of the rounds are those of all rows, a null id's included.
+    assert len(seen) == masked_lm.ROUNDS and sum(seen) == sum(len((t or "").split()) for _, t, *_ in rows)
+
+
 def test_pipeline_stages_compose(spark, tmp_path):
     import corpus_pipeline
 
