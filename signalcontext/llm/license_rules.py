@@ -1,8 +1,11 @@
 """Licence recognition by sentence rules.
 
-A text is cut into sentences at line ends and at full stops, question and exclamation marks that white space
+A text is cut into sentences at blank lines and at full stops, question and exclamation marks that white space
 follows; a sentence in lower case, with anything but letters, digits and inner full stops as one blank, is its
-normal form.  Known normal sentences have identifiers; a text's known identifiers, in order, form its sequence.
+normal form.  A single line end (with the signs of a comment before the next line) and a semicolon are places where
+a sentence may end or go on: a known sentence is found on one line, wrapped over several and after a semicolon.
+Known normal sentences have identifiers; a text's known identifiers, in order, form its sequence; of known
+sentences that begin at one place the longest is taken.
 Licence rules are sequences of identifiers, tried in order (longer texts before notices): a rule that stands in
 the sequence names its licence, and the identifiers it covers are used up.
 
@@ -55,15 +58,33 @@ RULES = [
 #: Each known sentence contains one of these.
 KEY_WORDS = ("license", "permission", "permitted", "copyright", "software", "warranty")
 
-SENTENCE_END = r"[.!?]+\s+|\s*\n\s*"
-OTHER = r"[^\p{L}\p{N}.]+"
+#: Signs of the marked form: a sentence ends; a sentence may end or go on.
+END, MAYBE = "|", ";"
+OTHER = r"[^\p{L}\p{N}.|;]+"
 
 
-def normal_sentences(text: Column) -> Column:
-    """The normal form of each sentence of a text, in order."""
-    # A full stop at the very end of a line or text closes a sentence like one before white space.
-    parts = F.split(F.lower(text), SENTENCE_END)
-    return F.transform(parts, lambda s: F.trim(F.regexp_replace(F.regexp_replace(s, OTHER, " "), r"[. ]+$", "")))
+def marked(text: Column) -> Column:
+    """The normal form of a text with END and MAYBE between its sentences and lines."""
+    out = F.regexp_replace(F.lower(text), r"\|", " ")
+    # A line without a letter or digit is blank, whatever signs of a comment it has.
+    out = F.regexp_replace(out, r"\n(?:[^\p{L}\p{N}\n;]*\n)+", END)
+    out = F.regexp_replace(out, r"[.!?]+\s+", END)
+    out = F.regexp_replace(F.regexp_replace(out, r"\n", MAYBE), OTHER, " ")
+    out = F.regexp_replace(out, r"[ .;]*\|[ ;|]*", END)
+    return F.regexp_replace(F.regexp_replace(out, r"[ .]*;[ ;]*", MAYBE), r"^[ ;|]+|[ .;|]+$", "")
+
+
+def _pattern(sentence: str) -> str:
+    """A known sentence in the marked form; a full stop before a blank in it is cut there like any other."""
+    ws = sentence.split(" ")
+    return "".join(w if k == len(ws) - 1 else w.rstrip(".") + (r"\|" if w.endswith(".") else "[ ;]") for k, w in enumerate(ws)).replace(".", r"\.")
+
+
+def known_sentences(text: Column) -> Column:
+    """The normal form of each known sentence of a text, in order."""
+    forms = "|".join(_pattern(s) for s in sorted(SENTENCES.values(), key=len, reverse=True))
+    hits = F.regexp_extract_all(marked(text), F.lit(f"(?<![^|;])(?:{forms})(?![^|;])"), 0)
+    return F.transform(hits, lambda s: F.regexp_replace(F.replace(s, F.lit(MAYBE), F.lit(" ")), r"\|", ". "))
 
 
 def recognised(docs: DataFrame) -> DataFrame:
@@ -74,7 +95,7 @@ def recognised(docs: DataFrame) -> DataFrame:
     for word in KEY_WORDS[1:]:
         some = some | low.contains(word)
     known = F.create_map(*(F.lit(x) for i, s in SENTENCES.items() for x in (s, i)))
-    ids = F.transform(F.filter(normal_sentences(text), lambda s: s.isin(*SENTENCES.values())), lambda s: F.element_at(known, s))
+    ids = F.transform(known_sentences(text), lambda s: F.element_at(known, s))
     seq = docs.select("doc_id", F.when(some, ids).otherwise(F.array().cast("array<string>")).alias("ids"))
     rules = F.array(*(F.struct(F.lit(n).alias("name"), F.lit("," + ",".join(r) + ",").alias("key")) for n, r in RULES))
 

@@ -295,6 +295,28 @@ def test_licenses(spark, empty):
     assert license_rules.recognised(empty).count() == 0
 
 
+def test_licenses_over_lines(spark):
+    import textwrap
+
+    known = license_rules.SENTENCES
+    rows = []
+    for k, (i, text) in enumerate(sorted(known.items())):
+        for j, sign in enumerate(("", "# ", " * ", "// ")):
+            body = "\n".join(sign + x for x in textwrap.wrap(text + ".", 30))
+            rows.append((4 * k + j, f"{sign}Some words before\n{sign}\n{body}\n{sign.rstrip()}\n{sign}and after", i))
+    full = {
+        1000: ('Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.', "apache.header,apache.comply", "Apache-2.0"),
+        1001: ('Licensed under the Apache License, Version 2.0\n(the "License"); you may not use this file except in\ncompliance with the License.\n', "apache.header,apache.comply", "Apache-2.0"),
+        1002: ("/* This Source Code Form is subject to the terms of the Mozilla Public\r\n * License, v. 2.0. If a copy is not there */", "mpl2.notice", "MPL-2.0"),
+        1003: ("It is released under the MIT\n\nlicense and so on", "", ""),
+        1004: ("| a | b |\nReleased under the MIT License.", "mit.notice", "MIT"),
+    }
+    docs = [(d, t, None, None, 0) for d, t, _ in rows] + [(d, t, None, None, 0) for d, (t, _, _) in full.items()]
+    got = {r.doc_id: r for r in license_rules.recognised(spark.createDataFrame(docs, SCHEMA)).collect()}
+    assert [(d, got[d].sentence_ids) for d, _, _ in rows] == [(d, i) for d, _, i in rows]
+    assert {d: (got[d].sentence_ids, got[d].licenses) for d in full} == {d: (i, l) for d, (_, i, l) in full.items()}
+
+
 def test_chat(spark):
     talk = [("user", "hi"), ("assistant", "yes"), ("user", None), ("assistant", "bye")]
     rows = [(c, i, *talk[i], "x") for c, n in ((1, 2), (2, 4), (3, 4), (4, 1)) for i in range(n)]
