@@ -63,6 +63,13 @@ def vocabulary(docs: DataFrame) -> np.ndarray:
     return np.array([x.h for x in counts.orderBy(F.desc("c"), "h").limit(FREQUENT).collect()], np.int64).view(np.uint64)
 
 
+def _take(target: np.ndarray, ids: np.ndarray, values: np.ndarray) -> None:
+    """Subtracts the rows of values from the target's rows of the ids, which may repeat."""
+    order = np.argsort(ids, kind="stable")
+    found, first = np.unique(ids[order], return_index=True)
+    target[found] -= np.add.reduceat(values[order], first, axis=0)
+
+
 class Net:
     """The vocabulary and the parameters."""
 
@@ -130,9 +137,9 @@ class Net:
         self.cw -= rate * (h.T @ x) / n
         self.cb -= rate * x.mean(axis=0)
         self.mw -= rate * (h.T @ y) / n
-        np.subtract.at(self.mb, c, rate * y / n * SIDE)
+        _take(self.mb, c, rate * y / n * SIDE)
         for k in range(len(OFFSETS)):
-            np.subtract.at(self.near[k], around[k], rate * dh / n * SIDE)
+            _take(self.near[k], around[k], rate * dh / n * SIDE)
 
 
 def _trained(words: np.ndarray, flat: np.ndarray | None, rate: float):
