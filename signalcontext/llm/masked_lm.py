@@ -1,7 +1,9 @@
 """Masked pseudo-likelihood of documents under a bidirectional window network trained in numpy.
 
 Tokens are words (ASCII lower case).  The vocabulary holds the words that are most frequent in the whole corpus;
-other words fall into hash buckets.  The network adds a vector for each of the two words on either side, by
+other words fall into hash buckets.  All words are counted in a table that stays distributed: a word of a bucket has
+the bucket's probability times its own share of the bucket's tokens in the corpus (a word that is not in the corpus
+counts as one more token of its bucket).  The network adds a vector for each of the two words on either side, by
 place, squashes the sum, and predicts the token between as a class and a member of the class.  A document's score
 is the sum over its tokens of the log-probability given both sides.
 
@@ -57,12 +59,29 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield counted()
 
 
-def vocabulary(docs: DataFrame) -> np.ndarray:
+def word_counts(docs: DataFrame) -> DataFrame:
+    """h, c: the hash and the count of each distinct word of the corpus."""
+    return docs.select("text").mapInArrow(_word_counts, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+
+
+def vocabulary(counts: DataFrame) -> np.ndarray:
     """Hashes of the most frequent words of the whole corpus, most frequent first; at most FREQUENT."""
-    counts = docs.select("text").mapInArrow(_word_counts, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
     return np.array([x.h for x in counts.orderBy(F.desc("c"), "h").limit(FREQUENT).collect()], np.int64).view(np.uint64)
 
 
+def _buckets(words: np.ndarray):
+    """Sums of a table of word counts by bucket, without the words of the vocabulary."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net, sums = Net(words), np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            at = net.tokens(batch.column("h").to_numpy().view(np.uint64)) - (SIZE - BUCKETS)
+            np.add.at(sums, at[at >= 0], batch.column("c").to_numpy()[at >= 0])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS)), pa.array(sums)], names=["b", "c"])
+
+    return run
+
+
 def _take(target: np.ndarray, ids: np.ndarray, values: np.ndarray) -> None:
     """Subtracts the rows of values from the target's rows of the ids, which may repeat."""
     order = np.argsort(ids, kind="stable")
@@ -71,7 +90,10 @@ def _take(target: np.ndarray, ids: np.ndarray, values: np.ndarray) -> None:
 
 
 class Net:
-    """The vocabulary and the parameters."""
+    """The vocabulary and the parameters; on the driver also the table of word counts and the tokens of each bucket."""
+
+    counts: DataFrame | None = None
+    totals = np.zeros(BUCKETS)
 
     def __init__(self, words: np.ndarray, flat: np.ndarray | None = None):
         order = np.argsort(words)
@@ -173,7 +195,8 @@ def in_round(docs: DataFrame, r: int) -> DataFrame:
 def learn(docs: DataFrame) -> Net:
     """The network after ROUNDS of local training and averaging.  The parameters alone come to the driver."""
     texts = docs.select("doc_id", "text")
-    words = vocabulary(texts)
+    counts = kept(word_counts(texts), "words")
+    words = vocabulary(counts)
     flat = None
     for r in range(ROUNDS):
         share = in_round(texts, r).select("text")
@@ -185,10 +208,14 @@ def learn(docs: DataFrame) -> Net:
             n = parts.count()
         got = parts.collect()
         flat = np.frombuffer(got[0].p, "<f4") if got else flat
-    return Net(words, flat)
+    net = Net(words, flat)
+    net.counts, net.totals = counts, np.zeros(BUCKETS)
+    for x in counts.mapInArrow(_buckets(words), "b long, c long").groupBy("b").agg(F.sum("c").alias("c")).collect():
+        net.totals[x.b] = x.c
+    return net
 
 
-def _scored(words: np.ndarray, flat: np.ndarray):
+def _scored(words: np.ndarray, flat: np.ndarray, totals: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Net(words, flat)
         for batch in batches:
@@ -199,8 +226,33 @@ def _scored(words: np.ndarray, flat: np.ndarray):
                 logs = np.empty(len(ids))
                 for i in range(0, len(ids), 4 * BATCH):
                     logs[i : i + 4 * BATCH] = net.forward(around[:, i : i + 4 * BATCH], ids[i : i + 4 * BATCH])[3]
+                rare = ids >= SIZE - BUCKETS
+                logs[rare] -= np.log(totals[ids[rare] - (SIZE - BUCKETS)] + 1)
                 total = np.concatenate([[0.0], np.cumsum(logs)])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a).cast(pa.int64()), pa.array(np.diff(before).astype(np.int64)), pa.array(total[before[1:]] - total[before[:-1]])], names=["doc_id", "n_tokens", "log_prob"])
+                some = np.concatenate([[0], np.cumsum(rare)])
+                cut = lambda x: pa.array(x[before[1:]] - x[before[:-1]])
+                cols = [batch.column("doc_id").slice(a, b - a).cast(pa.int64()), batch.column("key").slice(a, b - a), pa.array(np.diff(before).astype(np.int64)), cut(some), cut(total)]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "key", "n_tokens", "n_rare", "log_prob"])
+
+    return run
+
+
+def _rare_words(words: np.ndarray):
+    """Each text's distinct words outside the vocabulary, with their numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = Net(words)
+        for batch in batches:
+            keys = batch.column("key").to_numpy()
+            for a, b, data, offsets in wb.steps(batch.column("text")):
+                hashes, before = wb.words(data, offsets)
+                rare = net.tokens(hashes) >= SIZE - BUCKETS
+                h, row = hashes[rare], np.repeat(np.arange(b - a), np.diff(before))[rare]
+                order = np.lexsort((h, row))
+                h, row = h[order], row[order]
+                first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])])) if len(h) else np.zeros(0, np.int64)
+                n = np.diff(np.append(first, len(h)))
+                yield pa.RecordBatch.from_arrays([pa.array(keys[a:b][row[first]]), pa.array(h[first].view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "h", "n"])
 
     return run
 
@@ -209,5 +261,11 @@ def scored(docs: DataFrame, net: Net) -> DataFrame:
     """doc_id, n_tokens, log_prob, mean_log_prob of every row of docs."""
     words = np.empty(len(net.ids), np.uint64)
     words[net.ids - 1] = net.sorted
-    out = docs.select("doc_id", "text").mapInArrow(_scored(words, net.flat), "doc_id long, n_tokens long, log_prob double")
+    # Rows with the same text have the same words: their mean is that of each.
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
+    rows = texts.mapInArrow(_scored(words, net.flat, net.totals), "doc_id long, key long, n_tokens long, n_rare long, log_prob double")
+    used = texts.select("key", "text").mapInArrow(_rare_words(words), "key long, h long, n long")
+    logs = used.join(net.counts, "h", "left").groupBy("key").agg((F.sum(F.col("n") * F.log(F.coalesce("c", F.lit(1)).cast("double"))) / F.sum("n")).alias("rare"))
+    log_prob = F.col("log_prob") + F.coalesce(F.col("n_rare") * F.col("rare"), F.lit(0.0))
+    out = rows.join(logs, "key", "left").select("doc_id", "n_tokens", log_prob.alias("log_prob"))
     return out.withColumn("mean_log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")))

@@ -363,6 +363,30 @@ def test_language_model_trains_on_every_document(spark, docs, rows, monkeypatch)
     assert len(seen) == masked_lm.ROUNDS and sum(seen) == sum(len((t or "").split()) for _, t, *_ in rows)
 
 
+def test_language_model_gives_rare_words_their_own_probability(spark, monkeypatch):
+    monkeypatch.setattr(masked_lm, "FREQUENT", 3)
+
+    def bucket(w):
+        return int(wb.words(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[0][0] % np.uint64(masked_lm.BUCKETS))
+
+    same = next(v for v in ([w for w in (f"z{k}" for k in range(5000)) if bucket(w) == b] for b in range(256)) if len(v) > 3)
+    often, seldom, never = same[:3]
+    train = [(i, f"a b c a b c {often if i % 5 else seldom} a b c", "en", "s", 0) for i in range(100)]
+    net = masked_lm.learn(spark.createDataFrame(train, SCHEMA))
+    texts = [f"a b {w} c" for w in (often, seldom, never)] + [f"a {often} {seldom} {seldom}", "a b c", "", f"a b {often} c"]
+    out = masked_lm.scored(spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(texts)], SCHEMA), net).collect()
+    got = {r.doc_id: r for r in out}
+    assert len(out) == len(texts) and got[6].log_prob == got[0].log_prob and got[5].log_prob == 0
+    assert got[0].log_prob - got[1].log_prob == pytest.approx(np.log(80 / 20)) and got[1].log_prob - got[2].log_prob == pytest.approx(np.log(20))
+    # By the network and the shares alone.
+    for r in (got[0], got[3], got[4]):
+        t = texts[r.doc_id]
+        h, before = wb.words(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))
+        ids = net.tokens(h)
+        share = sum(np.log({often: 80, seldom: 20}[w] / 101) for w in t.split() if w in same)
+        assert r.log_prob == pytest.approx(net.forward(net.contexts(ids, before), ids)[3].sum() + share, rel=1e-5)
+
+
 def test_pipeline_stages_compose(spark, tmp_path):
     import corpus_pipeline
 
