@@ -79,10 +79,12 @@ def myers(item: str, text: str) -> int:
 class Matcher:
     """Finds altered copies of items in texts."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int | None, str]]):
         import ahocorasick
 
-        self.items = {i: t for i, t in items if t}
+        # By place: several items may have one id, or none.
+        self.ids = [i for i, t in items if t]
+        self.items = dict(enumerate(t for _, t in items if t))
         at: dict[str, list[tuple[int, int]]] = {}
         for i, t in self.items.items():
             for offset, piece in pieces(t):
@@ -94,7 +96,7 @@ class Matcher:
             self.automaton.make_automaton()
 
     def matches(self, text: str | None) -> list[tuple[int, int]]:
-        """(item, distance) of every item with a copy in the text."""
+        """(place of the item, distance) of every item with a copy in the text."""
         t = normal(text)
         if not t or not self.items:
             return []
@@ -126,7 +128,7 @@ def _matched(items: list[tuple[int, str]]):
         found = Matcher(items)
         for batch in batches:
             docs = batch.column("doc_id").cast(pa.int64()).to_pylist()
-            out = [(d, i, n, budget(found.items[i])) for d, t in zip(docs, batch.column("text")) for i, n in found.matches(t.as_py())]
+            out = [(d, found.ids[i], n, budget(found.items[i])) for d, t in zip(docs, batch.column("text")) for i, n in found.matches(t.as_py())]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)] if out else [pa.array([], pa.int64())] * 4, names=["doc_id", "item_id", "distance", "budget"])
 
     return run
@@ -142,21 +144,21 @@ def _without(items: list[tuple[int, str]]):
     return run
 
 
-def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
+def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
     """The normal items in blocks of at most about BLOCK_CHARS characters, one block on the driver at a time."""
-    items = benchmark.where("text is not null and item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = -(-total // BLOCK_CHARS)
     for b in range(n):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect()
-        yield sorted({(x.item_id, normal(x.text)) for x in rows})
+        yield sorted({(x.item_id, normal(x.text)) for x in rows}, key=lambda x: (x[0] is None, x[0] or 0, x[1]))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, distance, budget: one row for each item that each document has a copy of."""
     rows = docs.select("doc_id", "text")
     schema = "doc_id long, item_id long, distance long, budget long"
-    parts = [rows.mapInArrow(_matched(b), schema) for b in blocks(benchmark)]
+    parts = [rows.mapInArrow(_matched(b), schema) for b in blocks(benchmark.where("item_id is not null"))]
     return reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], schema)
 
 

@@ -330,6 +330,15 @@ def test_chat(spark):
     assert chat_snapshots.rendered(frame.limit(0)).count() == 0
 
 
+def test_decontamination_by_every_item(spark):
+    rng = random.Random(21)
+    texts = [words(rng, 30, 4000) for _ in range(4)]
+    bench = spark.createDataFrame([(7, texts[0]), (7, texts[1]), (None, texts[2])], "item_id long, text string")
+    frame = spark.createDataFrame([(i, f"{words(rng, 20, 4000)} {t} {words(rng, 20, 4000)}", "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    assert sorted((r.doc_id, r.item_id, r.distance) for r in decontamination.matches(frame, bench).collect()) == [(0, 7, 0), (1, 7, 0)]
+    assert [r.doc_id for r in decontamination.apply(frame, bench).collect()] == [3]
+
+
 def test_language_model(spark, docs, rows, empty):
     rng = random.Random(9)
     loop = "a b c d e f g h".split()
