@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_made: dict[str, list[str]] = {}
+#: Tables that kept() wrote, by the scope in which it was called.
+_scopes: list[list[str]] = []
+#: Bytes of one Arrow batch, where the session leaves Spark's own size.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,26 +31,50 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def kept(df: DataFrame, name: str, free: bool = False) -> DataFrame:
-    """The frame written as Parquet in the shared folder and read back: its lineage ends here, no executor's
-    loss costs more than a re-read, and Spark knows its size when it picks join strategies.
+@contextmanager
+def freed(spark: SparkSession) -> Iterator[None]:
+    """Queries that run inside delete their shuffle files when they end."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
 
-    free: shuffle files of finished steps are no longer needed, and the driver lets go of them now."""
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """The frame written as Parquet in the shared folder and read back: its lineage ends here, no executor's
+    loss costs more than a re-read, and Spark knows its size when it picks join strategies."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if free:
-        spark.sparkContext._jvm.System.gc()
-    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    if _scopes:
+        _scopes[-1].append(path)
+    with freed(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_kept(spark: SparkSession) -> None:
-    """Deletes the tables that kept() wrote in this application; call it when no frame built on them is needed."""
-    jvm = spark.sparkContext._jvm
-    for path in _made.pop(spark.sparkContext.applicationId, []):
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the tables that kept() wrote inside it, and no others; frames built on them end with it."""
+    made: list[str] = []
+    _scopes.append(made)
+    try:
+        yield
+    finally:
+        _scopes.remove(made)
+        for path in made:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def arrow_map(df: DataFrame, f, schema) -> DataFrame:
+    """df.mapInArrow with batches of bounded bytes, unless the session has set a size of its own."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(name) in ("67108864", "67108864b"):
+        df.sparkSession.conf.set(name, str(BATCH_BYTES))
+    return df.mapInArrow(f, schema)
 
 
 def let(value: Column, body) -> Column:

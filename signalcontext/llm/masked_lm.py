@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordbytes as wb
-from .common import kept
+from .common import arrow_map, kept
 
 SIDE = 32
 #: Vocabulary: id 0 pads; then frequent words; the last BUCKETS ids share all other words.
@@ -61,7 +61,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """h, c: the hash and the count of each distinct word of the corpus."""
-    return docs.select("text").mapInArrow(_word_counts, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    return arrow_map(docs.select("text"), _word_counts, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
 def vocabulary(counts: DataFrame) -> np.ndarray:
@@ -117,13 +117,12 @@ class Net:
             out[known] = self.ids[at[known]]
         return out
 
-    def contexts(self, ids: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """The ids at each place around every token, 0 beyond its document."""
-        n = len(ids)
-        counts = np.diff(before)
-        lo, hi = np.repeat(before[:-1], counts), np.repeat(before[1:], counts)
-        place = np.arange(n)
-        out = np.zeros((len(OFFSETS), n), np.int64)
+    def contexts(self, ids: np.ndarray, before: np.ndarray, a: int = 0, b: int | None = None) -> np.ndarray:
+        """The ids at each place around the tokens a to b, 0 beyond a token's document."""
+        place = np.arange(a, len(ids) if b is None else min(b, len(ids)))
+        row = np.searchsorted(before, place, side="right") - 1
+        lo, hi = before[row], before[row + 1]
+        out = np.zeros((len(OFFSETS), len(place)), np.int64)
         for k, o in enumerate(OFFSETS):
             at = place + o
             ok = (at >= lo) & (at < hi)
@@ -171,9 +170,8 @@ def _trained(words: np.ndarray, flat: np.ndarray | None, rate: float):
             for _, _, data, offsets in wb.steps(batch.column("text")):
                 hashes, before = wb.words(data, offsets)
                 ids = net.tokens(hashes)
-                around = net.contexts(ids, before)
                 for a in range(0, len(ids), BATCH):
-                    net.step(around[:, a : a + BATCH], ids[a : a + BATCH], rate)
+                    net.step(net.contexts(ids, before, a, a + BATCH), ids[a : a + BATCH], rate)
                 seen += len(ids)
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([net.flat.astype("<f4").tobytes()], pa.binary())], names=["w", "p"])
@@ -200,7 +198,7 @@ def learn(docs: DataFrame) -> Net:
     flat = None
     for r in range(ROUNDS):
         share = in_round(texts, r).select("text")
-        parts = kept(share.mapInArrow(_trained(words, flat, RATE * 0.6**r), "w long, p binary"), "round")
+        parts = kept(arrow_map(share, _trained(words, flat, RATE * 0.6**r), "w long, p binary"), "round")
         n = parts.count()
         while n > 1:
             groups = -(-n // FAN_IN)
@@ -210,7 +208,7 @@ def learn(docs: DataFrame) -> Net:
         flat = np.frombuffer(got[0].p, "<f4") if got else flat
     net = Net(words, flat)
     net.counts, net.totals = counts, np.zeros(BUCKETS)
-    for x in counts.mapInArrow(_buckets(words), "b long, c long").groupBy("b").agg(F.sum("c").alias("c")).collect():
+    for x in arrow_map(counts, _buckets(words), "b long, c long").groupBy("b").agg(F.sum("c").alias("c")).collect():
         net.totals[x.b] = x.c
     return net
 
@@ -219,13 +217,12 @@ def _scored(words: np.ndarray, flat: np.ndarray, totals: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Net(words, flat)
         for batch in batches:
-            for a, b, data, offsets in wb.steps(batch.column("text"), 1 << 19):
+            for a, b, data, offsets in wb.steps(batch.column("text")):
                 hashes, before = wb.words(data, offsets)
                 ids = net.tokens(hashes)
-                around = net.contexts(ids, before)
                 logs = np.empty(len(ids))
                 for i in range(0, len(ids), 4 * BATCH):
-                    logs[i : i + 4 * BATCH] = net.forward(around[:, i : i + 4 * BATCH], ids[i : i + 4 * BATCH])[3]
+                    logs[i : i + 4 * BATCH] = net.forward(net.contexts(ids, before, i, i + 4 * BATCH), ids[i : i + 4 * BATCH])[3]
                 rare = ids >= SIZE - BUCKETS
                 logs[rare] -= np.log(totals[ids[rare] - (SIZE - BUCKETS)] + 1)
                 total = np.concatenate([[0.0], np.cumsum(logs)])
@@ -263,8 +260,8 @@ def scored(docs: DataFrame, net: Net) -> DataFrame:
     words[net.ids - 1] = net.sorted
     # Rows with the same text have the same words: their mean is that of each.
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
-    rows = texts.mapInArrow(_scored(words, net.flat, net.totals), "doc_id long, key long, n_tokens long, n_rare long, log_prob double")
-    used = texts.select("key", "text").mapInArrow(_rare_words(words), "key long, h long, n long")
+    rows = arrow_map(texts, _scored(words, net.flat, net.totals), "doc_id long, key long, n_tokens long, n_rare long, log_prob double")
+    used = arrow_map(texts.select("key", "text"), _rare_words(words), "key long, h long, n long")
     logs = used.join(net.counts, "h", "left").groupBy("key").agg((F.sum(F.col("n") * F.log(F.coalesce("c", F.lit(1)).cast("double"))) / F.sum("n")).alias("rare"))
     log_prob = F.col("log_prob") + F.coalesce(F.col("n_rare") * F.col("rare"), F.lit(0.0))
     out = rows.join(logs, "key", "left").select("doc_id", "n_tokens", log_prob.alias("log_prob"))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordbytes as wb
-from .common import fold, kept
+from .common import arrow_map, fold, kept
 
 #: Labelled documents to learn from, at most.
 TRAIN_MOST = 12_000
@@ -55,8 +55,16 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     out = np.zeros((n, len(NAMES)))
     if not len(data):
         return out
-    row = np.repeat(np.arange(n), size)
-    shares = np.bincount(row * (len(CLASSES) + 1) + _CLASS[data], minlength=n * (len(CLASSES) + 1)).reshape(n, -1)[:, : len(CLASSES)]
+    kinds = len(CLASSES) + 1
+    shares = np.zeros(n * kinds, np.int64)
+    for lo in range(0, len(data), wb.BLOCK):
+        cut = np.clip(offsets, lo, lo + wb.BLOCK)
+        shares += np.bincount(np.repeat(np.arange(n), np.diff(cut)) * kinds + _CLASS[data[lo : lo + wb.BLOCK]], minlength=n * kinds)
+    shares = shares.reshape(n, kinds)[:, : len(CLASSES)]
+
+    def row(at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(offsets, at, side="right") - 1
+
     inside = ~wb._SPACE[data]
     begins, ends = inside.copy(), inside.copy()
     begins[1:] &= ~inside[:-1]
@@ -66,7 +74,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     ends[full[1:] - 1] = inside[full[1:] - 1]
     at, to = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     length = (to - at).astype(np.float64)
-    of = row[at] if len(at) else np.zeros(0, np.int64)
+    of = row(at)
     words = np.bincount(of, minlength=n)
     some = np.maximum(words, 1)
     mean = np.bincount(of, length, n) / some
@@ -89,8 +97,8 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     la = np.flatnonzero(breaks)
     lt = np.append(la[1:], len(data))
     la = la + (data[la] == 10)
-    lines = np.bincount(row[np.minimum(la, len(data) - 1)][la < lt], minlength=n)
-    lines_distinct = _distinct(wb.spans(data, la[la < lt], lt[la < lt]), row[la[la < lt]], n)
+    lines = np.bincount(row(la[la < lt]), minlength=n)
+    lines_distinct = _distinct(wb.spans(data, la[la < lt], lt[la < lt]), row(la[la < lt]), n)
     longest = np.zeros(n)
     np.maximum.at(longest, of, length)
     columns = [
@@ -190,7 +198,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = TRAIN_MOST) -> Trees:
     chosen = kept(usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most), "labelled")
     # At most `most` rows of two numbers: safe to send to every task.
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("y", "text")
-    got = rows.mapInArrow(_measured, "y double, x array<double>").toArrow()
+    got = arrow_map(rows, _measured, "y double, x array<double>").toArrow()
     x = np.array(got.column("x").to_pylist(), dtype=np.float64).reshape(-1, len(NAMES))
     order = np.lexsort(x.T)
     return grow(x[order], got.column("y").to_numpy()[order])
@@ -199,5 +207,5 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = TRAIN_MOST) -> Trees:
 def scored(docs: DataFrame, model: Trees) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of docs."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = rows.mapInArrow(_scored(model), "doc_id long, score double")
+    out = arrow_map(rows, _scored(model), "doc_id long, score double")
     return out.select("doc_id", (fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= LIKELY).cast("int").alias("predicted"))

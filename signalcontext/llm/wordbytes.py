@@ -1,7 +1,8 @@
 """Vectorised word and shingle hashing over the UTF-8 buffer of an Arrow string column.
 
 White space is the six ASCII bytes 0x20 and 0x09-0x0D, so words can be found on the bytes themselves,
-without decoding.  Every function works on whole texts; a batch is cut only between documents.
+without decoding.  Every function works on whole texts; a batch is cut only between documents, and a document longer than a step is
+hashed block by block.
 """
 
 from __future__ import annotations
@@ -14,8 +15,9 @@ import pyarrow as pa
 #: Fixed odd multipliers of the polynomial and of the mixers.
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX_A, _MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-#: Bytes of text that one vectorised step takes (a longer document is a step by itself).
-STEP_BYTES = 1 << 20
+#: Bytes of text that one vectorised step takes (a longer document is a step by itself, hashed in blocks of BLOCK bytes).
+STEP_BYTES = 1 << 18
+BLOCK = 1 << 18
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -30,27 +32,35 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-#: The multiplier's inverse modulo 2**64.
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: The first powers of the multiplier and of its inverse modulo 2**64, as many as a block needs.
+with np.errstate(over="ignore"):
+    _POWER, _UNPOWER = (np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(BLOCK, x), dtype=np.uint64)]) for x in (_BASE, np.uint64(pow(int(_BASE), -1, 1 << 64))))
 
 
-def _power(n: int, inverse: bool = False) -> np.ndarray:
-    """The first n powers of the multiplier or of its inverse."""
-    if len(_powers[inverse]) < n:
-        with np.errstate(over="ignore"):
-            more = np.cumprod(np.full(2 * n, _INVERSE if inverse else _BASE), dtype=np.uint64)
-        _powers[inverse] = np.concatenate([np.ones(1, np.uint64), more])
-    return _powers[inverse][:n]
+def spans(value: np.ndarray, at: np.ndarray, to: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of each span at..to of the bytes (through the table, if there is one), the same wherever the span
+    stands: the difference of a polynomial prefix sum, divided by the power at which the span begins.
 
-
-def spans(value: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span at..to of the bytes, the same wherever the span stands: the difference of a
-    polynomial prefix sum, divided by the power at which the span begins."""
+    The spans are in order and do not overlap, so that of those in a block only the first can have begun before it."""
+    out = np.zeros(len(at), np.uint64)
+    total = np.zeros(min(len(value), BLOCK) + 1, np.uint64)
     with np.errstate(over="ignore"):
-        total = np.zeros(len(value) + 1, np.uint64)
-        np.cumsum((value.astype(np.uint64) + np.uint64(1)) * _power(len(value)), out=total[1:])
-        return mix((total[to] - total[at]) * _power(len(value) + 1, True)[at] + (to - at).astype(np.uint64))
+        for lo in range(0, len(value), BLOCK):
+            part = value[lo : lo + BLOCK]
+            n = len(part)
+            np.cumsum(((part if table is None else table[part]).astype(np.uint64) + np.uint64(1)) * _POWER[:n], out=total[1 : n + 1])
+            i, j = np.searchsorted(to, lo, side="right"), np.searchsorted(at, lo + n, side="left")
+            if i == j:
+                continue
+            a, b = np.maximum(at[i:j] - lo, 0), np.minimum(to[i:j] - lo, n)
+            more = (total[b] - total[a]) * _UNPOWER[a]
+            if at[i] < lo:
+                more[:1] *= np.uint64(pow(int(_BASE), int(lo - at[i]), 1 << 64))
+            out[i:j] += more
+        out += (to - at).astype(np.uint64)
+    for i in range(0, len(out), BLOCK):
+        out[i : i + BLOCK] = mix(out[i : i + BLOCK])
+    return out
 
 
 def steps(column: pa.Array, step_bytes: int = STEP_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -84,8 +94,23 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np
     last = rows[1:] - 1
     ends[last] = inside[last]
     at, to = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    hashes = spans(_LOWER[data] if lower else data, at, to)
-    return hashes, np.searchsorted(at, offsets, side="left")
+    return spans(data, at, to, _LOWER if lower else None), np.searchsorted(at, offsets, side="left")
+
+
+def _row_shingles(hashes: np.ndarray, width: int) -> np.ndarray:
+    """The distinct shingles of one text in order, with no more than two arrays of its length."""
+    n = len(hashes) - width + 1
+    acc = hashes[:n].copy()
+    with np.errstate(over="ignore"):
+        for k in range(1, width):
+            acc *= _BASE
+            acc += hashes[k : n + k]
+        for i in range(0, n, BLOCK):
+            acc[i : i + BLOCK] = mix(acc[i : i + BLOCK] + np.uint64(width))
+    acc.sort()
+    keep = np.ones(n, bool)
+    np.not_equal(acc[1:], acc[:-1], out=keep[1:])
+    return acc[keep]
 
 
 def shingles(hashes: np.ndarray, before: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -94,10 +119,13 @@ def shingles(hashes: np.ndarray, before: np.ndarray, width: int = 5) -> tuple[np
     A row with fewer words than the width has one shingle, its whole word sequence; a row without words none.
     """
     counts = np.diff(before)
-    rows = np.repeat(np.arange(len(counts)), counts)
     n = len(hashes)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    if len(counts) == 1 and n >= width:
+        acc = _row_shingles(hashes, width)
+        return acc, np.zeros(len(acc), np.int64)
+    rows = np.repeat(np.arange(len(counts)), counts)
     with np.errstate(over="ignore"):
         place = np.arange(n)
         left = before[1:][rows] - place
