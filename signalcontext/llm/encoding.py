@@ -2,7 +2,8 @@
 
 The vocabulary's pre-tokeniser puts a boundary in front of each space that follows a non-space character, on
 both sides of a line end between two non-space characters, and between a letter or digit and the ASCII sign
-after it.  A text may be cut at any of these and its pieces encoded alone.  Pieces repeat a lot: a worker keeps
+after it.  A text may be cut at any of these and its pieces encoded alone.  A name of an added token in a text is that
+token, and the parts between such names are encoded alone; a parameter makes the names ordinary text.  Pieces repeat a lot: a worker keeps
 the ids of those it has seen in arrays of bounded size, looked up by 64-bit hash, and only new pieces go through
 the merge table, which is read from the same vocabulary file.
 """
@@ -10,6 +11,7 @@ the merge table, which is read from the same vocabulary file.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,11 +20,13 @@ import pyarrow as pa
 from . import wordbytes as wb
 
 #: A worker forgets its pieces when it has more than this.
-KNOWN_MOST = 600_000
+KNOWN_MOST = 300_000
+#: Bytes of text encoded at a time.
+STEP_BYTES = 1 << 19
 #: Fixed pattern of the byte-level pre-tokeniser.
 PRETOKEN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-_encoders: dict[str, PieceEncoder] = {}
+_encoders: dict[tuple[str, bool], PieceEncoder] = {}
 
 
 def _flags(*spans: tuple[int, int]) -> np.ndarray:
@@ -79,9 +83,9 @@ def _cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class PieceEncoder:
-    """The ids of texts.  Names of special tokens inside a text are ordinary text."""
+    """The ids of texts.  named: the names of added tokens in a text are those tokens, else ordinary text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, named: bool = True):
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
@@ -89,6 +93,8 @@ class PieceEncoder:
         letters, added = _byte_letters(), {x["content"] for x in spec.get("added_tokens", [])}
         ranks = {bytes(letters[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in added}
         self.merges = tiktoken.Encoding("own", pat_str=PRETOKEN, mergeable_ranks=ranks, special_tokens={})
+        self.added = {x["content"].encode(): x["id"] for x in spec.get("added_tokens", [])} if named else {}
+        self.names = re.compile(b"|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.newline = ranks[b"\n"]
         self._forget()
 
@@ -138,37 +144,70 @@ class PieceEncoder:
         upto = np.concatenate([[0], ends])
         return ids, upto[np.searchsorted(starts, offsets)] if rows else upto[:1]
 
+    def _long(self, data: np.ndarray) -> np.ndarray:
+        """The ids of one text without odd white space, in parts of about STEP_BYTES that end where a piece does."""
+        if len(data) <= 2 * STEP_BYTES:
+            return self._step(data, np.array([0, len(data)]))[0] if len(data) else np.zeros(0, np.uint32)
+        out, at = [], 0
+        while at < len(data):
+            end = len(data)
+            if end - at > 2 * STEP_BYTES:
+                # The last piece may go on in the next part, and with it a line end before it.
+                starts = _cuts(data[at : at + STEP_BYTES], np.array([0, STEP_BYTES]))
+                starts = starts[(starts > 0) & (starts < STEP_BYTES - 2)]
+                if len(starts):
+                    end = at + int(starts[-1])
+            out.append(self._step(data[at:end], np.array([0, end - at]))[0])
+            at = end
+        return np.concatenate(out)
+
+    def _alone(self, text: bytes) -> np.ndarray:
+        """The ids of one text, by the merge table where it has odd white space."""
+        data = np.frombuffer(text, np.uint8)
+        if len(_odd_white(data)):
+            return np.asarray(self.merges.encode_ordinary(text.decode()), np.uint32)
+        return self._long(data)
+
+    def _with_names(self, text: bytes) -> np.ndarray:
+        """The ids of one text, cut at the names of added tokens."""
+        out, at = [], 0
+        for m in self.names.finditer(text):
+            out += [self._alone(text[at : m.start()]), np.array([self.added[m.group()]], np.uint32)]
+            at = m.end()
+        return np.concatenate([*out, self._alone(text[at:])])
+
     def rows(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows, ids before each row and after the last)."""
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         odd = _odd_white(data)
-        if not len(odd):
-            return self._step(data, offsets)
         slow = set(np.searchsorted(offsets, odd, side="right") - 1)
+        named = self.names is not None and self.names.search(memoryview(data)) is not None
+        if not slow and not named and len(data) <= 2 * STEP_BYTES:
+            return self._step(data, offsets)
         parts, counts = [], []
         for r in range(len(offsets) - 1):
             part = data[offsets[r] : offsets[r + 1]]
-            if r in slow:
-                ids = np.asarray(self.merges.encode_ordinary(part.tobytes().decode()), np.uint32)
+            if named and self.names.search(memoryview(part)):
+                ids = self._with_names(part.tobytes())
             else:
-                ids = self._step(part, np.array([0, len(part)]))[0] if len(part) else np.zeros(0, np.uint32)
+                ids = self._alone(part.tobytes()) if r in slow else self._long(part)
             parts.append(ids)
             counts.append(len(ids))
         return np.concatenate(parts), np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
 
 
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, named: bool = True) -> PieceEncoder:
     """The worker's encoder of a vocabulary file."""
-    if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
-    return _encoders[path]
+    if (path, named) not in _encoders:
+        _encoders[path, named] = PieceEncoder(path, named)
+    return _encoders[path, named]
 
 
-def encoded(batch: pa.RecordBatch, path: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def encoded(batch: pa.RecordBatch, path: str, named: bool = True) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, ids, ids before each row) in steps of bounded size over the batch's texts."""
-    enc = encoder(path)
-    for first, end, data, offsets in wb.steps(batch.column("text")):
+    enc = encoder(path, named)
+    for first, end, data, offsets in wb.steps(batch.column("text"), STEP_BYTES):
         yield first, end, *enc.rows(data, offsets)
 
 

@@ -6,7 +6,8 @@ whatever the ids are); a fixed share of these rests is cut into small pieces, wi
 the windows out.  In a block, differencing over k windows merges the two partial partitions of the largest
 imbalance, largest sums against smallest, until one is left; if its largest window exceeds the capacity, k rises.
 
-Edge cases: a null or empty text is the closing id alone; repeated rows and rows with a null doc_id are packed as
+Edge cases: a null or empty text is the closing id alone; the name of an added token is that token; a very long
+text fills windows of its own but for its rest; repeated rows and rows with a null doc_id are packed as
 rows of their own; an empty table gives no pieces; columns other than doc_id and text are ignored.
 """
 
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept
+from .common import arrow_map, kept
 from .encoding import encoded, public_vocabulary
 
 WINDOW, CLOSING = 1024, 0
@@ -44,14 +45,14 @@ def cut_sizes(rest: int, number: int) -> list[int]:
     return [rest] if rest else []
 
 
-def _pieces(path: str, window: int):
+def _pieces(path: str, window: int, named: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         number = filled = TaskContext.get().partitionId() << 36
         for batch in batches:
             all_ids = batch.column("doc_id").cast(pa.int64()).to_pylist()
-            for first, end, ids, before in encoded(batch, path):
+            for first, end, ids, before in encoded(batch, path, named):
                 raw, out = memoryview(ids.astype("<u4").tobytes()), []
                 closing = CLOSING.to_bytes(4, "little")
                 bounds = before.tolist()
@@ -145,12 +146,14 @@ def _packed(window: int):
     return run
 
 
-def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, named: bool = True) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id (even: a full window of one
-    document; odd: a window of rests), offset, padded_length (the window, or a power of two as it is)."""
+    document; odd: a window of rests), offset, padded_length (the window, or a power of two as it is).
+
+    named: the name of an added token in a text is that token, as `tokenizers` reads it."""
     path = vocabulary or public_vocabulary()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    pieces = kept(docs.mapInArrow(_pieces(path, window), PIECES), "pieces")
+    pieces = kept(arrow_map(docs, _pieces(path, window, named), PIECES), "pieces")
     whole = pieces.where("full").select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (2 * F.col("sequence")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     whole = whole.withColumn("padded_length", F.lit(window).cast("long"))
     rests = pieces.where("not full")

@@ -4,7 +4,7 @@ Documents are aggregated by their number of ids; suffix sums over the distinct l
 context limit, how many documents reach it and how many ids are left when each is cut there:
 truncated(L) = tokens of the documents shorter than L + L * documents of at least L.
 
-Edge cases: null and empty texts have length 0; repeated rows count as often as they stand; an empty table gives
+Edge cases: null and empty texts have length 0; the name of an added token counts as that token; repeated rows count as often as they stand; an empty table gives
 an empty histogram; columns other than text are ignored.
 """
 
@@ -17,29 +17,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import kept
+from .common import arrow_map, kept
 from .encoding import encoded, public_vocabulary
 
 #: Distinct lengths are summed in spans of so many ids, then over the spans.
 SPAN = 1024
 
 
-def _counted(path: str):
+def _counted(path: str, named: bool):
     """(length, documents) of each step: the histogram is begun where the texts are read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, _, before in encoded(batch, path):
+            for _, _, _, before in encoded(batch, path, named):
                 n, c = np.unique(np.diff(before), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(n.astype(np.int64)), pa.array(c.astype(np.int64))], names=["n_tokens", "n_docs"])
 
     return run
 
 
-def length_histogram(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """n_tokens, n_docs: one row a distinct length."""
+def length_histogram(docs: DataFrame, vocabulary: str | None = None, named: bool = True) -> DataFrame:
+    """n_tokens, n_docs: one row a distinct length.  named: the name of an added token in a text is that token."""
     path = vocabulary or public_vocabulary()
-    return docs.select("text").mapInArrow(_counted(path), "n_tokens long, n_docs long").groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
+    return arrow_map(docs.select("text"), _counted(path, named), "n_tokens long, n_docs long").groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
 
 
 def with_sums(histogram: DataFrame) -> DataFrame:
