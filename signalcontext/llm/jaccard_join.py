@@ -18,8 +18,9 @@ central ones, whose elements stand in the longest lists; pairs of one component
 so no link is lost.
 
 Edge cases: a null or wordless text has an empty set and is linked with nothing; rows whose doc_id is null come
-back with component_id null; repeated rows are documents of one class; an empty table gives an empty result;
-columns other than doc_id and text are ignored.
+back with component_id null; rows that repeat a doc_id are one document: where their sets differ, the set of the
+smallest size and digest is the document's, and every row gets the document's component; an empty table gives an empty
+result; columns other than doc_id and text are ignored; a very long text is hashed in blocks.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import wordbytes as wb
-from .common import components, joined_components, kept, sized
+from .common import arrow_map, components, joined_components, kept, sized
 
 WIDTH = 5
 #: A link needs at least NUM / DEN of the union in common.
@@ -40,14 +41,12 @@ NUM, DEN = 75, 100
 #: Shingles seen less often are not ordered by frequency; at most so many frequent ones are told apart (8 bytes each on the driver).
 FREQUENT, FREQUENT_MOST = 8, 1 << 18
 #: Local counts are taken over so many shingles at a time.
-COUNT_BLOCK = 1 << 21
+COUNT_BLOCK = 1 << 20
 #: While the lists hold more than so many pairs of different components a row, the members of each list meet its
 #: most central members first, so many of them in each round, before all such pairs are looked at.
 FEW_PAIRS, HUBS = 1, (1, 4)
 #: Up to so many ids of documents in candidate pairs are sent to the tasks instead of dealing out the texts.
 SENT_IDS = 500_000
-#: Sizes above this are always heavy.
-LIGHT_MOST = 64
 _LIGHT, _HEAVY = np.uint64(0x2545F4914F6CDD1D), np.uint64(0xD6E8FEB86659FD93)
 
 PASS_SCHEMA = "kind int, doc_id long, n long, d1 long, d2 long, h long, c long"
@@ -67,6 +66,11 @@ def _sum_by_row(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - sizes]
 
 
+def _digest(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return _sum_by_row(wb.mix(h), sizes)
+
+
 def _digest_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row a document (kind 0: size and an order-free 128-bit digest) and one a locally repeated shingle (kind 1)."""
     block: list[np.ndarray] = []
@@ -80,8 +84,8 @@ def _digest_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for ids, sizes, h, _ in _rows(batch):
+            d1 = _digest(h, sizes)
             with np.errstate(over="ignore"):
-                d1 = _sum_by_row(wb.mix(h), sizes)
                 d2 = _sum_by_row(wb.mix(h ^ _LIGHT), sizes)
             null = pa.nulls(len(ids), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ids), np.int32)), ids, pa.array(sizes.astype(np.int64)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), null, null], names=PASS_NAMES)
@@ -98,17 +102,30 @@ PASS_NAMES = [x.split()[0] for x in PASS_SCHEMA.split(", ")]
 
 
 def light_boundary(histogram: dict[int, int], mean_list: float) -> int:
-    """The size up to which sets are light: rows of 2-subsets against rows and scans of inverted lists."""
+    """The size up to which sets are light, of all sizes that occur: rows of 2-subsets against rows of inverted lists
+    and the members that each of these meets there.  A row of a list meets mean_list members."""
 
     def p1(n: int) -> int:
         return n - (NUM * n + DEN - 1) // DEN + 1
 
-    def cost(x: int) -> float:
-        light = sum(c * (p1(n) + 1) * p1(n) // 2 for n, c in histogram.items() if n <= x)
-        heavy = sum(c * p1(n) * (1 + mean_list * (n > x)) for n, c in histogram.items() if DEN * n > NUM * x)
-        return light + heavy
-
-    return min(range(LIGHT_MOST + 1), key=cost)
+    sizes = sorted(histogram)
+    light = heavy = 0.0
+    # With the boundary at x, lists hold the sets of sizes that can link with a larger set, and those beyond x scan them.
+    scans = sum(c * p1(n) * mean_list for n, c in histogram.items())
+    best, at = None, 0
+    listed = sum(c * p1(n) for n, c in histogram.items())
+    i = 0
+    for x in [0, *sizes]:
+        c, p = histogram.get(x, 0), p1(x) if x else 0
+        light += c * (p + 1) * p // 2
+        scans -= c * p * mean_list
+        while i < len(sizes) and DEN * sizes[i] <= NUM * x:
+            listed -= histogram[sizes[i]] * p1(sizes[i])
+            i += 1
+        heavy = listed + scans
+        if best is None or light + heavy < best:
+            best, at = light + heavy, x
+    return at
 
 
 def _prefix_pass(frequent: np.ndarray, often: np.ndarray, boundary: int):
@@ -117,6 +134,7 @@ def _prefix_pass(frequent: np.ndarray, often: np.ndarray, boundary: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, sizes, h, r in _rows(batch):
+                digest = _digest(h, sizes)
                 if len(frequent) and len(h):
                     at = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
                     rank = np.where(frequent[at] == h, often[at], 0)
@@ -145,16 +163,23 @@ def _prefix_pass(frequent: np.ndarray, often: np.ndarray, boundary: int):
                 counts = np.bincount(own, minlength=len(sizes))
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(tok[order].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes.astype(np.int64)), lists], names=["doc_id", "n", "tokens"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes.astype(np.int64)), pa.array(digest.view(np.int64)), lists], names=["doc_id", "n", "d1", "tokens"])
 
     return run
 
 
 def _set_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, again and set of the rows whose digest is the wanted one."""
     for batch in batches:
-        for ids, sizes, h, _ in _rows(batch):
-            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(offsets), pa.array(h.view(np.int64)))], names=["doc_id", "s"])
+        at, wanted = 0, batch.column("d1").to_numpy().view(np.uint64)
+        for ids, sizes, h, r in _rows(batch):
+            n = len(ids)
+            mine = _digest(h, sizes) == wanted[at : at + n]
+            offsets = np.concatenate([[0], np.cumsum(sizes[mine])]).astype(np.int32)
+            again = batch.column("again").slice(at, n)
+            at += n
+            sets = pa.ListArray.from_arrays(pa.array(offsets), pa.array(h[mine[r]].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([ids.filter(pa.array(mine)), again.filter(pa.array(mine)), sets], names=["doc_id", "again", "s"])
 
 
 def _meet(xn: str, xpos: str, yn: str, ypos: str) -> str:
@@ -177,39 +202,54 @@ def _plausible(pairs: DataFrame, lists: DataFrame, boundary: int) -> DataFrame:
     return shared.where(f"greatest(na, nb) <= {boundary} or s + {rest} >= {need}").select("a", "b")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets link.  Only the texts of documents in pairs are taken."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets link.  Only the texts of documents in pairs are taken.
+
+    reps: doc_id, d1 and whether several rows have the id; only of those is one row picked from each group."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(reps, "doc_id")
     wanted = kept(sized(wanted, 2 * pairs.count()), "wanted")
-    # Few enough ids go to every task (8 bytes each); else texts and ids meet by key.
+    # Few enough ids go to every task (17 bytes each); else texts and ids meet by key.
     ids = F.broadcast(wanted) if wanted.count() <= SENT_IDS else wanted
-    texts = docs.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    sets = kept(texts.mapInArrow(_set_pass, "doc_id long, s array<long>"), "sets", free=True)
+    found = arrow_map(docs.join(ids, "doc_id").select("doc_id", "text", "d1", "again"), _set_pass, "doc_id long, again boolean, s array<long>")
+    sets = kept(found, "sets")
+    sets = sets.where("not again").select("doc_id", "s").unionByName(sets.where("again").groupBy("doc_id").agg(F.first("s").alias("s")))
     a = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa"))
     b = sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb")).cast("long")
     full = pairs.join(a, "a").join(b, "b").select("a", "b", both.alias("i"), (F.size("sa") + F.size("sb")).cast("long").alias("t"))
-    return kept(full.where(f"{DEN} * i >= {NUM} * (t - i)").select("a", "b"), "verified", free=True)
+    return kept(full.where(f"{DEN} * i >= {NUM} * (t - i)").select("a", "b"), "verified")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs(doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    first = kept(docs.mapInArrow(_digest_pass, PASS_SCHEMA), "digests")
+    first = kept(arrow_map(docs, _digest_pass, PASS_SCHEMA), "digests")
     rows = first.where("kind = 0").select("doc_id", "n", "d1", "d2")
 
-    often = first.where("kind = 1").groupBy("h").agg(F.sum("c").alias("c")).where(f"c >= {FREQUENT}").orderBy(F.desc("c"), "h").limit(FREQUENT_MOST).collect()
+    counts = kept(first.where("kind = 1").groupBy("h").agg(F.sum("c").alias("c")), "counts")
+    often = counts.where(f"c >= {FREQUENT}").orderBy(F.desc("c"), "h").limit(FREQUENT_MOST).collect()
     order = np.argsort(h := np.array([x.h for x in often], np.int64).view(np.uint64))
-    frequent, counts = h[order], np.array([x.c for x in often], np.int64)[order]
-
-    classes = kept(rows.where("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
-    histogram = {x.n: x.c for x in classes.groupBy(F.least("n", F.lit(LIGHT_MOST * 2)).alias("n")).agg(F.count("*").alias("c")).collect()}
-    total = sum(n * c for n, c in histogram.items()) or 1
-    boundary = light_boundary(histogram, 1 + float((counts.astype(float) ** 2).sum()) / max(total, counts.sum()))
-
-    reps = classes.select(F.col("rep").alias("doc_id"), F.col("n").alias("rep_n"))
-    tokens = docs.where("doc_id is not null").mapInArrow(_prefix_pass(frequent, counts, boundary), "doc_id long, n long, tokens array<long>")
-    tokens = tokens.where(F.size("tokens") > 0).join(reps, "doc_id", "left_semi")
+    frequent, counted = h[order], np.array([x.c for x in often], np.int64)[order]
+
+    # A document a doc_id, a class an equal set.
+    own = rows.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("n", "d1", "d2")).alias("m"), (F.count("*") > 1).alias("again"))
+    own = kept(own.select("doc_id", "m.*", "again"), "documents")
+    classes = kept(own.groupBy("n", "d1", "d2").agg(F.min(F.struct("doc_id", "again")).alias("m")).select("n", "d1", "d2", F.col("m.doc_id").alias("rep"), "m.again"), "classes")
+    histogram = {x.n: x.c for x in classes.groupBy("n").agg(F.count("*").alias("c")).collect()}
+    # Prefixes hold rare shingles: a shingle that was never counted twice stands alone, a frequent one stands last.
+    rare = counts.where(f"c < {FREQUENT}").agg(F.sum("c").alias("c"), F.sum(F.expr("c * c")).alias("q")).first()
+    alone = max(sum(n * c for n, c in histogram.items()) - (rare.c or 0) - int(counted.sum()), 0)
+    boundary = light_boundary(histogram, (alone + (rare.q or 0)) / max(alone + (rare.c or 0), 1))
+
+    reps = classes.select(F.col("rep").alias("doc_id"), "d1", "again")
+    tokens = arrow_map(docs.where("doc_id is not null"), _prefix_pass(frequent, counted, boundary), "doc_id long, n long, d1 long, tokens array<long>")
+    tokens = tokens.where(F.size("tokens") > 0).join(reps.where("not again"), ["doc_id", "d1"], "left_semi")
+    # Of rows that repeat a document, one.
+    twice = reps.where("again")
+    if not twice.isEmpty():
+        more = arrow_map(docs.where("doc_id is not null"), _prefix_pass(frequent, counted, boundary), "doc_id long, n long, d1 long, tokens array<long>")
+        more = more.where(F.size("tokens") > 0).join(twice, ["doc_id", "d1"], "left_semi")
+        tokens = tokens.unionByName(more.groupBy("doc_id", "d1").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")).select(*tokens.columns))
     # An element's place is its index among the tokens; 2-subsets, which come last, count as met at the front.
     heavy_n = F.expr(f"if({DEN} * n > {NUM * boundary}, n - ({NUM} * n + {DEN - 1}) div {DEN} + 1, 0)")
     tokens = tokens.select("doc_id", "n", heavy_n.alias("heavy_n"), F.posexplode("tokens").alias("i", "token"))
@@ -222,16 +262,16 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     split += [F.expr(f"{x}np & {(1 << 31) - 1}L").alias(f"{x}pos") for x in ("", "before_")]
     near = near.select("token", "doc_id", "before", *split)
     lists = near.where(f"{DEN} * before_n >= {NUM} * n or {DEN} * n >= {NUM} * after_n").drop("after_n")
-    lists = kept(lists, "lists", free=True)
+    lists = kept(lists, "lists")
     pair = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
     chain = kept(lists.where(f"{_meet('n', 'pos', 'before_n', 'before_pos')} and doc_id <> before").select(F.col("before").alias("x"), F.col("doc_id").alias("y")).select(*pair).distinct(), "chain")
-    links = _verified(kept(_plausible(chain, lists, boundary), "plausible", free=True), docs)
+    links = _verified(kept(_plausible(chain, lists, boundary), "plausible"), docs, reps)
     found = components(links, links.count())
 
     tried = chain
     lengths = lists.groupBy("token").agg(F.count("*").alias("length"))
     central = lists.join(lengths, "token").groupBy("doc_id").agg(F.sum("length").alias("weight"))
-    central = kept(central, "central", free=True)
+    central = kept(central, "central")
     for turn in range(len(HUBS) + 1):
         labelled = lists.select("token", "n", "pos", "doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
         labelled = labelled.select("token", "n", "pos", "doc_id", F.coalesce("component", "doc_id").alias("component"))
@@ -252,9 +292,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
             hubs = labelled.join(central, "doc_id").select("*", F.row_number().over(w).alias("place")).where(F.col("place") <= HUBS[turn])
             x = hubs.select("token", F.col("n").alias("xn"), F.col("pos").alias("xp"), F.col("doc_id").alias("x"), F.col("component").alias("xc"))
             cross = y.join(x, "token").where(f"xc <> yc and {_meet('xn', 'xp', 'yn', 'yp')}")
-        cross = kept(cross.select(*pair).distinct().join(tried, ["a", "b"], "left_anti"), "cross", free=True)
+        cross = kept(cross.select(*pair).distinct().join(tried, ["a", "b"], "left_anti"), "cross")
         if not cross.isEmpty():
-            more = _verified(kept(_plausible(cross, lists, boundary), "plausible", free=True), docs)
+            more = _verified(kept(_plausible(cross, lists, boundary), "plausible"), docs, reps)
             if not more.isEmpty():
                 found = joined_components(found, more)
         tried = tried.unionByName(cross)
@@ -262,18 +302,24 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
             break
 
     labels = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component_id"))
-    full = rows.where("n > 0").join(labels, ["n", "d1", "d2"], "left")
-    full = full.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
-    empty = rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    return full.unionByName(empty).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    labels = own.join(labels, ["n", "d1", "d2"]).select("doc_id", "component_id")
+    # A row without words takes its document's component, if another row of the document has one.
+    out = rows.select("doc_id", "n").join(labels, "doc_id", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs, without all but one document of each component (the one with the smallest doc_id; rows
-    that repeat it are one document).  Rows without a doc_id stay."""
-    labels = jaccard_components(docs)
-    stay = labels.where("doc_id = component_id").select("doc_id").distinct()
-    others = [c for c in docs.columns if c != "doc_id"]
-    one = docs.where("doc_id is not null").join(stay, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*others)).alias("_one"))
-    one = one.select("doc_id", *(F.col("_one").getField(c).alias(c) for c in others))
-    return one.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """The rows of docs, without all but one document of each component (the one with the smallest doc_id; of rows
+    that repeat it, one with the smallest hash of its text).  Rows without a doc_id stay."""
+    if "text" not in docs.columns:
+        raise ValueError("keep_one needs the columns doc_id and text")
+    labels = kept(jaccard_components(docs), "labels")
+    stay = labels.where("doc_id = component_id").groupBy("doc_id").agg((F.count("*") > 1).alias("again"))
+    stay = kept(stay, "stay")
+    some = docs.where("doc_id is not null")
+    out = some.join(stay.where("not again").select("doc_id"), "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    if stay.where("again").isEmpty():
+        return out.select(*docs.columns)
+    twice = some.join(stay.where("again").select("doc_id"), "doc_id", "left_semi").select(F.struct(*docs.columns).alias("row"))
+    one = twice.groupBy(F.col("row.doc_id").alias("doc_id")).agg(F.min_by("row", F.xxhash64("row.text")).alias("row"))
+    return out.select(*docs.columns).unionByName(one.select("row.*"))
