@@ -8,8 +8,10 @@ compared in lower case, with ASCII signs and white space as single blanks.
 The items are a stated query set: they go to the tasks in blocks of at most BLOCK_CHARS characters, one pass over
 the documents a block, whatever the size of the benchmark.
 
-Edge cases: null or empty texts and items match nothing; an item shorter than SHORT characters must stand
-unaltered; repeated rows are matched each; a null doc_id stays null; with an empty benchmark nothing matches and
+Edge cases: null or empty texts and items match nothing; an item shorter than SHORT characters (or too
+short for one edit) must stand unaltered between word borders; repeated rows are matched each, and of items with one
+id each text is searched; whole texts are searched, however long; columns of the documents with names of the result are
+not read; a null doc_id stays null; with an empty benchmark nothing matches and
 apply() keeps every row; apply() passes other columns through.
 """
 
@@ -23,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import arrow_map
+
 RATE, SHORT = 0.08, 25
 #: Characters of items whose pieces one task holds at a time.
 BLOCK_CHARS = 4_000_000
@@ -43,8 +47,10 @@ def budget(item: str) -> int:
 
 
 def pieces(item: str) -> list[tuple[int, str]]:
-    """(offset, piece) of the item's error-budget-plus-one pieces."""
+    """(offset, piece) of the item's error-budget-plus-one pieces; an item without a budget stands between word borders."""
     n = budget(item) + 1
+    if n == 1:
+        return [(0, f" {item} ")]
     cuts = [len(item) * i // n for i in range(n + 1)]
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:])]
 
@@ -100,6 +106,7 @@ class Matcher:
         t = normal(text)
         if not t or not self.items:
             return []
+        t = f" {t} "
         hits: dict[int, set[int]] = {}
         for end, (size, where) in self.automaton.iter(t):
             for i, offset in where:
@@ -108,11 +115,14 @@ class Matcher:
         for i, starts in sorted(hits.items()):
             item = self.items[i]
             k = budget(item)
+            if not k:
+                out.append((i, 0))
+                continue
             best, low, high = k + 1, None, 0
             for s in [*sorted(starts), None]:
                 if low is not None and (s is None or s - k > high):
                     window = t[max(low, 0) : high]
-                    best = min(best, 0 if item in window else myers(item, window) if k else best)
+                    best = min(best, 0 if item in window else myers(item, window))
                     low = None
                 if s is not None and low is None:
                     low = s - k
@@ -158,12 +168,12 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, distance, budget: one row for each item that each document has a copy of."""
     rows = docs.select("doc_id", "text")
     schema = "doc_id long, item_id long, distance long, budget long"
-    parts = [rows.mapInArrow(_matched(b), schema) for b in blocks(benchmark.where("item_id is not null"))]
+    parts = [arrow_map(rows, _matched(b), schema) for b in blocks(benchmark.where("item_id is not null"))]
     return reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], schema)
 
 
 def apply(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold a copy of no item."""
     for block in blocks(benchmark):
-        docs = docs.mapInArrow(_without(block), docs.schema)
+        docs = arrow_map(docs, _without(block), docs.schema)
     return docs
