@@ -23,17 +23,19 @@ WEIGHTS = {"source_reliability": 3, "information_credibility": 3, "corroboration
 def dedup_verdicts(observations: DataFrame) -> DataFrame:
     """observations (record_id, content_hash, publisher, record_hash, arrival) with a verdict: in arrival order, only
     the first earlier observation with the same bytes and the first of the same publisher can decide."""
-    by = lambda *k: Window.partitionBy("record_id", *k).orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)
-    rows = observations.withColumns({
-        "_any": F.count("*").over(by()), "_bytes": F.first("publisher").over(by("content_hash")),
-        "_own": F.first("record_hash").over(by("publisher")),
-    })
+    # First arrivals are aggregates, combined before any shuffle: no task orders all observations of a record.
+    first = lambda c, *k: observations.groupBy("record_id", *k).agg(F.min("arrival").alias(f"_{c}_at"), F.min_by(c, "arrival").alias(f"_{c}"))
+    same = lambda c: F.when(F.col(f"_{c}_at") < F.col("arrival"), F.col(f"_{c}"))
+    rows = observations.join(first("content_hash").drop("_content_hash"), "record_id", "left")
+    rows = rows.withColumn("_any", (F.col("_content_hash_at") < F.col("arrival")).cast("int")).drop("_content_hash_at")
+    rows = rows.join(first("publisher", "content_hash"), ["record_id", "content_hash"], "left").withColumn("_bytes", same("publisher")).drop("_publisher_at", "_publisher")
+    rows = rows.join(first("record_hash", "publisher"), ["record_id", "publisher"], "left").withColumn("_own", same("record_hash")).drop("_record_hash_at", "_record_hash")
     verdict = (
         F.when(F.col("_any") == 0, "independent_corroboration").when(F.col("_bytes") == F.col("publisher"), "exact_duplicate")
         .when(F.col("_bytes").isNotNull(), "syndicated_copy").when(F.col("_own") == F.col("record_hash"), "canonical_duplicate")
         .when(F.col("_own").isNotNull(), "update").otherwise("independent_corroboration")
     )
-    return rows.withColumn("verdict", verdict).drop("_any", "_bytes", "_own")
+    return rows.withColumn("verdict", verdict).select(*observations.columns, "verdict")
 
 
 def ladder(parties: Column) -> Column:
@@ -68,6 +70,49 @@ def related_claims(claims: DataFrame, single_valued: list[str]) -> DataFrame:
     return pairs.select(F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id"), F.col("l.subject").alias("subject"), F.col("l.slot").alias("slot"), F.expr(RELATION.format(l="l", r="r", single=single)).alias("relation"))
 
 
+def relation_summary(claims: DataFrame, single_valued: list[str]) -> DataFrame:
+    """relation, pairs, subjects of related_claims(), without making the pairs: claims that no relation can tell apart
+    are one class, and classes are paired with the product of their sizes."""
+    alike = ["subject", "slot", "status", "value", "publisher", "asserted_at", "stance"]
+    classes = claims.groupBy(*alike).agg(F.count("*").alias("n"), F.min("id").alias("id"))
+    single = ", ".join(f"'{s}'" for s in single_valued) or "''"
+    same = F.col("l.id") == F.col("r.id")
+    pairs = classes.alias("l").join(classes.alias("r"), (F.col("l.subject") == F.col("r.subject")) & (F.col("l.slot") == F.col("r.slot")) & (F.col("l.id") <= F.col("r.id")))
+    count = F.when(same, F.expr("l.n * (l.n - 1) div 2")).otherwise(F.col("l.n") * F.col("r.n"))
+    each = pairs.select(F.col("l.subject").alias("subject"), F.expr(RELATION.format(l="l", r="r", single=single)).alias("relation"), count.alias("n")).where("n > 0")
+    return each.groupBy("relation").agg(F.sum("n").alias("pairs"), F.countDistinct("subject").alias("subjects"))
+
+
+def slot(kind: Column, name: Column) -> Column:
+    """The slot of a claim's predicate; a narrative has none."""
+    return F.when(kind == "disposition", "disposition").when(kind == "attribute", F.concat(F.lit("attribute:"), name))
+
+
+def lineage_of(verdicts: DataFrame) -> DataFrame:
+    """record_id, versions (content hashes in order of arrival, of first arrivals and updates), publishers (those who
+    corroborate, sorted), revisions."""
+    first = verdicts.groupBy("record_id").agg(F.min("arrival").alias("_first"))
+    rows = verdicts.join(first, "record_id")
+    new = (F.col("verdict") == "update") | (F.col("arrival") == F.col("_first"))
+    lists = rows.groupBy("record_id").agg(F.array_sort(F.collect_list(F.when(new, F.struct("arrival", "content_hash")))).alias("v"), F.array_sort(F.collect_set(F.when(F.col("verdict") == "independent_corroboration", F.col("publisher")))).alias("publishers"))
+    return lists.select("record_id", F.transform("v", lambda x: x["content_hash"]).alias("versions"), "publishers", (F.size("v") - 1).cast("long").alias("revisions"))
+
+
+#: The order in which a record's instants are tried.
+ANCHORS = ["observed", "last_seen", "published", "modified", "created", "first_seen"]
+
+
+def decay_anchor(instants: dict[str, Column], now: Column, future: bool = False, order: list[str] = ANCHORS) -> Column:
+    """struct(anchor, at, age): the first usable instant; one after now is passed over unless it is accepted."""
+    tried = [F.when(instants[name].isNotNull() & (F.lit(future) | (instants[name] <= now)), F.struct(F.lit(name).alias("anchor"), instants[name].alias("at"), age_days(instants[name], now).alias("age"))) for name in order if name in instants]
+    return F.coalesce(*tried)
+
+
+def percent(part: Column, whole: Column) -> Column:
+    """Whole percent; all of nothing is everything."""
+    return F.when(whole == 0, 100).otherwise(F.floor(part * 100 / whole)).cast("long")
+
+
 def decay_parameters(kind: Column) -> tuple[Column, Column]:
     """(half-life in days, floor) of an observable kind; a file hash never decays (null half-life)."""
     half, floor = F.lit(USUAL_DECAY[0]), F.lit(USUAL_DECAY[1])

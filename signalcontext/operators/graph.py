@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..query import doubled
+from ..shared import written
+from .store import permitted
 
 #: Points of a resolution signal and whether it decides by itself.
 SIGNALS = {"same_id": (100, True), "external_id": (95, True), "alias": (90, True), "name": (60, False), "token": (25, False)}
@@ -79,14 +83,21 @@ def resolve(entities: DataFrame, external: DataFrame | None = None, aliases: Dat
     return out.select("left_id", "right_id", "score", F.when(F.col("decisive"), "merged").otherwise("candidate").alias("outcome"))
 
 
-def merge_roots(spark, merges: DataFrame, most: int = 32) -> DataFrame:
-    """id, root: each merged id's survivor; merges (id, into) are followed at most `most` steps."""
-    merges.createOrReplaceTempView("_merges")
-    return spark.sql(
-        f"""WITH RECURSIVE chain(id, root, depth) AS (
-          SELECT id, into, 1 FROM _merges UNION ALL SELECT c.id, m.into, c.depth + 1 FROM chain c JOIN _merges m ON c.root = m.id WHERE c.depth < {most})
-        SELECT id, max_by(root, depth) AS root FROM chain GROUP BY id"""
-    )
+def merge_roots(merges: DataFrame) -> DataFrame:
+    """id, root: each merged id's survivor; merges (id, into), one row an id.
+
+    Each round joins the pointers with themselves, so a chain of n merges takes about log2(n) rounds.  A chain that
+    leads back into itself has no survivor and is refused."""
+    found = written(merges.select("id", F.col("into").alias("root")), "merges")
+    for _ in range(64):
+        up = found.select(F.col("id").alias("root"), F.col("root").alias("up"))
+        found = written(found.join(up, "root", "left").select("id", F.coalesce("up", "root").alias("root"), F.col("up").isNotNull().alias("moved")), "merges")
+        if not found.where((F.col("id") == F.col("root"))).isEmpty():
+            raise ValueError("merges lead in a circle")
+        if found.where("moved").isEmpty():
+            break
+        found = found.select("id", "root")
+    return found.select("id", "root")
 
 
 def rank_score(factors: dict[str, Column]) -> Column:
@@ -101,15 +112,16 @@ def rank_score(factors: dict[str, Column]) -> Column:
 def rank_plan(candidates: DataFrame, keep: int) -> DataFrame:
     """candidates (id, score, protected, cluster_key) with representative, included, place: protected ones always
     stay, one of each cluster competes, the best `keep` of those stay."""
-    cluster = Window.partitionBy("cluster_key")
-    sized = candidates.withColumn("_n", F.when(F.col("cluster_key").isNotNull() & ~F.col("protected"), F.sum(F.when(~F.col("protected"), 1).otherwise(0)).over(cluster)).otherwise(1))
-    first = F.row_number().over(Window.partitionBy("cluster_key", "protected").orderBy(F.desc("score"), "id")) == 1
-    rows = sized.withColumn("representative", (F.col("_n") < 2) | F.col("protected") | first)
+    # The best of each cluster by an aggregate that is combined before the shuffle; rows without a cluster need none.
+    running = candidates.where("cluster_key is not null and not protected")
+    best = running.groupBy("cluster_key").agg(F.min_by("id", F.struct(-F.col("score"), "id")).alias("_first"))
+    rows = candidates.join(best, "cluster_key", "left")
+    rows = rows.withColumn("representative", F.col("protected") | F.col("cluster_key").isNull() | (F.col("id") == F.col("_first"))).drop("_first")
     running = F.col("representative") & ~F.col("protected")
     # The best `keep` by a bounded top-k, not by a window over all rows.
     best = rows.where(running).orderBy(F.desc("score"), "id").limit(keep).select(F.col("id").alias("_best"))
     rows = rows.join(best, F.col("id") == F.col("_best"), "left")
-    return rows.withColumn("included", F.col("protected") | F.col("_best").isNotNull()).drop("_n", "_best")
+    return rows.withColumn("included", F.col("protected") | F.col("_best").isNotNull()).drop("_best")
 
 
 def budget_fit(items: DataFrame, key: str, tokens: int, size: int, objects: int, links: int) -> DataFrame:
@@ -197,7 +209,8 @@ def traverse(relationships: DataFrame, start: str, depth: int = 3, nodes: int =
 
 def reachable(relationships: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     """node, depth within `depth` hops of the starts (node), in either direction, without budgets: one join a hop."""
-    links = doubled(relationships).select("node", "other")
+    # The edges are made once, whatever the depth.
+    links = written(doubled(relationships).select("node", "other"), "links")
     seen = starts.select("node").distinct().withColumn("depth", F.lit(0))
     front = seen
     for level in range(1, depth + 1):
@@ -215,14 +228,51 @@ def fingerprint(*facets: Column) -> Column:
     return F.sha2(F.concat_ws("\x1e", *(F.sha2(F.coalesce(f.cast("string"), F.lit("")), 256) for f in facets)), 256)
 
 
-def compare(before: DataFrame, after: DataFrame) -> DataFrame:
-    """key, category of two captures (key, digest, status): added, removed, revoked, expired, reactivated, changed."""
+class PlanRefused(ValueError):
+    """A traversal or a comparison that is refused before it begins."""
+
+
+def planned(relationships: DataFrame, entities: DataFrame, start: str, most_tlp: str | None = None, depth: int = 3, nodes: int = 500, edges: int = 2000, fan_out: int = 200) -> int:
+    """The degree of the start of a traversal that may begin.  Refused: an empty budget, a start entity (entities: id
+    and, with most_tlp, markings) that is not there or above the ceiling, and a start with more edges than the budget;
+    observables have no rows and are not looked up."""
+    for name, budget in (("depth", depth), ("nodes", nodes), ("edges", edges), ("fan-out", fan_out)):
+        if budget <= 0:
+            raise PlanRefused(f"the budget of {name} is empty")
+    if not start.startswith("observable:"):
+        row = entities.where(F.col("id") == start).withColumn("_ok", permitted(F.col("markings"), most_tlp) if most_tlp else F.lit(True)).select("_ok").first()
+        if row is None:
+            raise PlanRefused(f"{start} is not known")
+        if not row._ok:
+            raise PlanRefused(f"{start} is marked above the ceiling")
+    degree = relationships.where((F.col("source_ref") == start) | (F.col("target_ref") == start)).count()
+    if degree > edges:
+        raise PlanRefused(f"{start} has {degree} edges, over the budget of {edges}")
+    return degree
+
+
+def shape(**question) -> str:
+    """Digest of what a capture asked for: start, direction, filters, limits and policy."""
+    return hashlib.sha256(json.dumps(question, sort_keys=True, default=str).encode()).hexdigest()
+
+
+def compare(before: DataFrame, after: DataFrame, successors: DataFrame | None = None, shapes: tuple[str, str] | None = None) -> DataFrame:
+    """key, category of two captures (key, digest, status): added, removed, merged, split, revoked, expired,
+    reactivated, changed.  successors: key, successor of keys that later ones replace; one makes a merge, several make
+    a split.  Captures of different shapes are refused."""
+    if shapes is not None and shapes[0] != shapes[1]:
+        raise PlanRefused("the captures did not ask the same question")
     b = before.select("key", F.col("digest").alias("b"), F.col("status").alias("bs"))
     a = after.select("key", F.col("digest").alias("a"), F.col("status").alias("as"))
     current = lambda c: F.col(c).isin("active", "deprecated")
+    gone = F.when(F.size("successors") == 1, "merged").when(F.size("successors") > 1, "split").otherwise("removed")
     category = (
-        F.when(F.col("b").isNull(), "added").when(F.col("a").isNull(), "removed")
+        F.when(F.col("b").isNull(), "added").when(F.col("a").isNull(), gone)
         .when((F.col("as") == "revoked") & (F.col("bs") != "revoked"), "revoked").when((F.col("as") == "expired") & (F.col("bs") != "expired"), "expired")
         .when(current("as") & ~current("bs"), "reactivated").when(F.col("a") != F.col("b"), "changed")
     )
-    return b.join(a, "key", "full_outer").select("key", category.alias("category")).where("category is not null")
+    if successors is None:
+        both = b.join(a, "key", "full_outer").withColumn("successors", F.array().cast("array<string>"))
+    else:
+        both = b.join(a, "key", "full_outer").join(successors.groupBy("key").agg(F.collect_set("successor").alias("successors")), "key", "left")
+    return both.select("key", category.alias("category")).where("category is not null")

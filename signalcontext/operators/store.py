@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,20 +12,89 @@ TLP = ["clear", "green", "amber", "amber+strict", "red"]
 PAP = ["clear", "green", "amber", "red"]
 
 
+#: Fixed value: the former name of the lowest level.
+FORMER = {"white": "clear"}
+MARKING = "struct<kind:string,value:string>"
+
+
 def level(name: Column, order: list[str]) -> Column:
-    """Rank from 0; null for an unknown or missing name."""
-    at = F.array_position(F.array(*(F.lit(x) for x in order)), name)
-    return F.when(at > 0, (at - 1).cast("int"))
+    """Rank from 0, whatever the case and with or without the scheme's prefix; a name that is not known ranks above
+    all, so that nobody is let see what cannot be read; null for null."""
+    plain = F.regexp_replace(F.regexp_replace(F.lower(F.trim(name)), "^(tlp|pap):", ""), "[-_]", "+")
+    for old, new in FORMER.items():
+        plain = F.when(plain == old, new).otherwise(plain)
+    at = F.array_position(F.array(*(F.lit(x) for x in order)), plain)
+    return F.when(name.isNotNull(), F.when(at > 0, (at - 1).cast("int")).otherwise(len(order)))
+
+
+@dataclass(frozen=True)
+class Identity:
+    """Who asks: ceilings, handling caveats that are cleared, and what may be done."""
+
+    most_tlp: str = "clear"
+    most_pap: str = "clear"
+    cleared: tuple[str, ...] = ()
+    capabilities: tuple[str, ...] = ("read",)
+
+
+def markings(tlp: Column | None = None, pap: Column | None = None, handling: Column | None = None, attribution: Column | None = None) -> Column:
+    """array of (kind, value) of the columns that are not null; handling may be an array."""
+    one = lambda kind, c: F.struct(F.lit(kind).alias("kind"), c.cast("string").alias("value")).cast(MARKING)
+    given = [F.when(c.isNotNull(), one(kind, c)) for kind, c in (("tlp", tlp), ("pap", pap), ("handling", handling), ("attribution", attribution)) if c is not None]
+    return F.array_compact(F.array(*given)) if given else F.array().cast(f"array<{MARKING}>")
+
+
+def decide(marks: Column, who: Identity, capability: str = "read") -> Column:
+    """The reasons for which an item with these markings is withheld from an identity, one for each marking that
+    refuses; an empty array lets it pass.  What is not understood refuses."""
+    missing = F.array(F.lit("missing_capability")) if capability not in who.capabilities else F.array().cast("array<string>")
+
+    def refusal(m: Column) -> Column:
+        kind, value = m["kind"], F.coalesce(m["value"], F.lit(""))
+        cleared = value.isin(*who.cleared) if who.cleared else F.lit(False)
+        return (
+            F.when((kind == "tlp") & (level(value, TLP) > TLP.index(who.most_tlp)), "tlp_above_ceiling")
+            .when((kind == "pap") & (level(value, PAP) > PAP.index(who.most_pap)), "pap_above_ceiling")
+            .when((kind == "handling") & ~cleared, "handling_not_cleared")
+            .when((kind == "attribution") & F.lit(capability == "redistribute"), "attribution_required")
+            .when(~kind.isin("tlp", "pap", "handling", "attribution") | kind.isNull(), "unknown_marking")
+        )
+
+    return F.concat(missing, F.array_compact(F.transform(F.coalesce(marks, F.array().cast(f"array<{MARKING}>")), refusal)))
 
 
 def decision(tlp: Column, pap: Column, handling: Column, most_tlp: str, most_pap: str, cleared: list[str]) -> Column:
-    """The reasons for which an item is withheld; an empty array lets it pass."""
-    reasons = [
-        F.when(F.coalesce(level(tlp, TLP), F.lit(-1)) > TLP.index(most_tlp), F.lit("tlp_above_ceiling")),
-        F.when(F.coalesce(level(pap, PAP), F.lit(-1)) > PAP.index(most_pap), F.lit("pap_above_ceiling")),
-        F.when(handling.isNotNull() & ~F.coalesce(handling.isin(*cleared) if cleared else F.lit(False), F.lit(False)), F.lit("handling_not_cleared")),
-    ]
-    return F.array_compact(F.array(*reasons))
+    """decide() for reading, from a column a kind of marking."""
+    return decide(markings(tlp, pap, handling), Identity(most_tlp, most_pap, tuple(cleared)))
+
+
+def partition(items: DataFrame, marks: Column, who: Identity, capability: str = "read") -> tuple[DataFrame, DataFrame]:
+    """(what passes, what does not with its denials)."""
+    judged = items.withColumn("denials", decide(marks, who, capability))
+    return judged.where(F.size("denials") == 0).drop("denials"), judged.where(F.size("denials") > 0)
+
+
+def permitted(marks: Column, most_tlp: str) -> Column:
+    """Whether a traversal may pass: only TLP counts, and what is unmarked passes."""
+    levels = F.transform(F.filter(marks, lambda m: m["kind"] == "tlp"), lambda m: F.coalesce(level(m["value"], TLP), F.lit(len(TLP))))
+    return F.coalesce(F.array_max(levels), F.lit(-1)) <= TLP.index(most_tlp)
+
+
+def marking_summary(items: DataFrame, key: str, marks: str = "markings") -> DataFrame:
+    """key, tlp, pap (the highest level; 'unknown' above all), markings (the union, sorted)."""
+
+    def highest(kind: str, order: list[str]) -> Column:
+        top = F.max(F.when(F.col("m.kind") == kind, F.coalesce(level(F.col("m.value"), order), F.lit(len(order)))))
+        return F.get(F.array(*(F.lit(x) for x in [*order, "unknown"])), top).alias(kind)
+
+    each = items.select(key, F.explode_outer(marks).alias("m"))
+    distinct = each.groupBy(key, "m").agg(F.lit(1).alias("_"))
+    return distinct.groupBy(key).agg(highest("tlp", TLP), highest("pap", PAP), F.array_sort(F.collect_list("m")).alias("markings"))
+
+
+def decision_counts(decisions: DataFrame) -> DataFrame:
+    """kind, verdict, n of recorded decisions."""
+    return decisions.groupBy("kind", "verdict").agg(F.count("*").alias("n"))
 
 
 def last_writes(batch: DataFrame, key: str, *order: str) -> DataFrame:

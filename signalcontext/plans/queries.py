@@ -47,6 +47,10 @@ par AS (SELECT *, CASE kind WHEN 'ipv4_address' THEN 14 WHEN 'domain_name' THEN
 up AS (SELECT *, CASE WHEN h IS NULL OR age // h >= 7 THEN 0 ELSE 100 >> (age // h)::INT END AS u FROM par),
 stood AS (SELECT *, CASE WHEN h IS NULL THEN 100 ELSE greatest(u - ((u - u // 2) * (age % h)) // h, f) END AS standing FROM up)"""
 
+#: The claims are all of one single-valued attribute, so different values conflict unless a status, a publisher's own later word or an analyst decides.
+_RELATION = """CASE WHEN 'revoked' IN (l.status, r.status) THEN 'revoked' WHEN 'superseded' IN (l.status, r.status) THEN 'supersedes' WHEN l.value = r.value THEN 'agrees'
+  WHEN l.publisher = r.publisher AND l.asserted_at IS DISTINCT FROM r.asserted_at THEN 'supersedes' WHEN list_sort([l.stance, r.stance]) = ['analyst', 'reported'] THEN 'analyst_override' ELSE 'conflict' END"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -140,14 +144,14 @@ def dedup_lineage(spark, d):
     return ev.lineage(ev.dedup_verdicts(b.observations(spark, d)))
 
 
-@registered(f"WITH {CLAIMS} SELECT l.id AS left_id, r.id AS right_id, l.subject, l.slot, {ev.RELATION.format(l='l', r='r', single=chr(39) + 'order_status' + chr(39))} AS relation FROM claims l JOIN claims r ON l.subject = r.subject AND l.slot = r.slot AND l.id < r.id")
+@registered(f"WITH {CLAIMS} SELECT l.id AS left_id, r.id AS right_id, l.subject, l.slot, {_RELATION} AS relation FROM claims l JOIN claims r ON l.subject = r.subject AND l.slot = r.slot AND l.id < r.id")
 def contradiction_pairs(spark, d):
     return ev.related_claims(b.claims(spark, d), ["order_status"])
 
 
-@registered(f"WITH {CLAIMS}, p AS (SELECT l.subject, {ev.RELATION.format(l='l', r='r', single=chr(39) + 'order_status' + chr(39))} AS relation FROM claims l JOIN claims r ON l.subject = r.subject AND l.slot = r.slot AND l.id < r.id) SELECT relation, count(*) AS pairs, count(DISTINCT subject) AS subjects FROM p GROUP BY 1")
+@registered(f"WITH {CLAIMS}, p AS (SELECT l.subject, {_RELATION} AS relation FROM claims l JOIN claims r ON l.subject = r.subject AND l.slot = r.slot AND l.id < r.id) SELECT relation, count(*) AS pairs, count(DISTINCT subject) AS subjects FROM p GROUP BY 1")
 def contradiction_summary(spark, d):
-    return ev.related_claims(b.claims(spark, d), ["order_status"]).groupBy("relation").agg(F.count("*").alias("pairs"), F.countDistinct("subject").alias("subjects"))
+    return ev.relation_summary(b.claims(spark, d), ["order_status"])
 
 
 def _decayed(spark, d):
@@ -195,7 +199,7 @@ def confidence_assess(spark, d):
     return rows.select("id", overall.alias("overall"), method.alias("method"))
 
 
-_NAMED = "e AS (SELECT 'p:' || p_partkey AS id, 'tool' AS kind, p_type AS name FROM part WHERE p_size <= 3), n AS (SELECT *, regexp_replace(lower(name), '[^\\p{L}\\p{N}]+', '', 'g') AS normal, list_filter(list_distinct(string_split_regex(lower(name), '[^\\p{L}\\p{N}]+')), lambda t: strlen(t) >= 4) AS tokens FROM e)"
+_NAMED = "e AS (SELECT 'p:' || p_partkey AS id, 'tool' AS kind, p_type AS name FROM part), n AS (SELECT *, regexp_replace(lower(name), '[^\\p{L}\\p{N}]+', '', 'g') AS normal, list_filter(list_distinct(string_split_regex(lower(name), '[^\\p{L}\\p{N}]+')), lambda t: strlen(t) >= 4) AS tokens FROM e)"
 
 
 @registered(f"WITH {_NAMED} SELECT a.id AS left_id, b.id AS right_id, CASE WHEN a.normal = b.normal THEN 60 ELSE 25 END::BIGINT AS score, 'candidate' AS outcome FROM n a JOIN n b ON a.id < b.id AND a.kind = b.kind WHERE a.normal = b.normal OR list_has_any(a.tokens, b.tokens)")
@@ -207,7 +211,7 @@ def resolve_outcomes(spark, d):
 @registered("WITH RECURSIVE m AS (SELECT p_partkey AS id, p_partkey // 3 AS into FROM part WHERE p_partkey >= 3), c(id, root, depth) AS (SELECT id, into, 1 FROM m UNION ALL SELECT c.id, m.into, c.depth + 1 FROM c JOIN m ON m.id = c.root) SELECT id, arg_max(root, depth) AS root FROM c GROUP BY id".replace("into", '"into"'))
 def merge_roots(spark, d):
     merges = b.read(spark, d, "part").where("p_partkey >= 3").select(F.col("p_partkey").alias("id"), F.expr("p_partkey div 3").alias("into"))
-    return g.merge_roots(spark, merges)
+    return g.merge_roots(merges)
 
 
 @registered("""WITH c AS (SELECT s_suppkey AS id, (s_suppkey * 37 % 101)::BIGINT AS score, s_suppkey % 13 = 0 AS protected, CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey // 10 END AS cluster_key FROM supplier),
@@ -293,7 +297,7 @@ def policy_partition(spark, d):
     return b.read(spark, d, "orders").select(i.alias("id"), F.array_join(why, ",").alias("denials"))
 
 
-@registered("WITH x AS (SELECT source, CASE WHEN toxic = 1 THEN 4 WHEN quality = 0 THEN 3 ELSE 1 END AS s FROM labels JOIN documents USING (doc_id) WHERE doc_id % 9 > 0) SELECT source, ([ 'benign', 'allow_listed', 'suspicious', 'malicious'])[max(s)] AS disposition FROM x GROUP BY 1")
+@registered("WITH x AS (SELECT source, CASE WHEN toxic = 1 THEN 4 WHEN quality = 0 THEN 3 ELSE 1 END AS s FROM labels JOIN documents USING (doc_id)) SELECT source, ([ 'benign', 'allow_listed', 'suspicious', 'malicious'])[max(s)] AS disposition FROM x GROUP BY 1")
 def strongest_disposition(spark, d):
     rows = b.dispositions(spark, d).join(b.read(spark, d, "documents").select("doc_id", "source"), "doc_id").withColumn("status", F.lit("active"))
     return ev.strongest_disposition(rows, "source")

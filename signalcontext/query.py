@@ -121,9 +121,9 @@ def search(entities: DataFrame, query: str, limit: int = 100, offset: int = 0) -
 
 def doubled(relationships: DataFrame) -> DataFrame:
     """Each edge from both of its ends: node, other, and the edge's columns."""
-    out = relationships.withColumns({"node": F.col("source_ref"), "other": F.col("target_ref")})
-    back = relationships.withColumns({"node": F.col("target_ref"), "other": F.col("source_ref")})
-    return out.unionByName(back)
+    ends = lambda a, b: F.struct(F.col(a).alias("node"), F.col(b).alias("other"))
+    both = relationships.withColumn("_end", F.explode(F.array(ends("source_ref", "target_ref"), ends("target_ref", "source_ref"))))
+    return both.select(*relationships.columns, "_end.node", "_end.other")
 
 
 def edges(relationships: DataFrame, node: str, direction: str = "either", kinds: list[str] = ()) -> DataFrame:

@@ -13,7 +13,7 @@ from ..functions import canon
 
 #: Header names by the kind that they state.
 HEADERS = {
-    "ipv4_address": ["ip", "ip_address", "ipv4", "ipv6", "address", "src_ip", "dst_ip"],
+    "ip_address": ["ip", "ip_address", "ipv4", "ipv6", "address", "src_ip", "dst_ip"],
     "domain_name": ["domain", "hostname", "host", "fqdn"],
     "url": ["url", "uri", "link"],
     "email_address": ["email", "email_address", "sender"],
@@ -73,7 +73,8 @@ def claims(docs: DataFrame) -> DataFrame:
     long = F.octet_length("raw") > FIELD_BYTES
     value = F.when(~long, F.when(known, F.col("given")).otherwise(F.col("found.value")))
     outcome = F.when(long, "field_too_long").when(value.isNotNull(), "claim").when(known, "unmappable_field").when(F.col("found.outcome") == "ambiguous", "ambiguous_inference")
-    kind = F.when(value.isNotNull(), F.coalesce("stated", "found.kind"))
-    formula = raw.rlike(r"^[=+\-@]") & (F.length(raw) > 1) & canon.ipv4(raw).isNull()
+    stated = F.when(F.col("stated") == "ip_address", canon.address_kind(value)).otherwise(F.col("stated"))
+    kind = F.when(value.isNotNull(), F.coalesce(stated, "found.kind"))
+    formula = raw.rlike(r"^[=+\-@]") & (F.length(raw) > 1) & canon.ip_address(raw).isNull()
     attribute = F.when(kind.isNotNull(), F.when(formula, "flat.spreadsheet_formula_prefix").otherwise(F.concat(F.lit("flat."), kind)))
     return f.select("file", "line", "column", kind.alias("kind"), value.alias("value"), attribute.alias("attribute"), "raw", outcome.alias("outcome")).where("outcome is not null")
