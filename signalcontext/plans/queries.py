@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import bridge as b
 from .. import query as q
-from ..functions import canon, ids
+from ..functions import canon
 from ..operators import evidence as ev
 from ..operators import graph as g
 from ..operators import store as st
@@ -368,14 +368,12 @@ def undefang(spark, d):
     return b.read(spark, d, "pages").where("url not like '%hxxp%'").select("page_id", bad.alias("defanged"), canon.undefang(bad).alias("plain"))
 
 
-@registered()
-def entity_ids(spark, d):
-    return b.entities(spark, d).select("id", ids.named_uuid("entity", F.col("kind"), F.lower("name")).alias("uuid"))
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import records  # noqa: F401  (registers its own)
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(ORACLES)
