@@ -112,8 +112,8 @@ def recognised(docs: DataFrame) -> DataFrame:
 
 
 def oracle() -> str:
-    """The same over DuckDB, from the fixed values alone."""
-    cases = " ".join(f"WHEN '{s}' THEN '{i}'" for i, s in SENTENCES.items())
+    """The same over DuckDB: lines are joined to the sentences that they begin, and followed line by line."""
+    forms = ", ".join(f"('{i}', '{text.replace('. ', '|')} ')" for i, text in SENTENCES.items())
     steps, prev = [], "q"
     for n, (_, ids) in enumerate(RULES):
         key = "," + ",".join(ids) + ","
@@ -122,10 +122,23 @@ def oracle() -> str:
     # A licence stands at the place of its first rule that matched.
     hits = ", ".join(f"CASE WHEN f{i} THEN '{RULES[i][0]}' END" for i in range(len(RULES)))
     return f"""
-WITH p AS (SELECT doc_id, string_split_regex(lower(coalesce(text, '')), '[.!?]+\\s+|\\s*\\n\\s*') AS parts FROM documents),
-n AS (SELECT doc_id, list_transform(parts, lambda s: trim(regexp_replace(regexp_replace(s, '[^\\p{{L}}\\p{{N}}.]+', ' ', 'g'), '[. ]+$', ''))) AS parts FROM p),
-k AS (SELECT doc_id, list_filter(list_transform(parts, lambda s: CASE s {cases} END), lambda i: i IS NOT NULL) AS ids FROM n),
-q AS (SELECT doc_id, ids, ',' || array_to_string(list_transform(ids, lambda x: x || ','), '') AS s0 FROM k),
+WITH RECURSIVE f(sid, f) AS (VALUES {forms}),
+d AS (SELECT doc_id, row_number() OVER () AS rid, lower(coalesce(text, '')) AS t FROM documents),
+a1 AS (SELECT rid, regexp_replace(replace(t, '|', ' '), '\\n(?:[^\\p{{L}}\\p{{N}}\\n;]*\\n)+', '|', 'g') AS t FROM d),
+a2 AS (SELECT rid, regexp_replace(replace(regexp_replace(t, '[.!?]+[\\t\\n\\x0B\\f\\r ]+', '|', 'g'), chr(10), ';'), '[^\\p{{L}}\\p{{N}}.|;]+', ' ', 'g') AS t FROM a1),
+a3 AS (SELECT rid, regexp_replace(regexp_replace(regexp_replace(t, '[ .;]*\\|[ ;|]*', '|', 'g'), '[ .]*;[ ;]*', ';', 'g'), '^[ ;|]+|[ .;|]+$', '', 'g') AS t FROM a2),
+a4 AS (SELECT rid, regexp_extract_all(t, '[^|;]+[|;]?') AS parts FROM a3),
+a5 AS (SELECT rid, unnest(parts) AS part, generate_subscripts(parts, 1) AS k FROM a4),
+l AS (SELECT rid, k, rtrim(part, '|;') || ' ' AS ends, rtrim(part, '|;') || CASE WHEN suffix(part, '|') THEN '|' ELSE ' ' END AS goes FROM a5),
+e(rid, i, j, sid, rest) AS (
+  SELECT rid, k, k, sid, CASE WHEN f = ends THEN '' ELSE substr(f, length(goes) + 1) END FROM l JOIN f ON f = ends OR starts_with(f, goes)
+  UNION ALL SELECT e.rid, e.i, l.k, e.sid, CASE WHEN e.rest = l.ends THEN '' ELSE substr(e.rest, length(l.goes) + 1) END FROM e JOIN l ON l.rid = e.rid AND l.k = e.j + 1 WHERE e.rest <> '' AND (e.rest = l.ends OR starts_with(e.rest, l.goes))),
+m AS (SELECT rid, i, arg_max(j, length(f)) AS j, arg_max(sid, length(f)) AS sid FROM e JOIN f USING (sid) WHERE rest = '' GROUP BY rid, i),
+g(rid, i, j, sid) AS (
+  SELECT rid, min(i), arg_min(j, i), arg_min(sid, i) FROM m GROUP BY rid
+  UNION ALL SELECT g.rid, n.i, n.j, n.sid FROM g, LATERAL (SELECT min(m.i) AS i, arg_min(m.j, m.i) AS j, arg_min(m.sid, m.i) AS sid FROM m WHERE m.rid = g.rid AND m.i > g.j) n WHERE n.i IS NOT NULL),
+k AS (SELECT rid, list(sid ORDER BY i) AS ids FROM g GROUP BY rid),
+q AS (SELECT doc_id, coalesce(ids, []::VARCHAR[]) AS ids, ',' || array_to_string(list_transform(coalesce(ids, []::VARCHAR[]), lambda x: x || ','), '') AS s0 FROM d LEFT JOIN k USING (rid)),
 {", ".join(steps)},
 z AS (SELECT doc_id, ids, list_filter([{hits}], lambda x: x IS NOT NULL) AS l FROM {prev})
 SELECT doc_id, array_to_string(ids, ',') AS sentence_ids,

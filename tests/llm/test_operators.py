@@ -519,7 +519,18 @@ def test_licenses_over_lines(spark):
         1004: ("| a | b |\nReleased under the MIT License.", "mit.notice", "MIT"),
     }
     docs = [(d, t, None, None, 0) for d, t, _ in rows] + [(d, t, None, None, 0) for d, (t, _, _) in full.items()]
-    got = {r.doc_id: r for r in license_rules.recognised(spark.createDataFrame(docs, SCHEMA)).collect()}
+    docs += [docs[0], (None, None, None, None, 0), (1005, "word " * 50_000 + "\n\nReleased under the MIT License.\n", None, None, 0)]
+    frame = spark.createDataFrame([(*d, "x", 3) for d in docs], SCHEMA + ", licenses string, n_known long")
+    got = {r.doc_id: r for r in license_rules.recognised(frame).collect()}
+    assert got[1005].licenses == "MIT"
+    import duckdb
+    import pandas as pd
+
+    c = duckdb.connect()
+    c.register("documents", pd.DataFrame([d[:2] for d in docs], columns=["doc_id", "text"]).astype({"doc_id": "Int64"}))
+    want = c.sql(license_rules.oracle()).fetchall()
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(map(key, want)) == sorted(key((r.doc_id, r.sentence_ids, r.licenses, r.n_known)) for r in license_rules.recognised(frame).collect())
     assert [(d, got[d].sentence_ids) for d, _, _ in rows] == [(d, i) for d, _, i in rows]
     assert {d: (got[d].sentence_ids, got[d].licenses) for d in full} == {d: (i, l) for d, (_, i, l) in full.items()}
 
