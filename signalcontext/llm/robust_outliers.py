@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import kept, let
+from .common import kept, let, sized
 
 SPACE = r"[\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
@@ -174,29 +174,31 @@ def _floored(groups: DataFrame) -> DataFrame:
     return _triangle(groups.withColumns({f"c{i}{i}": F.col(f"c{i}{i}") + FLOORS[i] ** 2 for i in range(DIM)}))
 
 
-def _concentrated(vectors: DataFrame, estimates: DataFrame) -> DataFrame:
+def _concentrated(vectors: DataFrame, estimates: DataFrame, groups: int) -> DataFrame:
     """One concentration step: mean and covariance of the nearest share, the floors added.  The vectors are summed by
     distance in one pass, and the nearest bins' sums make the estimate."""
     keys = ["_group", "start"]
     far = _distance(vectors.join(estimates, "_group")).withColumn("bin", F.floor(F.log(F.col("_d2") + 1e-6) / LOG_STEP))
     bins = far.groupBy(*keys, "bin").agg(*map(F.expr, _SUMS), F.max("logdet").alias("before"))
     near = _ranked(bins, *keys).where(F.col("upto") - F.col("c") < F.ceil(F.col("total") * SHARE))
-    return kept(_floored(_moments(near, keys, consistency(SHARE), "before")), "estimates")
+    return kept(sized(_floored(_moments(near, keys, consistency(SHARE), "before")), 2 * groups), "estimates")
 
 
 def settled(vectors: DataFrame) -> DataFrame:
     """_group, n and the reweighted estimate (m, c) of each group of vectors (_group, statistics)."""
-    found = kept(_starts(vectors), "estimates")
+    # A few rows a group are few files too: Spark sends them to the vectors, which are not dealt out by group.
+    groups = vectors.groupBy("_group").agg(F.lit(1)).count()
+    found = kept(sized(_starts(vectors), 2 * groups), "estimates")
     for step in range(STEPS):
-        found = _concentrated(vectors, found)
+        found = _concentrated(vectors, found, groups)
         # The first step's determinants fall from those of the starts, which are of another kind.
         fall = found.agg(F.max(F.col("before") - F.col("logdet"))).first()[0] if step else SETTLED + 1
         if fall is None or fall <= SETTLED:
             break
     cols = [c for c in found.columns if c[0] in "ml" and c != "logdet"]
     best = found.groupBy("_group").agg(F.min_by(F.struct(*cols), F.struct("logdet", "start")).alias("e")).select("_group", "e.*")
-    near = _distance(vectors.join(best, "_group")).where(F.col("_d2") <= quantile(REWEIGHT))
-    return kept(_moments(near.groupBy("_group").agg(*map(F.expr, _SUMS)), ["_group"], consistency(REWEIGHT)), "reweighted")
+    near = _distance(vectors.join(kept(sized(best, groups), "best"), "_group")).where(F.col("_d2") <= quantile(REWEIGHT))
+    return kept(sized(_moments(near.groupBy("_group").agg(*map(F.expr, _SUMS)), ["_group"], consistency(REWEIGHT)), groups), "reweighted")
 
 
 def _leaning(fine: DataFrame, coarse: DataFrame, key: str) -> DataFrame:
@@ -217,7 +219,7 @@ def estimates(rows: DataFrame) -> DataFrame:
     langs = pairs.select(F.col("_lang").alias("_group")).distinct().join(found, "_group", "left").withColumn("_up", F.lit("all"))
     langs = _leaning(langs, every, "_up")
     own = _floored(_leaning(pairs.join(found, "_group", "left"), langs, "_lang"))
-    return kept(own.select("_group", *(c for c in own.columns if c[0] in "ml" and c not in ("logdet",))), "by_source")
+    return kept(sized(own, pairs.count()).select("_group", *(c for c in own.columns if c[0] in "ml" and c not in ("logdet",))), "by_source")
 
 
 def judged(rows: DataFrame, found: DataFrame) -> DataFrame:
