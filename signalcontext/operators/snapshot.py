@@ -97,9 +97,11 @@ class Snapshots:
             self._commit(state)
         return told
 
-    def replace(self, name: str, df: DataFrame) -> None:
+    def replace(self, tables: dict[str, DataFrame]) -> None:
+        """Whole tables, in one commit."""
         state = json.loads(json.dumps(self.state))
-        self._write(state, name, df)
+        for name, df in tables.items():
+            self._write(state, name, df)
         self._commit(state)
 
     # Checkpoints and decisions are tables like others, outside the graph version.
@@ -123,7 +125,7 @@ class Snapshots:
     def drop_checkpoint(self, name: str) -> bool:
         if self.get("checkpoints", "name", name) is None:
             return False
-        self.replace("checkpoints", self.table("checkpoints").where(F.col("name") != name))
+        self.replace({"checkpoints": self.table("checkpoints").where(F.col("name") != name)})
         return True
 
     def record_decision(self, kind: str, verdict: str, subject: str, actor: str, context: str, at: str) -> str:

@@ -101,13 +101,14 @@ def ingest(docs: DataFrame, store: Snapshots, at: str, strict: bool = False) ->
         raise IngestRefused(f"{report.rejected} of {report.total} records are refused: {report.reasons}")
     report.outcomes = store.upsert(tables)
     if report.rejected:
-        store.replace("quarantine", quarantined(store.table("quarantine"), refused, at))
+        store.replace({"quarantine": quarantined(store.table("quarantine"), refused, at)})
     return report
 
 
-def quarantined(stored: DataFrame | None, refused: DataFrame, at: str) -> DataFrame:
-    """The stored counters by (doc, pos, reason) with those of a run added."""
-    new = quarantine_rollup(refused.select("doc", "pos", F.col("reason").alias("why"), F.col("reason"), F.lit(at).alias("at")), "doc", "pos", "why").drop("reason").withColumnRenamed("why", "reason")
+def quarantined(stored: DataFrame | None, refused: DataFrame, at: str | None = None) -> DataFrame:
+    """The stored counters by (doc, pos, reason) with those of a run at one time, or of rows with times of their own."""
+    when = F.col("at") if at is None else F.lit(at)
+    new = quarantine_rollup(refused.select("doc", "pos", F.col("reason").alias("why"), F.col("reason"), when.alias("at")), "doc", "pos", "why").drop("reason").withColumnRenamed("why", "reason")
     if stored is None:
         return new
     return stored.unionByName(new).groupBy("doc", "pos", "reason").agg(F.min("first_seen_at").alias("first_seen_at"), F.max("last_seen_at").alias("last_seen_at"), F.sum("occurrences").alias("occurrences"))
