@@ -182,3 +182,28 @@ def strongest_disposition(rows: DataFrame, key: str) -> DataFrame:
     names = F.array(*(F.lit(x) for x in STRENGTH))
     top = F.max(F.when(F.col("status").isin("active", "deprecated"), F.array_position(names, F.col("disposition"))))
     return rows.groupBy(key).agg(F.when(top > 0, F.get(names, top.cast("int") - 1)).alias("disposition"))
+
+
+def quoted(pairs: DataFrame, left: Column, right: Column, left_level: Column, right_level: Column, ceiling: int) -> DataFrame:
+    """pairs with evidence: both values without control characters, 200 characters at most each; null where the level
+    of either side is above the ceiling."""
+    plain = lambda c: F.left(F.regexp_replace(c, r"\p{Cc}", ""), F.lit(200))
+    hidden = F.coalesce(left_level > ceiling, F.lit(False)) | F.coalesce(right_level > ceiling, F.lit(False))
+    return pairs.withColumn("evidence", F.when(~hidden, F.concat_ws(" / ", plain(left), plain(right))))
+
+
+def freshness(seen: Column, now: Column, horizon_days: int) -> Column:
+    """100 now, 0 at the horizon, straight in between; 50 without an instant."""
+    horizon = horizon_days * 86400
+    age = F.unix_timestamp(now.cast("timestamp")) - F.unix_timestamp(seen.cast("timestamp"))
+    if horizon <= 0:
+        return F.when(seen.isNull(), 50).otherwise(100).cast("long")
+    return F.when(seen.isNull(), 50).when(age <= 0, 100).when(age >= horizon, 0).otherwise(F.floor((horizon - age) * 100 / horizon)).cast("long")
+
+
+def candidate_factors(confidence: Column, sources: Column, seen: Column, now: Column, horizon_days: int, status: Column) -> dict[str, Column]:
+    """The factors by which a claim is ranked: sources is the number of its different source objects."""
+    return {
+        "confidence": confidence, "corroboration": F.least(sources * 25, F.lit(100)), "freshness": freshness(seen, now, horizon_days),
+        "quality": F.when(status.isin("active", "deprecated"), 100).otherwise(25),
+    }

@@ -145,3 +145,56 @@ def sessions(sightings: DataFrame, gap_seconds: int) -> DataFrame:
     new = F.coalesce(F.unix_timestamp(F.col("at").cast("timestamp")) - F.unix_timestamp(F.lag("at").over(w).cast("timestamp")) > gap_seconds, F.lit(True))
     rows = sightings.withColumn("_new", new.cast("int")).withColumn("session", F.sum("_new").over(w))
     return rows.groupBy("subject", "session").agg(F.min("at").alias("first_seen"), F.max("at").alias("last_seen"), F.count("*").alias("sightings"))
+
+
+#: Classes of retention that an automatic release may take.
+SWEPT = ("standard", "transient")
+
+
+def release(blobs: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(what stays of blobs, audit) when the asked ones (content_hash, reason) are to go.
+
+    blobs: content_hash, retention.  audit: content_hash, reason, outcome: released, absent, or refused for a class
+    that somebody relies on."""
+    rows = asked.join(blobs.select("content_hash", "retention"), "content_hash", "left")
+    outcome = F.when(F.col("retention").isNull(), "absent").when(F.col("retention").isin(*SWEPT), "released").otherwise("refused")
+    audit = rows.select("content_hash", "reason", outcome.alias("outcome"))
+    return blobs.join(audit.where("outcome = 'released'").select("content_hash"), "content_hash", "left_anti"), audit
+
+
+def integrity(blobs: DataFrame) -> DataFrame:
+    """blobs (content_hash, content) with intact: whether the content still has its address."""
+    return blobs.withColumn("intact", F.coalesce(F.sha2("content", 256) == F.col("content_hash"), F.lit(False)))
+
+
+def quarantine_totals(rolled: DataFrame) -> DataFrame:
+    """entries, occurrences of a quarantine; nothing counts as 0."""
+    return rolled.agg(F.count("*").alias("entries"), F.coalesce(F.sum("occurrences"), F.lit(0)).alias("occurrences"))
+
+
+def invalid(df: DataFrame) -> Column:
+    """The reasons for which a record is refused, by the columns that it has: an edge to itself, times in an order that
+    cannot be, a score over 100, a text of more than 65536 bytes."""
+    has = set(df.columns)
+    after = lambda a, b: (F.col(a) > F.col(b)) if {a, b} <= has else F.lit(False)
+    checks = [
+        ("self_loop", (F.col("source_ref") == F.col("target_ref")) if {"source_ref", "target_ref"} <= has else F.lit(False)),
+        ("seen_order", after("first_seen", "last_seen")), ("valid_order", after("valid_from", "valid_until")),
+        ("score_range", ~F.col("score").between(0, 100) if "score" in has else F.lit(False)),
+        ("text_bounds", F.octet_length("text") > 65536 if "text" in has else F.lit(False)),
+    ]
+    return F.array_compact(F.array(*(F.when(bad, F.lit(name)) for name, bad in checks)))
+
+
+def bounded_labels(observed: DataFrame, most: int = 64) -> DataFrame:
+    """label, value, n of the values that a metric accepts: the first `most` different ones of each label by their first
+    appearance (label, value, at); what comes later in new values is not counted."""
+    values = observed.groupBy("label", "value").agg(F.min("at").alias("_at"), F.count("*").alias("n"))
+    w = Window.partitionBy("label").orderBy("_at", "value")
+    return values.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= most).select("label", "value", "n")
+
+
+def newest_added(objects: DataFrame, *key: str) -> DataFrame:
+    """key, added_after: the newest modified, or else created, of the objects; only instants in UTC ('Z') count."""
+    at = F.coalesce("modified", "created")
+    return objects.groupBy(*key).agg(F.max(F.when(at.endswith("Z"), at)).alias("added_after"))

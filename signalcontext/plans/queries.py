@@ -199,15 +199,6 @@ def confidence_assess(spark, d):
     return rows.select("id", overall.alias("overall"), method.alias("method"))
 
 
-_NAMED = "e AS (SELECT 'p:' || p_partkey AS id, 'tool' AS kind, p_type AS name FROM part), n AS (SELECT *, regexp_replace(lower(name), '[^\\p{L}\\p{N}]+', '', 'g') AS normal, list_filter(list_distinct(string_split_regex(lower(name), '[^\\p{L}\\p{N}]+')), lambda t: strlen(t) >= 4) AS tokens FROM e)"
-
-
-@registered(f"WITH {_NAMED} SELECT a.id AS left_id, b.id AS right_id, CASE WHEN a.normal = b.normal THEN 60 ELSE 25 END::BIGINT AS score, 'candidate' AS outcome FROM n a JOIN n b ON a.id < b.id AND a.kind = b.kind WHERE a.normal = b.normal OR list_has_any(a.tokens, b.tokens)")
-def resolve_outcomes(spark, d):
-    rows = b.read(spark, d, "part").select(F.concat(F.lit("p:"), F.col("p_partkey").cast("string")).alias("id"), F.lit("tool").alias("kind"), F.col("p_type").alias("name"))
-    return g.resolve(rows)
-
-
 @registered("WITH RECURSIVE m AS (SELECT p_partkey AS id, p_partkey // 3 AS into FROM part WHERE p_partkey >= 3), c(id, root, depth) AS (SELECT id, into, 1 FROM m UNION ALL SELECT c.id, m.into, c.depth + 1 FROM c JOIN m ON m.id = c.root) SELECT id, arg_max(root, depth) AS root FROM c GROUP BY id".replace("into", '"into"'))
 def merge_roots(spark, d):
     merges = b.read(spark, d, "part").where("p_partkey >= 3").select(F.col("p_partkey").alias("id"), F.expr("p_partkey div 3").alias("into"))
@@ -369,7 +360,7 @@ def undefang(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import records  # noqa: F401  (registers its own)
+    from . import packs, records  # noqa: F401  (they register their own)
 
     return dict(QUERIES)
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FIELDS = ("kind", "status")
@@ -115,6 +115,13 @@ def page(df: DataFrame, limit: int, offset: int, *order) -> DataFrame:
     return df.orderBy(*order).offset(offset).limit(min(max(limit, 1), MOST_PAGE))
 
 
+def page_with_cursor(df: DataFrame, limit: int, offset: int, *order) -> DataFrame:
+    """page() with next_offset: where the next page begins if this one is full (there may be more), else null."""
+    limit = min(max(limit, 1), MOST_PAGE)
+    n = F.count("*").over(Window.partitionBy())
+    return page(df, limit, offset, *order).withColumn("next_offset", F.when(n >= limit, F.lit(offset + limit)).cast("long"))
+
+
 def search(entities: DataFrame, query: str, limit: int = 100, offset: int = 0) -> DataFrame:
     return page(entities.where(compile(query)), limit, offset, F.col("id"))
 

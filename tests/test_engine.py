@@ -10,6 +10,8 @@ from signalcontext.functions import canon, ids
 from signalcontext.operators import graph as g
 from signalcontext.plans import queries as plans
 
+plans.queries()
+
 DIR = "/root/testdata/sf0.001"
 
 
@@ -87,9 +89,16 @@ def test_resolve_whole_table(spark, tmp_path, monkeypatch):
         for r, m, y in form:
             if l < r and (n == m or x & y):
                 want[l, r] = (60 if n == m else 25, "candidate")
-    got = plans.resolve_outcomes(spark, str(tmp_path)).collect()
-    assert Counter((r.left_id, r.right_id) for r in got) == Counter(want.keys())
-    assert {(r.left_id, r.right_id): (r.score, r.outcome) for r in got} == want
+    # The pairs between the members of linked classes are all the pairs, each once.
+    links = plans.QUERIES["resolve_outcomes"](spark, str(tmp_path)).collect()
+    inside = {}
+    for r in plans.QUERIES["resolve_members"](spark, str(tmp_path)).collect():
+        inside.setdefault(r["class"], []).append(r.id)
+    got = [(min(x, y), max(x, y), k.score, k.outcome) for k in links for x in inside[k.left_id] for y in inside[k.right_id] if k.left_id != k.right_id or x < y]
+    assert Counter((l, r) for l, r, _, _ in got) == Counter(want.keys())
+    assert {(l, r): (s, o) for l, r, s, o in got} == want and sum(k.pairs for k in links) == len(want)
+    whole = g.resolve(spark.createDataFrame([(f"p:{i}", "tool", t) for i, _, t in rows], "id string, kind string, name string")).collect()
+    assert {(r.left_id, r.right_id): (r.score, r.outcome) for r in whole} == want and len(whole) == len(want)
     # An id with two names: one row a pair, by its best signal; an external id decides.
     two = spark.createDataFrame([("a", "k", "NORTH WIND"), ("a", "k", "SOUTH"), ("b", "k", "south"), ("b", "k", "wind gust"), ("c", "j", "south"), ("a", "k", "SOUTH")], "id string, kind string, name string")
     assert [tuple(r) for r in g.resolve(two).collect()] == [("a", "b", 60, "candidate")]
