@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import canon
+from ..functions import canon, ids
 from .evidence import STRENGTH, percent
 from .store import MARKING, Identity, decide
 
@@ -151,3 +151,45 @@ def subject(kind: Column, value: Column) -> Column:
         .when(kind == "url", of("url", canon.url(v))).when(kind == "email", of("email_address", canon.email(v))).when(kind == "file_hash", of("file_hash", F.when(~digest.startswith("sha512:"), digest)))
         .when(kind == "md5", stated("md5")).when(kind == "sha1", stated("sha1")).when(kind == "sha256", stated("sha256"))
     )
+
+
+#: Observable kinds with an object of their own in STIX 2.1 (type, key), and labels of indicators.
+OBSERVED = {
+    "ipv4_address": ("ipv4-addr", "value"), "ipv6_address": ("ipv6-addr", "value"), "domain_name": ("domain-name", "value"), "url": ("url", "value"),
+    "email_address": ("email-addr", "value"), "file_name": ("file", "name"), "mac_address": ("mac-addr", "value"), "ip_range": ("ipv4-addr", "value"),
+}
+LABELS = {"malicious": "malicious-activity", "suspicious": "anomalous-activity", "benign": "benign"}
+
+
+def as_stix(packs: DataFrame, kind: Column, value: Column, at: Column) -> Column:
+    """A STIX 2.1 bundle a pack as JSON: the subject, an indicator of its disposition, and a note for what STIX has no
+    field for.
+
+    kind and value are the subject's; at is the instant of all objects as text.  Ids follow from contents.  A kind
+    without an object of its own is an indicator with a pattern.  Lost: the budget, the structure of gaps and
+    exclusions, the level of detail, handles, and the relationships of the pack."""
+    of = lambda names: F.try_element_at(F.create_map(*(F.lit(x) for kv in names.items() for x in kv)), kind)
+    type_, key = of({k: t for k, (t, _) in OBSERVED.items()}), F.when(kind == "file_name", "name").otherwise("value")
+    named = lambda t, *parts: F.concat(t, F.lit("--"), F.substring_index(ids.named_uuid("stix", *parts), ":", -1))
+    times = [at.alias("created"), at.alias("modified")]
+    head = lambda t, i: [t.alias("type"), F.lit("2.1").alias("spec_version"), i.alias("id")]
+    quoted = F.concat(F.lit(" = '"), canon.pattern_escaped(value), F.lit("']"))
+    pattern = F.when(type_.isNotNull(), F.concat(F.lit("["), type_, F.lit(":"), key, quoted)).otherwise(F.concat(F.lit("[x-unmapped:"), kind, quoted))
+    sign, note, edge = F.lit("indicator"), F.lit("note"), F.lit("relationship")
+    # Nulls are left out of the JSON: an object has the keys that its type has.
+    own = F.when(type_.isNotNull(), named(type_, F.coalesce(type_, F.lit("")), value)).otherwise(named(sign, F.lit("subject"), pattern))
+    plain = F.when(kind == "file_name", F.to_json(F.struct(*head(type_, own), value.alias("name")))).otherwise(F.to_json(F.struct(*head(type_, own), value.alias("value"))))
+    bare = F.to_json(F.struct(*head(sign, own), *times, value.alias("name"), pattern.alias("pattern"), F.lit("stix").alias("pattern_type"), at.alias("valid_from")))
+    label = F.try_element_at(F.create_map(*(F.lit(x) for kv in LABELS.items() for x in kv)), F.col("disposition"))
+    said = named(sign, F.lit("disposition"), F.coalesce(label, F.lit("")), pattern)
+    indicator = F.to_json(F.struct(*head(sign, said), *times, F.concat_ws(" ", kind, value).alias("name"), F.col("finding").alias("description"), F.array(label).alias("indicator_types"), pattern.alias("pattern"), F.lit("stix").alias("pattern_type"), at.alias("valid_from")))
+    based = F.to_json(F.struct(*head(edge, named(edge, F.lit("based-on"), said, own)), *times, F.lit("based-on").alias("relationship_type"), said.alias("source_ref"), own.alias("target_ref")))
+    gap = lambda g: F.concat(F.lit("Not known: "), F.element_at(F.create_map(*(F.lit(v) for kv in GAPS.items() for v in kv)), g))
+    lines = F.concat(
+        F.transform("claims", lambda c: F.concat(F.lit("Claim: "), c["assertion"], F.lit(" = "), F.coalesce(c["value"], F.lit("")), F.lit(" ("), c["status"], F.lit(")"))),
+        F.transform("gaps", gap), F.transform("exclusions", lambda x: F.concat(F.lit("Withheld: "), x)))
+    content = F.array_join(lines, "\n")
+    noted = F.to_json(F.struct(*head(note, named(note, F.lit("note"), content)), *times, F.lit("context that STIX 2.1 has no field for").alias("abstract"), content.alias("content"), F.array(own).alias("object_refs")))
+    objects = F.array_compact(F.array(F.when(type_.isNotNull(), plain).otherwise(bare), F.when(label.isNotNull(), indicator), F.when(label.isNotNull(), based), F.when(F.size(lines) > 0, noted)))
+    bundle = named(F.lit("bundle"), F.lit("bundle"), F.col("fingerprint"))
+    return F.concat(F.lit('{"type":"bundle","id":"'), bundle, F.lit('","objects":['), F.array_join(objects, ","), F.lit("]}"))

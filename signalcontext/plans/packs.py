@@ -225,3 +225,18 @@ def claim_candidates(spark, d):
 @registered(f"WITH {ENTITIES}, p AS (SELECT id, kind FROM entities WHERE kind = 'sector' ORDER BY id LIMIT 3) SELECT id, kind, CASE WHEN (SELECT count(*) FROM p) >= 3 THEN 3 END::BIGINT AS next_offset FROM p")
 def page_with_cursor(spark, d):
     return q.page_with_cursor(b.entities(spark, d).where("kind = 'sector'").select("id", "kind"), 3, 0, F.col("id"))
+
+
+@registered(f"""WITH {EDGES}, {_PACKS}, t AS (SELECT *, 'c' || subject[3:] || '.example' AS host FROM p)
+SELECT subject, concat_ws(',', 'domain-name', CASE WHEN top IS NOT NULL THEN 'indicator,relationship' END, CASE WHEN n > 0 OR m = 0 OR NOT seen OR held > 0 OR m >= 20 THEN 'note' END) AS types,
+CASE WHEN top IS NOT NULL THEN '[domain-name:value = ''' || host || ''']' END AS pattern, (['benign', 'anomalous-activity', 'malicious-activity'])[top] AS label, TRUE AS linked FROM t""")
+def pack_bundles(spark, d):
+    host = F.concat(F.lit("c"), F.substring("subject", 3, 20), F.lit(".example"))
+    packs = _packs(spark, d)
+    text = pk.as_stix(packs, F.lit("domain_name"), host, F.lit("2024-01-01T00:00:00Z"))
+    item = "array<struct<type:string,id:string,pattern:string,indicator_types:array<string>,target_ref:string,object_refs:array<string>>>"
+    rows = packs.select("subject", F.from_json(text, f"objects {item}")["objects"].alias("o"))
+    said = F.get(F.filter("o", lambda x: x["type"] == "indicator"), 0)
+    own = F.get("o", 0)["id"]
+    linked = F.forall("o", lambda x: (F.coalesce(x["target_ref"], own) == own) & (F.coalesce(F.get(x["object_refs"], 0), own) == own))
+    return rows.select("subject", F.array_join(F.transform("o", lambda x: x["type"]), ",").alias("types"), said["pattern"].alias("pattern"), F.get(said["indicator_types"], 0).alias("label"), linked.alias("linked"))

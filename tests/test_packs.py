@@ -90,3 +90,16 @@ def test_release_and_labels(spark):
     assert {(r.content_hash, r.outcome) for r in audit.collect()} == {("a", "refused"), ("b", "released"), ("z", "absent")}
     seen = spark.createDataFrame([("l", "v1", 1), ("l", "v2", 2), ("l", "v3", 3), ("l", "v1", 9)], "label string, value string, at long")
     assert _set(st.bounded_labels(seen, 2)) == {("l", "v1", 2), ("l", "v2", 1)}
+
+
+def test_bundle(spark):
+    packs = _pack(spark).where("subject = 'x'")
+    text = lambda kind, value: json.loads(packs.select(pk.as_stix(packs, F.lit(kind), F.lit(value), F.lit("2024-01-01T00:00:00Z")).alias("j")).first().j)
+    b = text("domain_name", "a'b.example")
+    assert [o["type"] for o in b["objects"]] == ["domain-name", "indicator", "relationship", "note"] and b["objects"][0]["value"] == "a'b.example"
+    assert b["objects"][1]["pattern"] == "[domain-name:value = 'a\\'b.example']" and b["objects"][1]["indicator_types"] == ["malicious-activity"]
+    assert b["objects"][2]["target_ref"] == b["objects"][0]["id"] == b["objects"][3]["object_refs"][0] and b["objects"][2]["source_ref"] == b["objects"][1]["id"]
+    assert b == text("domain_name", "a'b.example") and "Claim: attribute = *b* (revoked)" in b["objects"][3]["content"]
+    other = text("mutex_name", "m")
+    assert other["objects"][0]["type"] == "indicator" and other["objects"][0]["pattern"] == "[x-unmapped:mutex_name = 'm']"
+    assert text("file_name", "f")["objects"][0]["name"] == "f"
