@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_snapshots, decontamination, jaccard_join, language_id, license_rules, masked_lm, packing, quality_trees, robust_outliers, token_counts
+from . import chat_snapshots, conversation_repair, decontamination, jaccard_join, language_id, license_rules, masked_lm, packing, quality_trees, robust_outliers, spelling_variants, token_counts, toxic_gru
 from .common import fold, table
 
 
@@ -56,8 +56,21 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold("doc_id", language_id.FOLDS) == language_id.HELD_OUT).alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_lang_score").alias("score"), F.size("_lang_spans").cast("long").alias("n_spans"))
 
 
+def op11_toxic_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxic_gru.scored(docs, toxic_gru.learn(docs, table(spark, sf_dir, "labels")))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repaired(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_license_rules, op3_masked_lm, op4_token_counts, op5_chat_snapshots, op6_quality_trees, op7_robust_outliers, op8_packing, op9_jaccard_join, op10_language_id)}
+    return {f.__name__: f for f in (op1_decontamination, op2_license_rules, op3_masked_lm, op4_token_counts, op5_chat_snapshots, op6_quality_trees, op7_robust_outliers, op8_packing, op9_jaccard_join, op10_language_id, op11_toxic_gru, op12_spelling_variants, op13_conversation_repair)}
 
 
 #: Shingle sets, all links by brute force, and the smallest id reachable.
@@ -77,4 +90,4 @@ SELECT s.doc_id, len(s.sh)::BIGINT AS n_shingles, least(s.doc_id, min(r.root)) A
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_rules": license_rules.oracle(), "op5_chat_snapshots": chat_snapshots.ORACLE, "op9_jaccard_join": OP9_SQL}
+    return {"op2_license_rules": license_rules.oracle(), "op5_chat_snapshots": chat_snapshots.ORACLE, "op9_jaccard_join": OP9_SQL, "op12_spelling_variants": spelling_variants.ORACLE, "op13_conversation_repair": conversation_repair.oracle()}
