@@ -67,7 +67,8 @@ def marked(text: Column) -> Column:
     """The normal form of a text with END and MAYBE between its sentences and lines."""
     out = F.regexp_replace(F.lower(text), r"\|", " ")
     # A line without a letter or digit is blank, whatever signs of a comment it has.
-    out = F.regexp_replace(out, r"\n(?:[^\p{L}\p{N}\n;]*\n)+", END)
+    # Possessive: such a group is matched in a loop, a greedy one by a call a line.
+    out = F.regexp_replace(out, r"\n(?:[^\p{L}\p{N}\n;]*+\n)++", END)
     out = F.regexp_replace(out, r"[.!?]+\s+", END)
     out = F.regexp_replace(F.regexp_replace(out, r"\n", MAYBE), OTHER, " ")
     out = F.regexp_replace(out, r"[ .;]*\|[ ;|]*", END)

@@ -683,3 +683,10 @@ def test_scope_deletes_its_own_tables_alone(spark):
     assert mine.count() == 5
     with pytest.raises(Exception):
         gone.count()
+
+
+def test_licences_after_many_line_ends(spark):
+    text = "Released under the MIT License." + "\n" * 60_000 + "Licensed under the Apache License, Version 2.0" + "\n# \n" * 30_000
+    from signalcontext.llm import license_rules
+
+    assert license_rules.recognised(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().licenses == "MIT,Apache-2.0"
