@@ -123,7 +123,7 @@ def ip_range(raw: Column) -> Column:
 
 def domain(raw: Column) -> Column:
     t = F.regexp_replace(F.lower(F.trim(raw)), r"\.$", "")
-    return _if(t.rlike(DOMAIN) & (F.length(t) <= 253), t)
+    return _if((F.length(t) <= 253) & F.left(t, F.lit(254)).rlike(DOMAIN), t)
 
 
 def email(raw: Column) -> Column:
@@ -333,14 +333,18 @@ def markdown_escaped(raw: Column) -> Column:
 
 
 def json_depth(text: Column) -> Column:
-    """The deepest nesting of objects and arrays: levels are taken off from within until none is left, 64 at most."""
-    bare = F.regexp_replace(F.regexp_replace(text, r'"(?:[^"\\]|\\.)*"', ""), r"[^{}\[\]]+", "")
-    start = F.struct(bare.alias("left"), F.lit(0).alias("depth"))
-
-    def off(acc: Column, _: Column) -> Column:
-        return F.struct(F.regexp_replace(acc["left"], r"\{\}|\[\]", "").alias("left"), (acc["depth"] + F.when(acc["left"] != "", 1).otherwise(0)).alias("depth"))
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(65)), start, off, lambda acc: acc["depth"])
+    """The deepest nesting of objects and arrays, in one pass over the brackets outside of strings."""
+    # Possessive groups are matched in a loop, whatever the length of a string.
+    bare = F.regexp_replace(F.regexp_replace(text, r'(?s)"(?:[^"\\]++|\\.)*+"', ""), r"[^{}\[\]]+", "")
+    # An innermost pair goes in and out at once: without all but the way in, few brackets of a wide document are left.
+    signs = F.regexp_replace(F.regexp_replace(F.translate(bare, "{}", "[]"), r"\[\](?=\[\])", ""), r"\]++$", "")
+    start = F.struct(F.lit(0).alias("here"), F.lit(0).alias("deepest"))
+
+    def step(acc: Column, sign: Column) -> Column:
+        here = acc["here"] + F.when(sign == "[", 1).when(sign == "]", -1).otherwise(0)
+        return F.struct(here.alias("here"), F.greatest(acc["deepest"], here).alias("deepest"))
+
+    return F.aggregate(F.split(signs, ""), start, step, lambda acc: acc["deepest"])
 
 
 KINDS = {"ip_range": any_range, "ip_address": ip_address, "url": url, "email_address": email, "domain_name": domain, "file_hash": file_hash}

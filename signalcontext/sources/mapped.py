@@ -23,8 +23,8 @@ MOST_SEGMENTS, MOST_WILDCARDS, MOST_PATH, MOST_FIELDS = 16, 2, 512, 64
 OPERATORS = ("equals", "not_equals", "present", "absent", "starts_with", "contains")
 TARGETS = ("subject", "observable", "infer", "attribute", "disposition", "ignore")
 #: Words for malicious and for benign.
-TRUTHY = ["true", "yes", "1", "malicious", "bad", "block", "blocked", "deny"]
-FALSY = ["false", "no", "0", "benign", "good", "allow", "allowed", "permit"]
+TRUTHY = ["true", "yes", "y", "1", "malicious", "bad", "block", "deny"]
+FALSY = ["false", "no", "n", "0", "benign", "good", "allow", "clean"]
 READERS = {
     "ip_address": canon.ip_address, "ip_range": canon.any_range, "domain_name": canon.domain, "url": canon.url, "email_address": canon.email, "file_hash": canon.file_hash,
     "file_name": canon.file_name, "file_path": canon.file_path, "network": canon.any_network, "mac_address": canon.mac, "cve": canon.cve, "cpe": canon.cpe, "package_url": canon.package_url,
@@ -109,8 +109,9 @@ def explained(mapping: dict) -> list[str]:
 
 
 def _csv_fields(line: Column) -> Column:
-    """The trimmed fields of a CSV line; quotes may hold commas and doubled quotes."""
-    cells = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',\s*("(?:[^"]|"")*"|[^,]*)'), 1)
+    """The trimmed fields of a CSV line; quotes may hold commas and doubled quotes.
+    Possessive groups are matched in a loop, so a cell may be as long as a document."""
+    cells = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',\s*+("(?:[^"]++|"")*+"|[^,]*+)'), 1)
     return F.transform(cells, lambda c: F.trim(F.when(c.startswith('"'), F.replace(F.regexp_replace(F.trim(c), '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(c)))
 
 

@@ -41,10 +41,11 @@ OBJECT = """type string, id string, name string, description string, aliases arr
 SAID = "struct<assertion:string,name:string,value:string>"
 FOUND = "struct<kind:string,value:string>"
 _PATH = r"[^\s'\[\]()=!<>,]+(?:'[^']*')?"
-_QUOTED = r"'(?:[^'\\]|\\.)*'"
+# Possessive groups: Java matches them in a loop, greedy ones by a call a turn, so that a long value ends the process.
+_QUOTED = r"'(?:[^'\\]++|\\.)*+'"
 _COMPARISON = rf"{_PATH}\s*=\s*{_QUOTED}"
 #: A pattern that can be represented: comparisons for equality, joined by OR, in one pair of brackets.
-PATTERN = rf"^\s*\[\s*{_COMPARISON}(?:\s+(?i:or)\s+{_COMPARISON})*\s*\]\s*$"
+PATTERN = rf"^\s*\[\s*{_COMPARISON}(?:\s+(?i:or)\s+{_COMPARISON})*+\s*\]\s*$"
 
 
 @dataclass
@@ -89,8 +90,9 @@ def _observable(kind: Column, raw: Column, name: Column, hashes: Column) -> Colu
     """struct(kind, value) of an observable object, null where it has no canonical form."""
     made = lambda k, v: F.when(v.isNotNull(), F.struct(k.alias("kind"), v.alias("value")).cast(FOUND))
     address = canon.let(canon.ip_address(raw), lambda v: made(canon.address_kind(v), v))
-    # A file is its first usable digest, else its name; a file without a name is none.
-    digest = F.get(F.map_values(hashes), 0)
+    # A file is the first of its digests by the name of their kind, if that is usable, else its name; a file without
+    # a name is none.
+    digest = F.get(F.filter(F.transform(F.array_sort(F.map_entries(hashes)), lambda e: e["value"]), lambda v: v.isNotNull()), 0)
     hashed = canon.let(canon.file_hash(digest), lambda v: made(F.lit("file_hash"), v))
     return (
         F.when(kind.isin("ipv4-addr", "ipv6-addr"), address)
@@ -106,7 +108,7 @@ def pattern_observables(pattern: Column) -> Column:
 
     def one(text: Column) -> Column:
         path = F.regexp_replace(F.regexp_extract(text, rf"^({_PATH})\s*=", 1), "'", "")
-        value = F.regexp_replace(F.regexp_extract(text, rf"=\s*'((?:[^'\\]|\\.)*)'$", 1), r"\\(['\\])", "$1")
+        value = F.regexp_replace(F.regexp_extract(text, rf"=\s*'((?:[^'\\]++|\\.)*+)'$", 1), r"\\(['\\])", "$1")
         kind, field = F.substring_index(path, ":", 1), F.regexp_replace(path, "^[^:]*:", "")
         digest = F.when((kind == "file") & field.rlike("^hashes[.]"), canon.let(canon.file_hash(value), lambda v: F.when(v.isNotNull(), F.struct(F.lit("file_hash").alias("kind"), v.alias("value")).cast(FOUND))))
         name = F.when((kind == "file") & (field == "name"), _observable(F.lit("file"), value, value, F.lit(None).cast("map<string,string>")))
