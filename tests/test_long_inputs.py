@@ -32,7 +32,7 @@ def test_pattern_at_its_limit(spark):
     assert spark.createDataFrame([(f"[file:name = '{value}']",)], "v string").where(F.col("v").rlike(stix.PATTERN)).count() == 1
     assert one(spark, f"[file:name = '{value}']", stix.pattern_observables) is None
     many = " OR ".join(f"domain-name:value = '{'a' * 24}{i:03}.example'" for i in range(64))
-    assert 3_900 < len(many) < stix.MOST_PATTERN - 2
+    assert 3_800 < len(many) < stix.MOST_PATTERN - 2
     assert len(one(spark, f"[{many}]", stix.pattern_observables)) == 64
     assert one(spark, f"[{many} OR url:value = 'http://a.example/']", stix.pattern_observables) is None
 
