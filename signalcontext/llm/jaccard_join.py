@@ -18,9 +18,8 @@ central ones, whose elements stand in the longest lists; pairs of one component
 so no link is lost.
 
 Edge cases: a null or wordless text has an empty set and is linked with nothing; rows whose doc_id is null come
-back with component_id null; rows that repeat a doc_id are one document: where their sets differ, the set of the
-smallest size and digest is the document's, and every row gets the document's component; an empty table gives an empty
-result; columns other than doc_id and text are ignored; a very long text is hashed in blocks.
+back with component_id null; rows that repeat a doc_id are one document: where their sets differ, the document has
+the links of each of them, and every row gets the document's component; an empty table gives an empty result; columns other than doc_id and text are ignored; a very long text is hashed in blocks.
 """
 
 from __future__ import annotations
@@ -169,17 +168,18 @@ def _prefix_pass(frequent: np.ndarray, often: np.ndarray, boundary: int):
 
 
 def _set_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, again and set of the rows whose digest is the wanted one."""
+    """node, again and set of the rows whose digest is the wanted one."""
     for batch in batches:
-        at, wanted = 0, batch.column("d1").to_numpy().view(np.uint64)
+        at, wanted, nodes = 0, batch.column("d1").to_numpy().view(np.uint64), batch.column("node")
         for ids, sizes, h, r in _rows(batch):
             n = len(ids)
+            ids = nodes.slice(at, n)
             mine = _digest(h, sizes) == wanted[at : at + n]
             offsets = np.concatenate([[0], np.cumsum(sizes[mine])]).astype(np.int32)
             again = batch.column("again").slice(at, n)
             at += n
             sets = pa.ListArray.from_arrays(pa.array(offsets), pa.array(h[mine[r]].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([ids.filter(pa.array(mine)), again.filter(pa.array(mine)), sets], names=["doc_id", "again", "s"])
+            yield pa.RecordBatch.from_arrays([ids.filter(pa.array(mine)), again.filter(pa.array(mine)), sets], names=["node", "again", "s"])
 
 
 def _meet(xn: str, xpos: str, yn: str, ypos: str) -> str:
@@ -194,8 +194,8 @@ def _plausible(pairs: DataFrame, lists: DataFrame, boundary: int) -> DataFrame:
     Common elements outside one of the two prefixes all lie beyond the prefix of the same set, so there are at
     most ceil(t * larger size) - 1 of them; the shared tokens must make up the rest of the overlap that a link
     needs.  Two light sets share 2-subsets, not elements, and are passed on as they are."""
-    one = lists.select(F.col("doc_id").alias("a"), "token", F.col("n").alias("na"))
-    two = lists.select(F.col("doc_id").alias("b"), "token", F.col("n").alias("nb"))
+    one = lists.select(F.col("node").alias("a"), "token", F.col("n").alias("na"))
+    two = lists.select(F.col("node").alias("b"), "token", F.col("n").alias("nb"))
     shared = pairs.join(one, "a").join(two, ["b", "token"]).groupBy("a", "b").agg(F.count("*").alias("s"), F.max("na").alias("na"), F.max("nb").alias("nb"))
     need = f"(({NUM} * (na + nb) + {NUM + DEN - 1}) div {NUM + DEN})"
     rest = f"(({NUM} * greatest(na, nb) + {DEN - 1}) div {DEN} - 1)"
@@ -203,18 +203,19 @@ def _plausible(pairs: DataFrame, lists: DataFrame, boundary: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets link.  Only the texts of documents in pairs are taken.
+    """The pairs (a, b) of nodes whose sets link.  Only the texts of documents in pairs are taken.
 
-    reps: doc_id, d1 and whether several rows have the id; only of those is one row picked from each group."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(reps, "doc_id")
+    reps: node, the doc_id and d1 that stand for it, and whether several rows have both; only of those is one row
+    picked from each group."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(reps, "node")
     wanted = kept(sized(wanted, 2 * pairs.count()), "wanted")
-    # Few enough ids go to every task (17 bytes each); else texts and ids meet by key.
+    # Few enough ids go to every task (25 bytes each); else texts and ids meet by key.
     ids = F.broadcast(wanted) if wanted.count() <= SENT_IDS else wanted
-    found = arrow_map(docs.join(ids, "doc_id").select("doc_id", "text", "d1", "again"), _set_pass, "doc_id long, again boolean, s array<long>")
+    found = arrow_map(docs.join(ids, "doc_id").select("doc_id", "text", "d1", "again", "node"), _set_pass, "node long, again boolean, s array<long>")
     sets = kept(found, "sets")
-    sets = sets.where("not again").select("doc_id", "s").unionByName(sets.where("again").groupBy("doc_id").agg(F.first("s").alias("s")))
-    a = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa"))
-    b = sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
+    sets = sets.where("not again").select("node", "s").unionByName(sets.where("again").groupBy("node").agg(F.first("s").alias("s")))
+    a = sets.select(F.col("node").alias("a"), F.col("s").alias("sa"))
+    b = sets.select(F.col("node").alias("b"), F.col("s").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb")).cast("long")
     full = pairs.join(a, "a").join(b, "b").select("a", "b", both.alias("i"), (F.size("sa") + F.size("sb")).cast("long").alias("t"))
     return kept(full.where(f"{DEN} * i >= {NUM} * (t - i)").select("a", "b"), "verified")
@@ -231,66 +232,73 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     order = np.argsort(h := np.array([x.h for x in often], np.int64).view(np.uint64))
     frequent, counted = h[order], np.array([x.c for x in often], np.int64)[order]
 
-    # A document a doc_id, a class an equal set.
-    own = rows.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("n", "d1", "d2")).alias("m"), (F.count("*") > 1).alias("again"))
-    own = kept(own.select("doc_id", "m.*", "again"), "documents")
-    classes = kept(own.groupBy("n", "d1", "d2").agg(F.min(F.struct("doc_id", "again")).alias("m")).select("n", "d1", "d2", F.col("m.doc_id").alias("rep"), "m.again"), "classes")
+    # The sets of each doc_id, nearly always one; a class is an equal set, and has a number of its own: several classes
+    # may have one least doc_id.
+    own = rows.where("n > 0 and doc_id is not null").groupBy("doc_id", "n", "d1", "d2").agg((F.count("*") > 1).alias("again"))
+    own = kept(own, "documents")
+    classes = own.groupBy("n", "d1", "d2").agg(F.min(F.struct("doc_id", "again")).alias("m"))
+    classes = kept(classes.select("n", "d1", "d2", F.col("m.doc_id").alias("rep"), "m.again", F.monotonically_increasing_id().alias("node")), "classes")
     histogram = {x.n: x.c for x in classes.groupBy("n").agg(F.count("*").alias("c")).collect()}
     # Prefixes hold rare shingles: a shingle that was never counted twice stands alone, a frequent one stands last.
     rare = counts.where(f"c < {FREQUENT}").agg(F.sum("c").alias("c"), F.sum(F.expr("c * c")).alias("q")).first()
     alone = max(sum(n * c for n, c in histogram.items()) - (rare.c or 0) - int(counted.sum()), 0)
     boundary = light_boundary(histogram, (alone + (rare.q or 0)) / max(alone + (rare.c or 0), 1))
 
-    reps = classes.select(F.col("rep").alias("doc_id"), "d1", "again")
+    reps = classes.select(F.col("rep").alias("doc_id"), "d1", "again", "node")
     tokens = arrow_map(docs.where("doc_id is not null"), _prefix_pass(frequent, counted, boundary), "doc_id long, n long, d1 long, tokens array<long>")
-    tokens = tokens.where(F.size("tokens") > 0).join(reps.where("not again"), ["doc_id", "d1"], "left_semi")
+    tokens = tokens.where(F.size("tokens") > 0).join(reps.where("not again"), ["doc_id", "d1"]).select("node", "n", "tokens")
     # Of rows that repeat a document, one.
     twice = reps.where("again")
     if not twice.isEmpty():
         more = arrow_map(docs.where("doc_id is not null"), _prefix_pass(frequent, counted, boundary), "doc_id long, n long, d1 long, tokens array<long>")
-        more = more.where(F.size("tokens") > 0).join(twice, ["doc_id", "d1"], "left_semi")
-        tokens = tokens.unionByName(more.groupBy("doc_id", "d1").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")).select(*tokens.columns))
+        more = more.where(F.size("tokens") > 0).join(twice, ["doc_id", "d1"])
+        tokens = tokens.unionByName(more.groupBy("node").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")))
     # An element's place is its index among the tokens; 2-subsets, which come last, count as met at the front.
     heavy_n = F.expr(f"if({DEN} * n > {NUM * boundary}, n - ({NUM} * n + {DEN - 1}) div {DEN} + 1, 0)")
-    tokens = tokens.select("doc_id", "n", heavy_n.alias("heavy_n"), F.posexplode("tokens").alias("i", "token"))
+    tokens = tokens.select("node", "n", heavy_n.alias("heavy_n"), F.posexplode("tokens").alias("i", "token"))
     # Size and place travel in one number, which also sorts a list by size.
-    tokens = tokens.select("doc_id", "token", F.expr("shiftleft(n, 31) | if(i < heavy_n, i, 0)").alias("np"))
+    tokens = tokens.select("node", "token", F.expr("shiftleft(n, 31) | if(i < heavy_n, i, 0)").alias("np"))
     # A list's rows by size: its neighbours are verified first.
-    w = Window.partitionBy("token").orderBy("np", "doc_id")
-    near = tokens.select("token", "np", "doc_id", F.lag("doc_id").over(w).alias("before"), F.lag("np").over(w).alias("before_np"), F.lead("np").over(w).alias("after_np"))
+    w = Window.partitionBy("token").orderBy("np", "node")
+    near = tokens.select("token", "np", "node", F.lag("node").over(w).alias("before"), F.lag("np").over(w).alias("before_np"), F.lead("np").over(w).alias("after_np"))
     split = [F.expr(f"shiftright({x}np, 31)").alias(f"{x}n") for x in ("", "before_", "after_")]
     split += [F.expr(f"{x}np & {(1 << 31) - 1}L").alias(f"{x}pos") for x in ("", "before_")]
-    near = near.select("token", "doc_id", "before", *split)
+    near = near.select("token", "node", "before", *split)
     lists = near.where(f"{DEN} * before_n >= {NUM} * n or {DEN} * n >= {NUM} * after_n").drop("after_n")
     lists = kept(lists, "lists")
     pair = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
-    chain = kept(lists.where(f"{_meet('n', 'pos', 'before_n', 'before_pos')} and doc_id <> before").select(F.col("before").alias("x"), F.col("doc_id").alias("y")).select(*pair).distinct(), "chain")
+    chain = kept(lists.where(f"{_meet('n', 'pos', 'before_n', 'before_pos')} and node <> before").select(F.col("before").alias("x"), F.col("node").alias("y")).select(*pair).distinct(), "chain")
     links = _verified(kept(_plausible(chain, lists, boundary), "plausible"), docs, reps)
+    # The classes of a document with several sets are one component.
+    several = own.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
+    if not several.isEmpty():
+        mine = own.join(several, "doc_id", "left_semi").join(classes.select("n", "d1", "d2", "node"), ["n", "d1", "d2"])
+        links = links.unionByName(mine.groupBy("doc_id").agg(F.min("node").alias("a")).join(mine, "doc_id").select("a", F.col("node").alias("b")).where("a <> b"))
     found = components(links, links.count())
 
     tried = chain
     lengths = lists.groupBy("token").agg(F.count("*").alias("length"))
-    central = lists.join(lengths, "token").groupBy("doc_id").agg(F.sum("length").alias("weight"))
+    central = lists.join(lengths, "token").groupBy("node").agg(F.sum("length").alias("weight"))
     central = kept(central, "central")
     for turn in range(len(HUBS) + 1):
-        labelled = lists.select("token", "n", "pos", "doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        labelled = labelled.select("token", "n", "pos", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+        labelled = lists.select("token", "n", "pos", "node").join(found, "node", "left")
+        labelled = labelled.select("token", "n", "pos", "node", F.coalesce("component", "node").alias("component"))
         mixed = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
         labelled = kept(labelled.join(mixed, "token", "left_semi"), "mixed")
         each = labelled.groupBy("token", "component").agg(F.count("*").alias("c"))
         each = each.groupBy("token").agg(F.sum("c").alias("m"), F.sum(F.expr("c * c")).alias("q"), F.max(F.struct("c", "component")).alias("largest"))
         size = each.agg(F.sum("m").alias("rows"), F.sum(F.expr("(m * m - q) / 2")).alias("pairs")).first()
         last = turn == len(HUBS) or (size.pairs or 0) <= FEW_PAIRS * (size.rows or 0)
-        y = labelled.select("token", F.col("n").alias("yn"), F.col("pos").alias("yp"), F.col("doc_id").alias("y"), F.col("component").alias("yc"))
+        y = labelled.select("token", F.col("n").alias("yn"), F.col("pos").alias("yp"), F.col("node").alias("y"), F.col("component").alias("yc"))
         if last:
             # One side leaves out each list's largest component, so a list in which nearly all are one costs no square.
             y = y.join(each.select("token", F.col("largest.component").alias("largest")), "token").where("yc <> largest")
-            x = labelled.select("token", F.col("n").alias("xn"), F.col("pos").alias("xp"), F.col("doc_id").alias("x"), F.col("component").alias("xc"))
+            x = labelled.select("token", F.col("n").alias("xn"), F.col("pos").alias("xp"), F.col("node").alias("x"), F.col("component").alias("xc"))
             cross = x.join(y, "token").where(f"xc <> yc and {_meet('xn', 'xp', 'yn', 'yp')}")
         else:
-            w = Window.partitionBy("token").orderBy(F.desc("weight"), "doc_id")
-            hubs = labelled.join(central, "doc_id").select("*", F.row_number().over(w).alias("place")).where(F.col("place") <= HUBS[turn])
-            x = hubs.select("token", F.col("n").alias("xn"), F.col("pos").alias("xp"), F.col("doc_id").alias("x"), F.col("component").alias("xc"))
+            w = Window.partitionBy("token").orderBy(F.desc("weight"), "node")
+            hubs = labelled.join(central, "node").select("*", F.row_number().over(w).alias("place")).where(F.col("place") <= HUBS[turn])
+            x = hubs.select("token", F.col("n").alias("xn"), F.col("pos").alias("xp"), F.col("node").alias("x"), F.col("component").alias("xc"))
             cross = y.join(x, "token").where(f"xc <> yc and {_meet('xn', 'xp', 'yn', 'yp')}")
         cross = kept(cross.select(*pair).distinct().join(tried, ["a", "b"], "left_anti"), "cross")
         if not cross.isEmpty():
@@ -301,8 +309,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         if last:
             break
 
-    labels = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component_id"))
-    labels = own.join(labels, ["n", "d1", "d2"]).select("doc_id", "component_id")
+    labels = classes.join(found, "node", "left").select("n", "d1", "d2", "rep", F.coalesce("component", "node").alias("component"))
+    least = labels.groupBy("component").agg(F.min("rep").alias("component_id"))
+    labels = own.join(labels.join(least, "component").select("n", "d1", "d2", "component_id"), ["n", "d1", "d2"]).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     # A row without words takes its document's component, if another row of the document has one.
     out = rows.select("doc_id", "n").join(labels, "doc_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
