@@ -11,7 +11,7 @@ from ..operators import evidence as ev
 from ..operators import graph as g
 from ..operators import store as st
 from ..shared import written
-from ..sources import flat, mapped, stix
+from ..sources import flat, mapped, sigma, stix
 from .queries import ENTITIES, EDGES, OBSERVED, registered
 
 _LEVEL = "([NULL, 'clear', 'TLP:GREEN', 'Amber', 'amber+strict', 'RED', 'black', 'white', 'tlp:amber_strict'])[o_orderkey % 9 + 1]"
@@ -221,3 +221,33 @@ def succession_delta(spark, d):
     before = taken(0, "b")
     heirs = F.when(F.col("key") % 4 == 0, F.array(F.lit("x"))).when(F.col("key") % 4 == 1, F.array(F.lit("x"), F.lit("y"))).otherwise(F.array().cast("array<string>"))
     return g.compare(before, taken(1, "a"), before.select("key", F.explode(heirs).alias("successor")))
+
+
+def _rules(spark, d):
+    """A file a part: a rule with tags, a list, a modifier and a negated selection; each third has a second document, in
+    turn one that is no YAML, one without a title and one that is withdrawn."""
+    k = F.col("p_partkey").cast("string")
+    t = lambda *x: F.concat(*(F.lit(v) if isinstance(v, str) else v for v in x))
+    ip = F.concat_ws(".", F.lit("192.0"), F.floor(F.col("p_partkey") / 256).cast("long") % 256, F.col("p_partkey") % 256)
+    first = t("title: ", F.col("p_name"), "\nid: 'r", k, "'\nlevel: high # as found\nlogsource:\n  product: ", F.lower("p_type"), "\ntags:\n  - attack.t", (F.col("p_partkey") % 9000 + 1000).cast("string"), "\n  - attack.impact\ndetection:\n  pick:\n    dst_ip:\n      - ", ip,
+              "\n      - '198.51.100.", (F.col("p_partkey") % 200).cast("string"), "'\n      - ", k, "\n    QueryName|endswith: .P", k, ".example\n  filter:\n    - QueryName: Ok", k, ".example\n      Image: x.exe\n    - Hash: none\n  condition: pick and not filter\n")
+    second = F.when(F.col("p_partkey") % 9 == 0, "title: [").when(F.col("p_partkey") % 9 == 3, "id: a\ndetection:\n  a: b").when(F.col("p_partkey") % 9 == 6, t("title: old\nstatus: deprecated\ndetection:\n- x\nid: o", k))
+    return b.read(spark, d, "part").select(k.alias("doc"), F.concat_ws("\n---\n", first, second).alias("text"))
+
+
+@registered("""WITH p AS (SELECT p_partkey AS k, p_partkey::VARCHAR AS doc, lower(p_type) AS product, '192.0.' || (p_partkey // 256 % 256) || '.' || (p_partkey % 256) AS ip, '198.51.100.' || (p_partkey % 200) AS ip2 FROM part)
+SELECT doc, 0 AS part, unnest(['sigma.id', 'sigma.level', 'sigma.logsource.product', 'sigma.tag', 'sigma.tag', 'sigma.detection', 'sigma.detection', 'sigma.detection', 'sigma.detection.unread']) AS name,
+  unnest(['r' || k, 'high', product, 'attack.t' || (k % 9000 + 1000), 'attack.impact', ip, ip2, 'ok' || k || '.example', 'Hash (not canonical), Image, QueryName|endswith (modifier), dst_ip (not a string)']) AS value FROM p
+UNION ALL SELECT doc, 1, unnest(['sigma.status', 'sigma.id']), unnest(['deprecated', 'o' || k]) FROM p WHERE k % 9 = 6""")
+def sigma_claims(spark, d):
+    return sigma.parse(_rules(spark, d)).claims.select("doc", "part", "name", "value")
+
+
+@registered("""WITH p AS (SELECT p_partkey AS k, p_partkey::VARCHAR AS doc, p_name FROM part)
+SELECT doc, 0 AS part, 'rule' AS kind, p_name AS name, 'active' AS state, 4::BIGINT AS edges FROM p UNION ALL SELECT doc, 0, 'technique', 'T' || (k % 9000 + 1000), 'active', 0 FROM p
+UNION ALL SELECT doc, 1, 'rule', 'old', 'deprecated', 0 FROM p WHERE k % 9 = 6 UNION ALL SELECT doc, 1, 'reject', NULL, CASE k % 9 WHEN 0 THEN 'invalid_yaml' ELSE 'missing_title' END, 0 FROM p WHERE k % 9 IN (0, 3)""")
+def sigma_rules(spark, d):
+    read = sigma.parse(_rules(spark, d))
+    edges = read.relationships.groupBy("doc", "part", F.col("source_ref").alias("id")).agg(F.count("*").alias("n"))
+    rules = read.entities.join(edges, ["doc", "part", "id"], "left").select("doc", "part", F.when(F.col("kind") == "detection_rule", "rule").otherwise("technique").alias("kind"), "name", F.col("status").alias("state"), F.coalesce("n", F.lit(0)).cast("long").alias("edges"))
+    return rules.unionByName(read.rejects.select("doc", "part", F.lit("reject").alias("kind"), F.lit(None).cast("string").alias("name"), F.col("reason").alias("state"), F.lit(0).cast("long").alias("edges")))
