@@ -11,7 +11,7 @@ from ..operators import evidence as ev
 from ..operators import graph as g
 from ..operators import store as st
 from ..shared import written
-from ..sources import flat, mapped, sigma, stix
+from ..sources import flat, mapped, sigma, stix, xml
 from .queries import ENTITIES, EDGES, OBSERVED, registered
 
 _LEVEL = "([NULL, 'clear', 'TLP:GREEN', 'Amber', 'amber+strict', 'RED', 'black', 'white', 'tlp:amber_strict'])[o_orderkey % 9 + 1]"
@@ -251,3 +251,38 @@ def sigma_rules(spark, d):
     edges = read.relationships.groupBy("doc", "part", F.col("source_ref").alias("id")).agg(F.count("*").alias("n"))
     rules = read.entities.join(edges, ["doc", "part", "id"], "left").select("doc", "part", F.when(F.col("kind") == "detection_rule", "rule").otherwise("technique").alias("kind"), "name", F.col("status").alias("state"), F.coalesce("n", F.lit(0)).cast("long").alias("edges"))
     return rules.unionByName(read.rejects.select("doc", "part", F.lit("reject").alias("kind"), F.lit(None).cast("string").alias("name"), F.col("reason").alias("state"), F.lit(0).cast("long").alias("edges")))
+
+
+@registered("""WITH s AS (SELECT s_suppkey AS k, s_suppkey::VARCHAR AS doc, s_name FROM supplier), o AS (SELECT * FROM s WHERE k % 7 > 0)
+SELECT doc, 'detection_rule' AS kind, CASE WHEN k % 3 = 0 THEN 'i' || k ELSE s_name END AS value FROM o
+UNION ALL SELECT doc, 'openioc.indicator', 's' || k || '.example' FROM o WHERE k % 5 > 0 UNION ALL SELECT doc, 'openioc.indicator', '198.51.100.' || (k % 200) FROM o
+UNION ALL SELECT doc, 'openioc.unread', CASE WHEN k % 5 = 0 THEN 'Network/DNS (not canonical), ' ELSE '' END || 'Network/URI (condition `contains`), Registry/Path' FROM o
+UNION ALL SELECT doc, 'indicates', count(*)::VARCHAR FROM (SELECT doc FROM o WHERE k % 5 > 0 UNION ALL SELECT doc FROM o) GROUP BY doc UNION ALL SELECT doc, 'unreadable_document', 'a document type' FROM s WHERE k % 7 = 0""")
+def openioc_indicators(spark, d):
+    k = F.col("s_suppkey").cast("string")
+    item = lambda search, content, condition="is": F.concat(F.lit(f"<IndicatorItem condition='{condition}'><Context search='{search}'/><Content>"), content, F.lit("</Content></IndicatorItem>"))
+    host = F.when(F.col("s_suppkey") % 5 == 0, F.concat(F.lit("no host "), k)).otherwise(F.concat(F.lit("S"), k, F.lit(".Example")))
+    title = F.when(F.col("s_suppkey") % 3 == 0, "").otherwise(F.col("s_name"))
+    items = F.concat(item("Network/DNS", host), item("PortItem/remoteIP", F.concat(F.lit("198.51.100."), (F.col("s_suppkey") % 200).cast("string"))), item("Network/URI", F.lit("x"), "contains"), item("Registry/Path", F.lit("x")))
+    text = F.concat(F.when(F.col("s_suppkey") % 7 == 0, "<!DOCTYPE ioc []>").otherwise(""), F.lit("<i:ioc xmlns:i='urn:i' id='i"), k, F.lit("'><short_description>"), title, F.lit("</short_description><definition><Indicator>"), items, F.lit("</Indicator></definition></i:ioc>"))
+    read = xml.openioc(b.read(spark, d, "supplier").select(k.alias("doc"), text.alias("text")))
+    out = read.entities.select("doc", "kind", F.col("name").alias("value")).unionByName(read.claims.select("doc", F.col("name").alias("kind"), "value"))
+    edges = read.relationships.groupBy("doc", "kind").agg(F.count("*").cast("string").alias("value"))
+    return out.unionByName(edges).unionByName(read.rejects.select("doc", F.col("reason").alias("kind"), F.col("detail").alias("value")))
+
+
+@registered("""WITH o AS (SELECT (c_custkey // 20)::VARCHAR AS doc, c_custkey AS k, lower(c_mktsegment) AS purpose, CASE WHEN c_acctbal < 0 THEN 'high' END AS severity FROM customer), g AS (SELECT * FROM o WHERE k % 11 > 0)
+SELECT doc, 'incident' AS kind, 'csirt.example incident ' || k AS value FROM g UNION ALL SELECT doc, 'iodef.purpose', purpose FROM g UNION ALL SELECT doc, 'iodef.impact.severity', severity FROM g WHERE severity IS NOT NULL
+UNION ALL SELECT doc, 'iodef.address', '192.0.2.' || (k % 250) FROM g UNION ALL SELECT doc, 'iodef.unread', 'Address category `asn`' FROM g UNION ALL SELECT doc, 'part_of', '192.0.2.' || (k % 250) FROM g
+UNION ALL SELECT doc, 'missing_incident_id', NULL FROM o WHERE k % 11 = 0""")
+def iodef_incidents(spark, d):
+    k = F.col("c_custkey").cast("string")
+    number = F.when(F.col("c_custkey") % 11 > 0, F.concat(F.lit("<IncidentID name='csirt.example'>"), k, F.lit("</IncidentID>"))).otherwise("")
+    impact = F.when(F.col("c_acctbal") < 0, "<Assessment><Impact severity='high'/></Assessment>").otherwise("<Assessment/>")
+    one = F.concat(F.lit("<Incident purpose='"), F.lower("c_mktsegment"), F.lit("'>"), number, impact, F.lit("<EventData><Node><Address category='ipv4-addr'> 192.0.2."), (F.col("c_custkey") % 250).cast("string"), F.lit("</Address><Address category='asn'>64500</Address></Node></EventData></Incident>"))
+    docs = b.read(spark, d, "customer").groupBy(F.expr("string(c_custkey div 20)").alias("doc")).agg(F.concat(F.lit("<IODEF-Document>"), F.array_join(F.collect_list(one), "\n"), F.lit("</IODEF-Document>")).alias("text"))
+    read = xml.iodef(docs)
+    nodes = read.claims.where("name = 'iodef.address'").select("doc", F.col("subject").alias("source_ref"), "value").distinct()
+    out = read.entities.select("doc", "kind", F.col("name").alias("value")).unionByName(read.claims.select("doc", F.col("name").alias("kind"), "value"))
+    out = out.unionByName(read.relationships.join(nodes, ["doc", "source_ref"]).select("doc", "kind", "value"))
+    return out.unionByName(read.rejects.select("doc", F.col("reason").alias("kind"), F.col("detail").alias("value")))
