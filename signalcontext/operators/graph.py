@@ -165,46 +165,61 @@ def traverse(relationships: DataFrame, start: str, depth: int = 3, nodes: int =
     """Level-synchronous bounded search from a node; the limits that fired are named.
 
     A hop reads the frontier's edges in (node, edge) order, fan_out at most from each node, and stops in front of
-    the first new edge or node over its budget.  After the cut there are at most fan_out * nodes rows in a hop, so
-    the one ordered window is over a bounded frame."""
+    the first new edge or node over its budget.  Where that is follows from how many new edges and nodes stand before
+    each place: the hop's rows are dealt out by range, counted in each range and summed up over the ranges, so no
+    row of a hop comes to the driver, which learns the place of the stop and two counts.  Every hop is written."""
     spark = relationships.sparkSession
-    both = doubled(relationships.withColumn("_ok", permitted if permitted is not None else F.lit(True)))
-    visited, taken, flags = {start: 0}, {}, []
-    frontier = [start]
+    links = doubled(relationships.withColumn("_ok", permitted if permitted is not None else F.lit(True)))
+    links = written(links.select("node", "id", "other", "_ok"), "links")
+    visited = written(spark.createDataFrame([(start, 0)], "node string, depth int"), "visited")
+    taken = written(spark.createDataFrame([], "id string, depth int"), "taken")
+    seen, used, flags = 1, 0, set()
     for level in range(1, depth + 1):
-        if not frontier:
+        front = visited.where(F.col("depth") == level - 1).select("node")
+        # A frontier has no more nodes than the budget: safe to send to every task.
+        ranked = links.join(F.broadcast(front), "node").withColumn("_k", F.row_number().over(Window.partitionBy("node").orderBy("id"))).where(F.col("_k") <= fan_out + 1)
+        hop = written(ranked.repartitionByRange("node", "id").withColumn("_range", F.spark_partition_id()), "hop")
+        marked = written(_new_places(hop.where((F.col("_k") <= fan_out) & F.col("_ok")), taken, visited), "marked")
+        spent = _spent_before(marked)
+        over_edges = (F.col("edge") == 1) & (F.col("edges_before") + used >= edges)
+        over = over_edges | ((F.col("reached") == 1) & (F.col("nodes_before") + seen >= nodes))
+        stop = spent.where(over).orderBy("node", "id").select("node", "id", over_edges.alias("by_edges")).first()
+        before = F.lit(True) if stop is None else (F.struct("node", "id") < F.struct(F.lit(stop.node), F.lit(stop.id)))
+        if not hop.where(F.col("_k") > fan_out).where(before).isEmpty():
+            flags.add("fan_out")
+        kept = marked.where(before)
+        taken = written(taken.unionByName(kept.where("edge = 1").select("id", F.lit(level).alias("depth"))), "taken")
+        visited = written(visited.unionByName(kept.where("reached = 1").select(F.col("other").alias("node"), F.lit(level).alias("depth"))), "visited")
+        before_hop, seen, used = seen, visited.count(), taken.count()
+        if stop is not None:
+            flags.add("edges" if stop.by_edges else "nodes")
             break
-        front = spark.createDataFrame([(x,) for x in frontier], "node string")
-        order = Window.partitionBy("node").orderBy("id")
-        ranked = both.join(F.broadcast(front), "node").withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= fan_out + 1)
-        rows = ranked.select("node", "id", "other", "_ok", "_k").orderBy("node", "id").collect()
-        frontier, cut = [], False
-        for r in rows:
-            if r._k > fan_out:
-                flags.append("fan_out")
-                continue
-            if not r._ok:
-                continue
-            if r.id not in taken and len(taken) >= edges:
-                flags.append("edges")
-                cut = True
-                break
-            if r.other not in visited and len(visited) >= nodes:
-                flags.append("nodes")
-                cut = True
-                break
-            taken.setdefault(r.id, level)
-            if r.other not in visited:
-                visited[r.other] = level
-                frontier.append(r.other)
-        frontier.sort()
-        if cut:
+        if seen == before_hop:
             break
-        if level == depth and frontier:
-            flags.append("depth")
-    n = spark.createDataFrame(sorted(visited.items()), "node string, depth int")
-    e = spark.createDataFrame(sorted(taken.items()), "id string, depth int")
-    return Reach(n, e, sorted(set(flags)))
+        if level == depth:
+            flags.add("depth")
+    return Reach(visited, taken, sorted(flags))
+
+
+def _new_places(rows: DataFrame, taken: DataFrame, visited: DataFrame) -> DataFrame:
+    """node, id, _range, edge, reached, other: the places of a hop at which an edge or a node stands for the first time."""
+    place = F.min(F.struct("node", "id", "_range")).alias("at")
+    new_edges = rows.join(taken.select("id"), "id", "left_anti").groupBy(F.col("id").alias("edge_id")).agg(place)
+    new_nodes = rows.join(visited.select(F.col("node").alias("other")), "other", "left_anti").groupBy("other").agg(place)
+    both = new_edges.select("at.*", F.lit(1).alias("edge"), F.lit(0).alias("reached"), F.lit(None).cast("string").alias("other"))
+    both = both.unionByName(new_nodes.select("at.*", F.lit(0).alias("edge"), F.lit(1).alias("reached"), "other"))
+    return both.groupBy("node", "id", "_range").agg(F.max("edge").alias("edge"), F.max("reached").alias("reached"), F.max("other").alias("other"))
+
+
+def _spent_before(marked: DataFrame) -> DataFrame:
+    """marked with edges_before and nodes_before: prefix sums in (node, id) order, of ranges that are in that order."""
+    totals = marked.groupBy("_range").agg(F.sum("edge").alias("e"), F.sum("reached").alias("n"))
+    # One row a range: a bounded frame in one window.
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("_range", F.coalesce(F.sum("e").over(earlier), F.lit(0)).alias("_e"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_n"))
+    inside = Window.partitionBy("_range").orderBy("node", "id").rowsBetween(Window.unboundedPreceding, -1)
+    counted = marked.select("*", F.coalesce(F.sum("edge").over(inside), F.lit(0)).alias("_ie"), F.coalesce(F.sum("reached").over(inside), F.lit(0)).alias("_in"))
+    return counted.join(F.broadcast(totals), "_range").select("node", "id", "edge", "reached", "other", (F.col("_e") + F.col("_ie")).alias("edges_before"), (F.col("_n") + F.col("_in")).alias("nodes_before"))
 
 
 def reachable(relationships: DataFrame, starts: DataFrame, depth: int) -> DataFrame:

@@ -243,12 +243,39 @@ def reach_depth(spark, d):
     return g.reachable(b.relationships(spark, d), spark.createDataFrame([("r:1",)], "node string"), 2)
 
 
-@registered()
+def _traversal(start: str, depth: int, nodes: int, edges: int, fan_out: int) -> str:
+    """A bounded search hop by hop: ranks, first places, what was spent before each, and the stop."""
+    steps = [f"v0 AS (SELECT '{start}' AS node, 0 AS depth)", "t0 AS (SELECT id FROM edges WHERE false)"]
+    stops: list[str] = []
+    for i in range(1, depth + 1):
+        earlier = " AND ".join(f"NOT EXISTS (FROM s{j})" for j in range(1, i)) or "true"
+        before = "OVER (ORDER BY node, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+        steps += [
+            f"k{i} AS (SELECT d.node, d.id, d.other, row_number() OVER (PARTITION BY d.node ORDER BY d.id) AS k FROM doubled d JOIN v{i - 1} f ON f.node = d.node AND f.depth = {i - 1} WHERE {earlier})",
+            f"u{i} AS (SELECT *, (row_number() OVER (PARTITION BY id ORDER BY node) = 1 AND id NOT IN (FROM t{i - 1}))::INT AS e, (row_number() OVER (PARTITION BY other ORDER BY node, id) = 1 AND other NOT IN (SELECT node FROM v{i - 1}))::INT AS n FROM k{i} WHERE k <= {fan_out})",
+            f"p{i} AS (SELECT *, e = 1 AND (SELECT count(*) FROM t{i - 1}) + coalesce(sum(e) {before}, 0) >= {edges} AS x, n = 1 AND (SELECT count(*) FROM v{i - 1}) + coalesce(sum(n) {before}, 0) >= {nodes} AS y FROM u{i})",
+            f"s{i} AS (SELECT node, id, CASE WHEN x THEN 'edges' ELSE 'nodes' END AS flag FROM p{i} WHERE x OR y ORDER BY node, id LIMIT 1)",
+            f"a{i} AS (SELECT * FROM p{i} WHERE NOT EXISTS (SELECT 1 FROM s{i} s WHERE (p{i}.node, p{i}.id) >= (s.node, s.id)))",
+            f"v{i} AS (FROM v{i - 1} UNION ALL SELECT other, {i} FROM a{i} WHERE n = 1)", f"t{i} AS (FROM t{i - 1} UNION ALL SELECT id FROM a{i} WHERE e = 1)",
+        ]
+        stops += [f"SELECT flag FROM s{i}", f"SELECT 'fan_out' FROM k{i} WHERE k > {fan_out} AND NOT EXISTS (SELECT 1 FROM s{i} s WHERE (k{i}.node, k{i}.id) > (s.node, s.id))"]
+    stops.append(f"SELECT 'depth' FROM v{depth} WHERE depth = {depth} AND NOT EXISTS (FROM s{depth})")
+    return f"WITH {EDGES}, {BOTH}, {', '.join(steps)} SELECT node, depth, (SELECT coalesce(string_agg(DISTINCT flag, ',' ORDER BY flag), '') FROM ({' UNION ALL '.join(stops)}) f(flag)) AS truncated FROM v{depth}"
+
+
+@registered(_traversal("r:1", 3, 200, 400, 20))
 def traverse_bounded(spark, d):
     found = g.traverse(b.relationships(spark, d), "r:1", depth=3, nodes=200, edges=400, fan_out=20)
     return found.nodes.withColumn("truncated", F.lit(",".join(found.truncated)))
 
 
+@registered(_traversal("n:3", 2, 5000, 300, 4000))
+def traverse_edges_spent(spark, d):
+    """The same where the edges run out within a hop."""
+    found = g.traverse(b.relationships(spark, d), "n:3", depth=2, nodes=5000, edges=300, fan_out=4000)
+    return found.nodes.withColumn("truncated", F.lit(",".join(found.truncated)))
+
+
 def _capture(spark, d, until: str) -> DataFrame:
     o = b.read(spark, d, "orders").where(F.col("o_orderdate") < F.lit(until).cast("timestamp_ntz"))
     rows = o.groupBy(F.col("o_custkey").alias("key")).agg(F.count("*").alias("n"), F.max_by("o_orderstatus", F.struct("o_orderdate", "o_orderkey")).alias("last"))

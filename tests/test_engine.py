@@ -73,6 +73,49 @@ def test_traverse(spark):
     assert g.traverse(edges, "c", fan_out=1, depth=3).truncated == ["fan_out"]
 
 
+def walked(rows, start, depth, nodes, edges, fan_out, refused):
+    """The bounded search, one row after the other."""
+    visited, taken, flags, front = {start: 0}, {}, set(), [start]
+    for level in range(1, depth + 1):
+        nxt, cut = [], False
+        hop = []
+        for node in sorted(front):
+            mine = sorted((i, y if x == node else x) for i, _, x, y in rows if node in (x, y))
+            hop += [(node, i, o, k) for k, (i, o) in enumerate(mine, 1)][: fan_out + 1]
+        for node, i, other, k in hop:
+            if k > fan_out:
+                flags.add("fan_out")
+            elif i not in refused:
+                if i not in taken and len(taken) >= edges or other not in visited and len(visited) >= nodes:
+                    flags.add("edges" if i not in taken and len(taken) >= edges else "nodes")
+                    cut = True
+                    break
+                taken.setdefault(i, level)
+                if other not in visited:
+                    visited[other] = level
+                    nxt.append(other)
+        front = nxt
+        if cut or not front:
+            break
+        if level == depth:
+            flags.add("depth")
+    return visited, taken, sorted(flags)
+
+
+def test_traverse_against_a_walk(spark):
+    import random
+
+    r = random.Random(8)
+    rows = [(f"e{i:03}", "k", f"n{min(r.randrange(40), r.randrange(40)):02}", f"n{r.randrange(40):02}") for i in range(140)]
+    rows = [x for x in rows if x[2] != x[3]]
+    refused = {x[0] for x in rows[::9]}
+    edges = spark.createDataFrame(rows, "id string, kind string, source_ref string, target_ref string").repartition(7)
+    for depth, nodes, most, fan_out in ((3, 500, 500, 50), (3, 12, 500, 50), (3, 500, 15, 50), (2, 500, 40, 3), (3, 18, 25, 4), (1, 1, 500, 2)):
+        found = g.traverse(edges, "n00", depth, nodes, most, fan_out, ~F.col("id").isin(*refused))
+        want = walked(rows, "n00", depth, nodes, most, fan_out, refused)
+        assert ({x.node: x.depth for x in found.nodes.collect()}, {x.id: x.depth for x in found.edges.collect()}, found.truncated) == want
+
+
 def test_resolve_whole_table(spark, tmp_path, monkeypatch):
     import random
     import re
