@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import last_writes, upsert_outcomes, upserted
+from .store import document_hash, last_writes, upsert_outcomes, upserted
 
 FORMAT = 1
 
@@ -76,15 +76,16 @@ class Snapshots:
         df.write.parquet(f"{self.root}/{path}")
         state["tables"][name], state["schemas"][name] = path, _ddl(df)
 
-    def upsert(self, batches: dict[str, DataFrame], key: str = "id", order: str | None = None, versioned: bool = True) -> dict[str, dict[str, int]]:
+    def upsert(self, batches: dict[str, DataFrame], key: str = "id", order: str | None = None, versioned: bool = True, whole: dict[str, DataFrame] | None = None) -> dict[str, dict[str, int]]:
         """Outcomes (inserted, updated, unchanged) by table of one commit over all batches; of several records of a key
-        the last by `order` counts.  The graph version grows by the records that change; a batch that changes nothing
-        makes no commit."""
+        the last by `order` counts, and of those that stand equally late that of the greatest content hash, so a run that
+        is repeated keeps the same.  The graph version grows by the records that change.  `whole` are tables that the
+        same commit replaces; a batch that changes nothing, without such tables, makes no commit."""
         state = json.loads(json.dumps(self.state))
         told, changed = {}, 0
         for name, batch in batches.items():
-            batch = last_writes(batch, key, order) if order else batch.dropDuplicates([key])
-            batch = batch.drop(order) if order else batch
+            late = [order] if order else []
+            batch = last_writes(document_hash(batch, key), key, *late, "_doc").drop("_doc", *late)
             stored = self.table(name)
             outcomes = batch.select(F.lit("inserted").alias("outcome")) if stored is None else upsert_outcomes(stored, batch.select(*stored.columns), key)
             told[name] = {"inserted": 0, "updated": 0, "unchanged": 0} | {r.outcome: r.n for r in outcomes.groupBy("outcome").agg(F.count("*").alias("n")).collect()}
@@ -92,7 +93,9 @@ class Snapshots:
             if n or stored is None:
                 self._write(state, name, batch if stored is None else upserted(stored, batch.select(*stored.columns), key))
                 changed += n
-        if changed:
+        for name, df in (whole or {}).items():
+            self._write(state, name, df)
+        if changed or whole:
             state["graph_version"] += changed if versioned else 0
             self._commit(state)
         return told

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..operators.snapshot import Snapshots
-from ..operators.store import quarantine_rollup
+from ..operators.store import dangling, quarantine_rollup
 from ..shared import written
-from ..sources import flat, mapped, stix
+from ..sources import flat, mapped, sigma, stix
 
 #: How sure a parser is, from low to high.
 LEVELS = ["declined", "weak", "strong", "certain"]
@@ -22,6 +22,10 @@ class IngestRefused(ValueError):
     """A strict run with documents or records that are refused; nothing is written."""
 
 
+class DanglingEdge(ValueError):
+    """A relationship names an entity that is neither stored nor in the batch; nothing is written, in any mode."""
+
+
 def votes(media: Column, name: Column, head: Column) -> dict[str, Column]:
     """Each parser's level (0 to 3) for a document by its media type, file name and first bytes."""
     low, ends = F.lower(F.coalesce(name, F.lit(""))), lambda *x: F.lower(F.coalesce(name, F.lit(""))).rlike(rf"\.(?:{'|'.join(x)})$")
@@ -29,7 +33,11 @@ def votes(media: Column, name: Column, head: Column) -> dict[str, Column]:
     bundle = start.startswith("{") & head.rlike(r'"type"\s*:\s*"bundle"')
     typed = start.startswith("{") & head.rlike(r'"spec_version"\s*:\s*"2\.')
     line = F.get(F.split(start, "\n"), 0)
+    kind = F.lower(F.coalesce(media, F.lit("")))
+    other = kind.rlike("json|stix|xml") | start.rlike(r"^[\[{]")
+    rule = kind.isin("application/x-sigma+yaml", "text/x-sigma") | (~other & head.contains("logsource:") & head.contains("detection:"))
     return {
+        "sigma": F.when(rule, 3).otherwise(0),
         "stix": F.when(bundle, 3).when(typed | (media == "application/stix+json"), 2).otherwise(0),
         "json_lines": F.when(ends("jsonl", "ndjson") | (media == "application/x-ndjson"), 2).when(start.rlike(r"^[\[{]"), 1).otherwise(0),
         "delimited": F.when(start.rlike(r"^[\[{<]"), 0).when(ends("csv", "tsv", "txt") | (media == "text/csv"), 2).when((low != "") & line.rlike("[,;\t]"), 1).otherwise(0),
@@ -61,37 +69,55 @@ class Report:
         return self.accepted + self.rejected
 
 
-CLAIM = ["id", "doc", "subject", "kind", "observable", "assertion", "name", "value", "status"]
+CLAIM = ["id", "doc", "subject", "kind", "observable", "assertion", "name", "value", "status", "_at"]
+
+
+def _no_markings() -> Column:
+    return F.array().cast("array<struct<kind:string,value:string>>").alias("markings")
+
+
+def _at(pos: str) -> Column:
+    """Where a record stands: of several of an id, that of the last document by name and the last place in it counts."""
+    return F.struct(F.col("doc").cast("string").alias("doc"), F.col(pos).cast("long").alias("pos")).alias("_at")
 
 
 def _claims(rows: DataFrame, parser: str) -> DataFrame:
     """The claims of a parser under one schema; an id is made of what a claim says and where it stands."""
     if parser == "stix":
-        out = rows.select("doc", "subject", "kind", "observable", "assertion", "name", "value", "status")
+        out = rows.select("doc", "subject", "kind", "observable", "assertion", "name", "value", "status", _at("pos"))
+    elif parser == "sigma":
+        none = F.lit(None).cast("string")
+        out = rows.select("doc", "subject", none.alias("kind"), none.alias("observable"), F.lit("attribute").alias("assertion"), "name", "value", F.lit("active").alias("status"), _at("part"))
     else:
         subject = ids.named_uuid("observable", F.col("kind"), F.col("value"))
         name = F.col("name") if parser == "json_lines" else F.col("attribute")
-        out = rows.where("kind is not null and value is not null").select("doc", subject.alias("subject"), "kind", F.col("value").alias("observable"), F.lit("attribute").alias("assertion"), name.alias("name"), "value", F.lit("active").alias("status"))
+        out = rows.where("kind is not null and value is not null").select("doc", subject.alias("subject"), "kind", F.col("value").alias("observable"), F.lit("attribute").alias("assertion"), name.alias("name"), "value", F.lit("active").alias("status"), _at("pos" if parser == "json_lines" else "line"))
     text = [F.coalesce(F.col(c), F.lit("")) for c in ("doc", "subject", "assertion", "name", "value")]
     return out.withColumn("id", ids.named_uuid("claim", *text)).select(*CLAIM)
 
 
 def ingest(docs: DataFrame, store: Snapshots, at: str, strict: bool = False) -> Report:
     """Parses docs(doc, text[, media, name]) and writes entities, claims, sightings, relationships and quarantine in the
-    store.  Records that a parser refuses are counted and kept in quarantine by (doc, pos, reason); a strict run raises
-    before anything is written.  The same documents again change nothing but quarantine's occurrences."""
+    store, in one commit.  Records that a parser refuses are counted and kept in quarantine by (doc, pos, reason); a
+    strict run raises before anything is written, and every run does where an edge names an entity that there is not.
+    The same documents again change nothing but quarantine's occurrences."""
     found = written(detect(docs), "detected")
     own = lambda p: found.where(F.col("parser") == p).select("doc", "text")
     read = stix.parse(own("stix"))
     lines = mapped.json_lines(own("json_lines"))
     flat_rows = written(flat.claims(own("delimited").withColumnRenamed("doc", "file")).withColumnRenamed("file", "doc"), "flat")
-    claims = _claims(read.claims, "stix").unionByName(_claims(lines.claims, "json_lines")).unionByName(_claims(flat_rows.where("outcome = 'claim'"), "delimited"))
-    links = read.relationships.withColumn("id", ids.named_uuid("relationship", F.col("doc"), F.col("kind"), F.col("source_ref"), F.col("target_ref")))
+    rules = sigma.parse(own("sigma"))
+    claims = _claims(read.claims, "stix").unionByName(_claims(rules.claims, "sigma")).unionByName(_claims(lines.claims, "json_lines")).unionByName(_claims(flat_rows.where("outcome = 'claim'"), "delimited"))
+    edges = read.relationships.unionByName(rules.relationships.select("doc", F.col("part").alias("pos"), "kind", "source_ref", "target_ref", F.lit(None).cast("string").alias("note"), F.lit("active").alias("status"), _no_markings()))
+    links = edges.withColumn("id", ids.named_uuid("relationship", F.col("doc"), F.col("kind"), F.col("source_ref"), F.col("target_ref")))
+    technique = F.when(F.col("kind") == "attack_technique", F.col("name"))
+    named = rules.entities.select("doc", F.col("part").alias("pos"), "id", "kind", "name", "description", F.array().cast("array<string>").alias("aliases"), "status", _no_markings(), technique.alias("attack_id"))
+    entities = read.entities.unionByName(named)
     seen = read.sightings.withColumn("id", ids.named_uuid("sighting", F.col("doc"), F.col("subject"), F.col("first_seen").cast("string"), F.col("last_seen").cast("string")))
-    tables = {k: written(v, k) for k, v in {"entities": read.entities.drop("doc").dropDuplicates(["id"]), "claims": claims, "relationships": links.drop("pos"), "sightings": seen.drop("pos")}.items()}
+    tables = {k: written(v, k) for k, v in {"entities": entities.withColumn("_at", _at("pos")).drop("doc", "pos"), "claims": claims, "relationships": links.withColumn("_at", _at("pos")).drop("pos"), "sightings": seen.withColumn("_at", _at("pos")).drop("pos")}.items()}
     at_place = lambda df, pos, reason: df.select("doc", pos.cast("long").alias("pos"), reason.alias("reason"))
     refused = at_place(found.where("refused is not null"), F.lit(0), F.col("refused"))
-    for df, pos, reason in ((read.rejects, F.col("pos"), F.col("reason")), (lines.rejects, F.col("pos"), F.col("reason")), (flat_rows.where("outcome <> 'claim'"), F.col("line"), F.col("outcome"))):
+    for df, pos, reason in ((read.rejects, F.col("pos"), F.col("reason")), (lines.rejects, F.col("pos"), F.col("reason")), (flat_rows.where("outcome <> 'claim'"), F.col("line"), F.col("outcome")), (rules.rejects, F.col("part"), F.col("reason"))):
         refused = refused.unionByName(at_place(df, pos, reason))
     refused = written(refused, "refused")
 
@@ -99,9 +125,12 @@ def ingest(docs: DataFrame, store: Snapshots, at: str, strict: bool = False) ->
     report.rejected = sum(report.reasons.values())
     if strict and report.rejected:
         raise IngestRefused(f"{report.rejected} of {report.total} records are refused: {report.reasons}")
-    report.outcomes = store.upsert(tables)
-    if report.rejected:
-        store.replace({"quarantine": quarantined(store.table("quarantine"), refused, at)})
+    stored = store.table("entities")
+    known = tables["entities"].select("id") if stored is None else tables["entities"].select("id").unionByName(stored.select("id"))
+    lost = dangling(tables["relationships"], known).where("end not like 'observable:%'").first()
+    if lost is not None:
+        raise DanglingEdge(f"{lost.id} names {lost.end}")
+    report.outcomes = store.upsert(tables, order="_at", whole={"quarantine": quarantined(store.table("quarantine"), refused, at)} if report.rejected else None)
     return report
 
 

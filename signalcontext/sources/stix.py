@@ -168,7 +168,7 @@ def parse(docs: DataFrame) -> Parsed:
     good = rows.where("reason is null")
 
     named = good.where("kind is not null").withColumn("entity", ids.named_uuid("entity", F.col("kind"), F.lower("name")))
-    entities = named.select("doc", F.col("entity").alias("id"), "kind", "name", "description", F.coalesce("aliases", "x_mitre_aliases", F.array().cast("array<string>")).alias("aliases"), "status", "markings", attack_id(F.col("external_references")).alias("attack_id"))
+    entities = named.select("doc", "pos", F.col("entity").alias("id"), "kind", "name", "description", F.coalesce("aliases", "x_mitre_aliases", F.array().cast("array<string>")).alias("aliases"), "status", "markings", attack_id(F.col("external_references")).alias("attack_id"))
 
     # What an identifier of the document stands for: an entity, or the observables of an object or indicator.
     seen = good.where("id is not null")

@@ -54,3 +54,44 @@ def test_snapshots(spark, tmp_path):
     assert sorted(map(tuple, st.decision_counts(b.decisions()).collect())) == [("merge", "accepted", 1), ("merge", "refused", 1)]
     with pytest.raises(ValueError):
         b.record_decision("merge", "accepted", "e1", "", "p1", "2024-01-01")
+
+
+RULE = "title: R\nid: r1\nlogsource:\n  product: windows\ntags: [attack.t1059]\ndetection:\n  s:\n    src_ip: 192.0.2.9\n    Image: x\n  condition: s\n"
+
+
+def test_rules_and_one_commit(spark, tmp_path):
+    docs = spark.createDataFrame([*DOCS, ("e", RULE + "---\ntitle: x\n", None, "r.yml")], SCHEMA)
+    assert {r.doc: r.parser for r in ingest.detect(docs).collect()}["e"] == "sigma"
+    store = Snapshots(spark, str(tmp_path / "s"))
+    report = ingest.ingest(docs, store, "2024-01-01")
+    assert store.number == 1 and report.reasons["missing_detection"] == 1 and store.table("quarantine").count() == 4
+    assert {r.name for r in store.table("entities").where("kind in ('detection_rule', 'attack_technique')").collect()} == {"R", "T1059"}
+    assert {r["name"] for r in store.table("claims").where("doc = 'e'").collect()} == {"sigma.id", "sigma.logsource.product", "sigma.tag", "sigma.detection", "sigma.detection.unread"}
+    assert store.table("relationships").where("doc = 'e'").count() == 2
+    ingest.ingest(docs, store, "2024-01-02")
+    assert store.number == 2 and {r.occurrences for r in store.table("quarantine").collect()} == {2} and store.graph_version == sum(sum(v.values()) for v in report.outcomes.values())
+
+
+def test_last_record_of_an_id_stays(spark, tmp_path):
+    """Two documents, and two objects of one, say different things of one entity: the last document and place hold."""
+    one = lambda *x: json.dumps({"type": "bundle", "objects": [{"type": "tool", "id": f"t{i}", "name": "T", "description": d} for i, d in enumerate(x)]})
+    docs = [("b", one("b0", "b1"), None, "b.json"), ("a", one("a0", "z1"), None, "a.json")]
+    for k in range(2):
+        store = Snapshots(spark, str(tmp_path / str(k)))
+        ingest.ingest(spark.createDataFrame(docs[:: 1 - 2 * k], SCHEMA).repartition(3), store, "2024-01-01")
+        assert [r.description for r in store.table("entities").collect()] == ["b1"]
+
+
+def test_dangling_edge_writes_nothing(spark, tmp_path, monkeypatch):
+    store = Snapshots(spark, str(tmp_path / "s"))
+    parse = ingest.sigma.parse
+
+    def lost(files):
+        got = parse(files)
+        got.entities = got.entities.where("kind <> 'attack_technique'")
+        return got
+
+    monkeypatch.setattr(ingest.sigma, "parse", lost)
+    with pytest.raises(ingest.DanglingEdge):
+        ingest.ingest(spark.createDataFrame([("e", RULE, None, "r.yml")], SCHEMA), store, "2024-01-01")
+    assert store.number == 0 and store.table("entities") is None
