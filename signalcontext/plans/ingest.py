@@ -106,19 +106,24 @@ def ingest(docs: DataFrame, store: Snapshots, at: str, strict: bool = False) ->
     read = stix.parse(own("stix"))
     lines = mapped.json_lines(own("json_lines"))
     flat_rows = written(flat.claims(own("delimited").withColumnRenamed("doc", "file")).withColumnRenamed("file", "doc"), "flat")
-    rules = sigma.parse(own("sigma"))
-    claims = _claims(read.claims, "stix").unionByName(_claims(rules.claims, "sigma")).unionByName(_claims(lines.claims, "json_lines")).unionByName(_claims(flat_rows.where("outcome = 'claim'"), "delimited"))
-    edges = read.relationships.unionByName(rules.relationships.select("doc", F.col("part").alias("pos"), "kind", "source_ref", "target_ref", F.lit(None).cast("string").alias("note"), F.lit("active").alias("status"), _no_markings()))
+    claims = _claims(read.claims, "stix").unionByName(_claims(lines.claims, "json_lines")).unionByName(_claims(flat_rows.where("outcome = 'claim'"), "delimited"))
+    edges, entities = read.relationships, read.entities
+    # A batch without rules, as most are, does not pay for reading them.
+    rules = None if found.where("parser = 'sigma'").isEmpty() else sigma.parse(own("sigma"))
+    if rules is not None:
+        claims = claims.unionByName(_claims(rules.claims, "sigma"))
+        edges = edges.unionByName(rules.relationships.select("doc", F.col("part").alias("pos"), "kind", "source_ref", "target_ref", F.lit(None).cast("string").alias("note"), F.lit("active").alias("status"), _no_markings()))
+        technique = F.when(F.col("kind") == "attack_technique", F.col("name"))
+        entities = entities.unionByName(rules.entities.select("doc", F.col("part").alias("pos"), "id", "kind", "name", "description", F.array().cast("array<string>").alias("aliases"), "status", _no_markings(), technique.alias("attack_id")))
     links = edges.withColumn("id", ids.named_uuid("relationship", F.col("doc"), F.col("kind"), F.col("source_ref"), F.col("target_ref")))
-    technique = F.when(F.col("kind") == "attack_technique", F.col("name"))
-    named = rules.entities.select("doc", F.col("part").alias("pos"), "id", "kind", "name", "description", F.array().cast("array<string>").alias("aliases"), "status", _no_markings(), technique.alias("attack_id"))
-    entities = read.entities.unionByName(named)
     seen = read.sightings.withColumn("id", ids.named_uuid("sighting", F.col("doc"), F.col("subject"), F.col("first_seen").cast("string"), F.col("last_seen").cast("string")))
     tables = {k: written(v, k) for k, v in {"entities": entities.withColumn("_at", _at("pos")).drop("doc", "pos"), "claims": claims, "relationships": links.withColumn("_at", _at("pos")).drop("pos"), "sightings": seen.withColumn("_at", _at("pos")).drop("pos")}.items()}
     at_place = lambda df, pos, reason: df.select("doc", pos.cast("long").alias("pos"), reason.alias("reason"))
     refused = at_place(found.where("refused is not null"), F.lit(0), F.col("refused"))
-    for df, pos, reason in ((read.rejects, F.col("pos"), F.col("reason")), (lines.rejects, F.col("pos"), F.col("reason")), (flat_rows.where("outcome <> 'claim'"), F.col("line"), F.col("outcome")), (rules.rejects, F.col("part"), F.col("reason"))):
+    for df, pos, reason in ((read.rejects, F.col("pos"), F.col("reason")), (lines.rejects, F.col("pos"), F.col("reason")), (flat_rows.where("outcome <> 'claim'"), F.col("line"), F.col("outcome"))):
         refused = refused.unionByName(at_place(df, pos, reason))
+    if rules is not None:
+        refused = refused.unionByName(at_place(rules.rejects, F.col("part"), F.col("reason")))
     refused = written(refused, "refused")
 
     report = Report(documents=found.count(), accepted=sum(t.count() for t in tables.values()), reasons={r.reason: r.n for r in refused.groupBy("reason").agg(F.count("*").alias("n")).collect()})
