@@ -97,9 +97,9 @@ def decision_counts(decisions: DataFrame) -> DataFrame:
     return decisions.groupBy("kind", "verdict").agg(F.count("*").alias("n"))
 
 
-def last_writes(batch: DataFrame, key: str, *order: str) -> DataFrame:
+def last_writes(batch: DataFrame, key: str | list[str], *order: str) -> DataFrame:
     """The last record of each key in a batch."""
-    w = Window.partitionBy(key).orderBy(*(F.desc(c) for c in order))
+    w = Window.partitionBy(*([key] if isinstance(key, str) else key)).orderBy(*(F.desc(c) for c in order))
     return batch.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 

@@ -135,14 +135,20 @@ def ingest(docs: DataFrame, store: Snapshots, at: str, strict: bool = False) ->
     lost = dangling(tables["relationships"], known).where("end not like 'observable:%'").first()
     if lost is not None:
         raise DanglingEdge(f"{lost.id} names {lost.end}")
-    report.outcomes = store.upsert(tables, order="_at", whole={"quarantine": quarantined(store.table("quarantine"), refused, at)} if report.rejected else None)
+    # Records and quarantine are one commit; the counters of the buckets that are touched are read, no others.
+    counters = {"quarantine": refused.select("doc", "pos", "reason", F.lit(at).alias("at"))} if report.rejected else {}
+    report.outcomes = store.upsert(tables | counters, order="_at", keys=QUARANTINE, fold={"quarantine": quarantined})
+    report.outcomes.pop("quarantine", None)
     return report
 
 
-def quarantined(stored: DataFrame | None, refused: DataFrame, at: str | None = None) -> DataFrame:
-    """The stored counters by (doc, pos, reason) with those of a run at one time, or of rows with times of their own."""
-    when = F.col("at") if at is None else F.lit(at)
-    new = quarantine_rollup(refused.select("doc", "pos", F.col("reason").alias("why"), F.col("reason"), when.alias("at")), "doc", "pos", "why").drop("reason").withColumnRenamed("why", "reason")
+#: The key of the quarantine's counters.
+QUARANTINE = {"quarantine": ["doc", "pos", "reason"]}
+
+
+def quarantined(stored: DataFrame | None, refused: DataFrame) -> DataFrame:
+    """The stored counters by (doc, pos, reason) with those of refused rows, each with its time `at`."""
+    new = quarantine_rollup(refused.select("doc", "pos", F.col("reason").alias("why"), F.col("reason"), "at"), "doc", "pos", "why").drop("reason").withColumnRenamed("why", "reason")
     if stored is None:
         return new
     return stored.unionByName(new).groupBy("doc", "pos", "reason").agg(F.min("first_seen_at").alias("first_seen_at"), F.max("last_seen_at").alias("last_seen_at"), F.sum("occurrences").alias("occurrences"))

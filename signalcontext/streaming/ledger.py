@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.snapshot import Snapshots
-from ..plans.ingest import quarantined
+from ..plans.ingest import QUARANTINE, quarantined
 
 OUT = "subject string, id long, at timestamp, previous string, state string, reactivated boolean"
 
@@ -52,6 +52,6 @@ def quarantine_counters(store: Callable[[], Snapshots]) -> Callable[[DataFrame,
         rejects = batch.select("doc", "pos", "reason", F.col("at").cast("string").alias("at"))
         marker = batch.sparkSession.createDataFrame([("last", number)], "id string, number long")
         # Counters and marker are one commit.
-        s.replace({"quarantine": quarantined(s.table("quarantine"), rejects), "quarantine_batches": marker})
+        s.upsert({"quarantine": rejects, "quarantine_batches": marker}, versioned=False, keys=QUARANTINE, fold={"quarantine": quarantined})
 
     return add

@@ -95,3 +95,62 @@ def test_dangling_edge_writes_nothing(spark, tmp_path, monkeypatch):
     with pytest.raises(ingest.DanglingEdge):
         ingest.ingest(spark.createDataFrame([("e", RULE, None, "r.yml")], SCHEMA), store, "2024-01-01")
     assert store.number == 0 and store.table("entities") is None
+
+
+def test_small_writes_touch_one_bucket(spark, tmp_path):
+    """A record's write makes one file and its lookup reads one bucket; the rest of the table may as well not be there."""
+    from pyspark.sql import functions as F
+
+    s = Snapshots(spark, str(tmp_path), changes=4)
+    s.upsert({"t": spark.range(2000).select("id", F.lit("a").alias("v"))})
+    rows = lambda *x: spark.createDataFrame(list(x), "id long, v string")
+    assert s.upsert({"t": rows((7, "b"))})["t"] == {"inserted": 0, "updated": 1, "unchanged": 0}
+    base, change = (p["path"] for p in s.state["tables"]["t"]["parts"])
+    files = lambda path: sorted((tmp_path / path).glob("*/*.parquet"))
+    assert len(files(base)) >= 16 and len(files(change)) == 1
+    own = files(change)[0].parent.name
+    for d in (tmp_path / base).glob("_bucket=*"):
+        if d.name != own:
+            d.rename(tmp_path / f"away-{d.name}")
+    late = Snapshots(spark, str(tmp_path), changes=4)
+    assert late.get("t", "id", 7) == {"id": 7, "v": "b"} and late.upsert({"t": rows((7, "b"))})["t"]["unchanged"] == 1
+    for d in tmp_path.glob("away-*"):
+        d.rename(tmp_path / base / d.name.removeprefix("away-"))
+    assert late.number == 2 and late.table("t").count() == 2000
+
+
+def test_changes_deletions_compaction_and_cleaning(spark, tmp_path):
+    """Many small writes against a plain dict; changes are put together, the base takes them in, old files go."""
+    rows = lambda x: spark.createDataFrame(sorted(x.items()), "id long, v string")
+    s, plain = Snapshots(spark, str(tmp_path), buckets=4, changes=3), {i: "a" for i in range(100)}
+    s.upsert({"t": rows(plain)})
+    for k in range(7):
+        write = {k: f"w{k}", 100 + k: "new", 50: f"x{k}"}
+        assert s.upsert({"t": rows(write)})["t"] == {"inserted": 1, "updated": 2, "unchanged": 0}
+        plain |= write
+        assert len(s.state["tables"]["t"]["parts"]) <= 5
+    assert s.delete("t", spark.createDataFrame([(50,), (3,), (999,)], "id long")) == 2 and s.delete("t", spark.createDataFrame([(50,)], "id long")) == 0
+    del plain[50], plain[3]
+    assert dict(map(tuple, s.table("t").collect())) == plain and s.get("t", "id", 50) is None
+    assert s.upsert({"t": rows({50: "back"})})["t"]["inserted"] == 1
+    plain[50] = "back"
+    stale, version = Snapshots(spark, str(tmp_path)), s.graph_version
+    s.compact("t")
+    s.upsert({"t": rows({1: "last"})})
+    plain[1] = "last"
+    assert s.clean(keep=1) > 0 and s.clean(keep=1) == 0 and s.graph_version == version + 1
+    assert dict(map(tuple, Snapshots(spark, str(tmp_path)).table("t").collect())) == plain
+    assert len(list((tmp_path / "t").iterdir())) == len(s.state["tables"]["t"]["parts"]) == 2
+    s.upsert({"u": rows({})})
+    assert s.table("u").count() == 0 and s.upsert({"u": rows({1: "a"})})["u"]["inserted"] == 1 and s.table("u").count() == 1
+    with pytest.raises(Conflict):
+        stale.compact("t")
+
+
+def test_null_keys_and_parts_of_a_key(spark, tmp_path):
+    s = Snapshots(spark, str(tmp_path))
+    rows = lambda *x: spark.createDataFrame(list(x), "doc string, pos long, v string")
+    keys = {"t": ["doc", "pos"]}
+    s.upsert({"t": rows((None, 1, "a"), ("d", None, "b"), ("d", 1, "c"))}, keys=keys)
+    assert s.upsert({"t": rows((None, 1, "z"), ("d", None, "b"), ("e", 1, "c"))})["t"] == {"inserted": 1, "updated": 1, "unchanged": 1}
+    assert sorted(map(str, map(tuple, s.table("t").collect()))) == ["('d', 1, 'c')", "('d', None, 'b')", "('e', 1, 'c')", "(None, 1, 'z')"]
