@@ -20,11 +20,14 @@ CONFLICT_COST, WITHDRAWN_COST, DORMANT_AT = 25, 40, 25
 WEIGHTS = {"source_reliability": 3, "information_credibility": 3, "corroboration": 3, "recency": 2, "stance": 1}
 
 
-def dedup_verdicts(observations: DataFrame) -> DataFrame:
+def dedup_verdicts(observations: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     """observations (record_id, content_hash, publisher, record_hash, arrival) with a verdict: in arrival order, only
-    the first earlier observation with the same bytes and the first of the same publisher can decide."""
+    the first earlier observation with the same bytes and the first of the same publisher can decide.  `seen` are earlier
+    ones that are given none: of those, the firsts of a record, of its bytes and of its publishers are enough."""
+    known = observations.select("record_id", "content_hash", "publisher", "record_hash", "arrival")
+    known = known if seen is None else known.unionByName(seen)
     # First arrivals are aggregates, combined before any shuffle: no task orders all observations of a record.
-    first = lambda c, *k: observations.groupBy("record_id", *k).agg(F.min("arrival").alias(f"_{c}_at"), F.min_by(c, "arrival").alias(f"_{c}"))
+    first = lambda c, *k: known.groupBy("record_id", *k).agg(F.min("arrival").alias(f"_{c}_at"), F.min_by(c, "arrival").alias(f"_{c}"))
     same = lambda c: F.when(F.col(f"_{c}_at") < F.col("arrival"), F.col(f"_{c}"))
     rows = observations.join(first("content_hash").drop("_content_hash"), "record_id", "left")
     rows = rows.withColumn("_any", (F.col("_content_hash_at") < F.col("arrival")).cast("int")).drop("_content_hash_at")

@@ -134,6 +134,16 @@ class Snapshots:
         row = self._merged(self.state, name, bucket).where(F.col(key) == F.lit(value)).drop("_doc", "_was", "_bucket", "_gen").first()
         return None if row is None else row.asDict(recursive=True)
 
+    def beside(self, name: str, keys: DataFrame) -> DataFrame | None:
+        """The records of the keys (the key's columns), out of the buckets that these fall into."""
+        if name not in self.state["tables"]:
+            return None
+        entry = self.state["tables"][name]
+        by = entry["key"]
+        asked = keys.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)]).distinct()
+        touched = self._touched(keys.select(_bucket([F.col(k) for k in by], entry["buckets"]).alias("_bucket")))
+        return self._merged(self.state, name, touched).join(asked, _same(by), "left_semi").drop("_doc", "_was", "_bucket", "_gen")
+
     # Writing.
 
     def _put(self, name: str, rows: DataFrame) -> dict:

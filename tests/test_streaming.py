@@ -1,5 +1,7 @@
 """The ledger over files that arrive one after another, against the batch form."""
 
+import random
+
 from signalcontext.operators import evidence as ev
 from signalcontext.operators.snapshot import Snapshots
 from signalcontext.streaming import ledger
@@ -36,3 +38,35 @@ def test_quarantine_counters_once_a_batch(spark, tmp_path):
         add(batch, number)
     got = sorted((r.doc, r.occurrences, r.first_seen_at, r.last_seen_at) for r in Snapshots(spark, str(tmp_path / "s")).table("quarantine").collect())
     assert got == [("d", 4, "2024-01-01", "2024-01-02"), ("e", 2, "2024-01-01", "2024-01-01")]
+
+
+def test_dedup_in_any_batching_and_after_a_restart(spark, tmp_path):
+    """Observations in the order of arrival, cut into batches in two ways; each batch is run twice, as after a failure."""
+    from signalcontext.streaming import dedup
+
+    schema = "record_id string, content_hash string, publisher string, record_hash string, arrival long"
+    r = random.Random(3)
+    rows = [(*(r.choice([None, *(f"{c}{j}" for j in range(n))]) for c, n in (("r", 3), ("c", 8), ("p", 3), ("h", 2))), i) for i in range(60)]
+    frame = spark.createDataFrame([*rows, rows[20]], schema)
+    want = sorted(map(str, ev.dedup_verdicts(frame).select(*dedup.SEEN, "verdict").collect()))
+    assert len({r.rsplit("verdict=")[-1] for r in want}) == 5
+    for k, cuts in enumerate(([0, 61], [0, 1, 30, 30, 61])):
+        root = str(tmp_path / str(k))
+        for n, (a, z) in enumerate(zip(cuts, cuts[1:])):
+            for _ in range(2):
+                dedup.deduplicator(lambda: Snapshots(spark, root))(frame.where(f"arrival >= {a} and arrival < {z}"), n)
+        assert sorted(map(str, dedup.verdicts(Snapshots(spark, root)).select(*dedup.SEEN, "verdict").collect())) == want
+
+
+def test_dedup_as_a_stream(spark, tmp_path):
+    from signalcontext.streaming import dedup
+
+    schema = "record_id string, content_hash string, publisher string, record_hash string, arrival long"
+    frame = spark.createDataFrame([("r", f"c{i % 3}", f"p{i % 2}", f"h{i % 3}", i) for i in range(8)], schema)
+    src, root = str(tmp_path / "in"), str(tmp_path / "s")
+    for part in ("arrival < 5", "arrival >= 5"):
+        frame.where(part).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(schema).parquet(src).writeStream.foreachBatch(dedup.deduplicator(lambda: Snapshots(spark, root)))
+        stream.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    got = sorted(map(str, dedup.verdicts(Snapshots(spark, root)).select(*dedup.SEEN, "verdict").collect()))
+    assert got == sorted(map(str, ev.dedup_verdicts(frame).select(*dedup.SEEN, "verdict").collect()))
