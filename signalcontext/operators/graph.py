@@ -6,6 +6,7 @@ import hashlib
 import json
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,30 +125,64 @@ def rank_plan(candidates: DataFrame, keep: int) -> DataFrame:
     return rows.withColumn("included", F.col("protected") | F.col("_best").isNotNull()).drop("_best")
 
 
+#: The columns of an item beside its pack, in the order in which items are looked at.
+ITEM = ["turn", "place", "id", "section", "bytes", "tokens", "is_link", "required"]
+
+
+def budget_rows(items: DataFrame, key: str, tokens: int, size: int, objects: int, links: int) -> DataFrame:
+    """The key and ITEM with kept and dropped, how many copies of the item its pack takes and leaves.  Required
+    items come first (turn 0), then the others by place; an item over a limit closes its section for those after it.
+
+    items: key, place, id, section, bytes, tokens, is_link, required; lacking sizes count 0, lacking flags are false.
+    An item without a section is dropped unless it is required.
+
+    A section takes a prefix of its items, and a pack no more than `objects + links` in all, so one item more of each
+    section decides: the rest is cut off before the shuffle by a ranked window.  What is left streams through the
+    task of its pack in order; the task holds four sums and the closed sections.  Copies are counted, not ordered."""
+    number = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long")).alias(c)
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False)).alias(c)
+    rows = items.select(F.col(key), F.when(F.col("required"), 0).otherwise(1).alias("turn"), "place", "id", "section", number("bytes"), number("tokens"), flag("is_link"), flag("required"))
+    ranked = Window.partitionBy(key, "section").orderBy(*ITEM[1:])
+    free = rows.where("not required and section is not null").withColumn("_n", F.row_number().over(ranked)).where(F.col("_n") <= objects + links + 1).drop("_n")
+    asked = free.unionByName(rows.where("required")).select(key, *ITEM)
+    n = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    taken = asked.repartition(n, key).sortWithinPartitions(key, *ITEM).mapInArrow(_taken(tokens, size, objects, links), asked.schema)
+    counted = rows.withColumn("_all", F.lit(1)).withColumn("_kept", F.lit(0)).unionByName(taken.withColumn("_all", F.lit(0)).withColumn("_kept", F.lit(1)))
+    counted = counted.groupBy(key, *ITEM).agg(F.sum("_kept").alias("kept"), (F.sum("_all") - F.sum("_kept")).alias("dropped"))
+    return counted
+
+
+def _taken(tokens: int, size: int, objects: int, links: int):
+    """Of rows that are sorted by pack and turn, those that their packs take."""
+
+    def run(batches):
+        pack, t, b, o, n, closed = (), 0, 0, 0, 0, set()
+        for batch in batches:
+            take = []
+            for own, section, more_b, more_t, link, required in zip(*(c.to_pylist() for c in (batch.column(0), *map(batch.column, ("section", "bytes", "tokens", "is_link", "required"))))):
+                if (own,) != pack:
+                    pack, t, b, o, n, closed = (own,), 0, 0, 0, 0, set()
+                fits = t + more_t <= tokens and b + more_b <= size and (n < links if link else o < objects)
+                take.append(fits and (required or section not in closed))
+                if take[-1]:
+                    t, b, o, n = t + more_t, b + more_b, o + (not link), n + bool(link)
+                elif not fits:
+                    closed.add(section)
+            yield batch.filter(pa.array(take, pa.bool_()))
+
+    return run
+
+
 def budget_fit(items: DataFrame, key: str, tokens: int, size: int, objects: int, links: int) -> DataFrame:
-    """kept and dropped ids of each pack: required items first, then input order; an item over a limit closes its
-    section for those after it.  items: key, place, id, section, bytes, tokens, is_link, required."""
-    cell = F.struct(F.when(F.col("required"), 0).otherwise(1).alias("r"), "place", "id", "section", F.col("bytes").cast("long").alias("bytes"), F.col("tokens").cast("long").alias("tokens"), "is_link", "required")
-    packs = items.groupBy(key).agg(F.array_sort(F.collect_list(cell)).alias("items"))
-    none = F.array().cast("array<string>")
-    zero = F.lit(0).cast("long")
-    ids = F.array().cast("array<bigint>")
-    start = F.struct(zero.alias("t"), zero.alias("b"), zero.alias("o"), zero.alias("l"), none.alias("closed"), ids.alias("kept"), ids.alias("dropped"), F.lit(False).alias("failed"))
-
-    def step(a: Column, x: Column) -> Column:
-        over = (a["t"] + x["tokens"] > tokens) | (a["b"] + x["bytes"] > size) | (a["o"] + F.when(x["is_link"], 0).otherwise(1) > objects) | (a["l"] + F.when(x["is_link"], 1).otherwise(0) > links)
-        shut = ~x["required"] & F.array_contains(a["closed"], x["section"])
-        take = ~over & ~shut
-        return F.struct(
-            (a["t"] + F.when(take, x["tokens"]).otherwise(0)).alias("t"), (a["b"] + F.when(take, x["bytes"]).otherwise(0)).alias("b"),
-            (a["o"] + F.when(take & ~x["is_link"], 1).otherwise(0)).cast("long").alias("o"), (a["l"] + F.when(take & x["is_link"], 1).otherwise(0)).cast("long").alias("l"),
-            F.when(over & ~shut, F.array_union(a["closed"], F.array(x["section"]))).otherwise(a["closed"]).alias("closed"),
-            F.when(take, F.array_append(a["kept"], x["id"])).otherwise(a["kept"]).alias("kept"),
-            F.when(take, a["dropped"]).otherwise(F.array_append(a["dropped"], x["id"])).alias("dropped"),
-            (a["failed"] | (over & x["required"])).alias("failed"),
-        )
-
-    return packs.select(key, F.aggregate("items", start, step).alias("fit")).select(key, "fit.kept", "fit.dropped", F.col("fit.t").alias("tokens"), F.col("fit.b").alias("bytes"), F.col("fit.failed").alias("failed"))
+    """`budget_rows` as one row a pack: kept and dropped ids in their order, tokens and bytes of what is kept, and whether
+    a required item is left out.  The lists are as long as the pack; packs of any size are for `budget_rows`."""
+    rows = budget_rows(items, key, tokens, size, objects, links)
+
+    def listed(copies: str) -> Column:
+        cell = F.when(F.col(copies) > 0, F.struct(*ITEM, F.col(copies).alias("n")))
+        return F.flatten(F.transform(F.array_sort(F.collect_list(cell)), lambda x: F.array_repeat(x["id"], x["n"].cast("int")))).alias(copies)
+
+    return rows.groupBy(key).agg(listed("kept"), listed("dropped"), F.sum(F.col("tokens") * F.col("kept")).alias("tokens"), F.sum(F.col("bytes") * F.col("kept")).alias("bytes"), F.max(F.col("required") & (F.col("dropped") > 0)).alias("failed"))
 
 
 def token_estimate(text: Column) -> Column:

@@ -216,21 +216,32 @@ def rank_plan(spark, d):
     return g.rank_plan(rows, 10).select("id", "score", "protected", "representative", "included")
 
 
-@registered("""WITH RECURSIVE i AS (SELECT source AS pack, doc_id AS id, lang AS section, (strlen(text) + 3) // 4 AS tokens, strlen(text)::BIGINT AS bytes, doc_id % 3 = 0 AS is_link,
+_FOLDED = """WITH RECURSIVE i AS (SELECT source AS pack, doc_id AS id, lang AS section, (strlen(text) + 3) // 4 AS tokens, strlen(text)::BIGINT AS bytes, doc_id % 3 = 0 AS is_link,
   row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
 f AS (SELECT pack, 0 AS k, 0::BIGINT AS t, 0::BIGINT AS b, 0 AS o, 0 AS l, []::VARCHAR[] AS closed, []::BIGINT[] AS kept, []::BIGINT[] AS dropped FROM i WHERE k = 1
  UNION ALL SELECT f.pack, i.k, CASE WHEN take THEN t + tokens ELSE t END, CASE WHEN take THEN b + bytes ELSE b END, o + (take AND NOT is_link)::INT, l + (take AND is_link)::INT,
   CASE WHEN over AND NOT shut THEN list_append(closed, section) ELSE closed END, CASE WHEN take THEN list_append(kept, i.id) ELSE kept END, CASE WHEN take THEN dropped ELSE list_append(dropped, i.id) END
-  FROM f JOIN i ON i.pack = f.pack AND i.k = f.k + 1, LATERAL (SELECT t + tokens > 9000 OR b + bytes > 30000 OR o + (NOT is_link)::INT > 20 OR l + is_link::INT > 8 AS over, list_contains(closed, section) AS shut) x, LATERAL (SELECT NOT x.over AND NOT x.shut AS take) y)
-SELECT pack, array_to_string(arg_max(kept, k), ',') AS kept, array_to_string(arg_max(dropped, k), ',') AS dropped, arg_max(t, k) AS tokens FROM f GROUP BY pack""")
+  FROM f JOIN i ON i.pack = f.pack AND i.k = f.k + 1, LATERAL (SELECT t + tokens > 9000 OR b + bytes > 30000 OR o + (NOT is_link)::INT > 20 OR l + is_link::INT > 8 AS over, list_contains(closed, section) AS shut) x, LATERAL (SELECT NOT x.over AND NOT x.shut AS take) y)"""
+
+
+@registered(f"""{_FOLDED} SELECT pack, array_to_string(arg_max(kept, k), ',') AS kept, array_to_string(arg_max(dropped, k), ',') AS dropped, arg_max(t, k) AS tokens FROM f GROUP BY pack""")
 def budget_fit(spark, d):
+    fit = g.budget_fit(_packed(spark, d), "pack", 9000, 30000, 20, 8)
+    joined = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    return fit.select("pack", joined("kept"), joined("dropped"), "tokens")
+
+
+@registered(f"""{_FOLDED}, z AS (SELECT pack, arg_max(kept, k) AS kept FROM f GROUP BY pack)
+SELECT i.pack, i.id, i.section, list_contains(z.kept, i.id)::INT::BIGINT AS kept, 1 - list_contains(z.kept, i.id)::INT::BIGINT AS dropped FROM i JOIN z ON i.pack IS NOT DISTINCT FROM z.pack""")
+def budget_rows(spark, d):
+    return g.budget_rows(_packed(spark, d), "pack", 9000, 30000, 20, 8).select("pack", "id", "section", "kept", "dropped")
+
+
+def _packed(spark, d):
     text = F.coalesce("text", F.lit(""))
-    rows = b.read(spark, d, "documents").select(
+    return b.read(spark, d, "documents").select(
         F.col("source").alias("pack"), F.col("doc_id").alias("place"), F.col("doc_id").alias("id"), F.col("lang").alias("section"), g.token_estimate(text).alias("tokens"),
         F.octet_length(text).cast("long").alias("bytes"), (F.col("doc_id") % 3 == 0).alias("is_link"), F.lit(False).alias("required"))
-    fit = g.budget_fit(rows, "pack", 9000, 30000, 20, 8)
-    joined = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
-    return fit.select("pack", joined("kept"), joined("dropped"), "tokens")
 
 
 @registered("SELECT doc_id, (strlen(coalesce(text, '')) + 3) // 4 AS tokens FROM documents")
@@ -387,7 +398,7 @@ def undefang(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import packs, records  # noqa: F401  (they register their own)
+    from . import packs, records, writes  # noqa: F401  (they register their own)
 
     return dict(QUERIES)
 

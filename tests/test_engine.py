@@ -154,3 +154,45 @@ def test_strongest_disposition_of_all_documents(spark, tmp_path):
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(9, "a"), (1, "a"), (18, "b"), (2, "c"), (3, "c")], "doc_id long, source string").write.parquet(f"{tmp_path}/documents.parquet")
     assert sorted(tuple(r) for r in plans.strongest_disposition(spark, str(tmp_path)).collect()) == [("a", "malicious"), ("b", "suspicious"), ("c", "suspicious")]
+
+
+def test_budget_against_a_plain_fold(spark):
+    """Required items, copies, items without a section or sizes, ties and packs that end at each limit."""
+    import random
+
+    from signalcontext.operators import graph as g
+
+    r = random.Random(5)
+    rows = [(r.choice(["a", "b", None]), r.randrange(40), r.randrange(60), r.choice(["s", "t", "u", "v", None]), r.choice([None, 1, 5, 30]), r.choice([None, 1, 3, 20]), r.random() < 0.3, r.choice([None, False, False, False, True])) for _ in range(300)]
+    rows += rows[:40]
+    frame = spark.createDataFrame(rows, "pack string, place long, id long, section string, bytes long, tokens long, is_link boolean, required boolean").repartition(3)
+    for limits in ((60, 10**6, 10**6, 10**6), (10**6, 90, 10**6, 10**6), (10**6, 10**6, 9, 4), (80, 200, 12, 5), (0, 0, 0, 0)):
+        want = {}
+        for pack in ("a", "b", None):
+            own = sorted((0 if x[7] else 1, x[1], x[2], x[3] or "", x[4] or 0, x[5] or 0, x[6], bool(x[7])) for x in rows if x[0] == pack)
+            sums, closed, kept, dropped, failed = [0, 0, 0, 0], set(), [], [], False
+            for _, _, i, section, size, tokens, link, required in own:
+                after = [sums[0] + tokens, sums[1] + size, sums[2] + (not link), sums[3] + link]
+                over = any(x > y for x, y in zip(after, limits)) and (after[0] > limits[0] or after[1] > limits[1] or (after[3] > limits[3] if link else after[2] > limits[2]))
+                if not over and (required or (section and section not in closed)):
+                    sums = after
+                    kept.append(i)
+                else:
+                    dropped.append(i)
+                    closed |= {section} if over else set()
+                    failed |= over and required
+            want[pack] = (kept, dropped, sums[0], sums[1], failed)
+        got = {x.pack: (x.kept, x.dropped, x.tokens, x.bytes, x.failed) for x in g.budget_fit(frame, "pack", *limits).collect()}
+        assert got == want, limits
+
+
+def test_budget_of_a_large_pack(spark):
+    """A pack of two million items: the prefixes of its two sections are looked at, and every item has a verdict."""
+    from pyspark.sql import functions as F
+
+    from signalcontext.operators import graph as g
+
+    i = F.col("id")
+    rows = spark.range(2_000_000).select(F.lit("p").alias("pack"), i.alias("place"), i, (i % 2).cast("string").alias("section"), F.lit(3).alias("bytes"), F.lit(1).alias("tokens"), (i % 10 == 0).alias("is_link"), F.lit(False).alias("required"))
+    got = g.budget_rows(rows, "pack", 10**6, 10**6, 50, 5).groupBy().agg(F.sum("kept"), F.sum("dropped"), F.max(F.when(F.col("kept") > 0, i))).first()
+    assert tuple(got) == (50 + 5, 2_000_000 - 55, 59)
