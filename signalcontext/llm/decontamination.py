@@ -6,11 +6,12 @@ every place where a copy can stand; Myers' bit-parallel distance then verifies e
 compared in lower case, with ASCII signs and white space as single blanks.
 
 The items are a stated query set: they go to the tasks in blocks of at most BLOCK_CHARS characters, one pass over
-the documents a block, whatever the size of the benchmark.
+the documents a block, whatever the size of the benchmark.  Of several blocks each one's result is written before the
+next is read, so the driver holds the items of one.
 
 Edge cases: null or empty texts and items match nothing; an item shorter than SHORT characters (or too
 short for one edit) must stand unaltered between word borders; repeated rows are matched each, and of items with one
-id each text is searched; whole texts are searched, however long; columns of the documents with names of the result are
+id each text is searched; matches() has no rows of items without an id, whose copies apply() removes; whole texts are searched, however long; columns of the documents with names of the result are
 not read; a null doc_id stays null; with an empty benchmark nothing matches and
 apply() keeps every row; apply() passes other columns through.
 """
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import arrow_map, kept
 
 RATE, SHORT = 0.08, 25
 #: Characters of items whose pieces one task holds at a time.
@@ -154,26 +155,29 @@ def _without(items: list[tuple[int, str]]):
     return run
 
 
-def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
-    """The normal items in blocks of at most about BLOCK_CHARS characters, one block on the driver at a time."""
+def blocks(benchmark: DataFrame) -> Iterator[tuple[list[tuple[int | None, str]], bool]]:
+    """The normal items in blocks of at most about BLOCK_CHARS characters, each with whether there are several."""
     items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = -(-total // BLOCK_CHARS)
     for b in range(n):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect()
-        yield sorted({(x.item_id, normal(x.text)) for x in rows}, key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+        yield sorted({(x.item_id, normal(x.text)) for x in rows}, key=lambda x: (x[0] is None, x[0] or 0, x[1])), n > 1
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, distance, budget: one row for each item that each document has a copy of."""
     rows = docs.select("doc_id", "text")
-    schema = "doc_id long, item_id long, distance long, budget long"
-    parts = [arrow_map(rows, _matched(b), schema) for b in blocks(benchmark.where("item_id is not null"))]
+    schema, parts = "doc_id long, item_id long, distance long, budget long", []
+    for block, several in blocks(benchmark.where("item_id is not null")):
+        part = arrow_map(rows, _matched(block), schema)
+        parts.append(kept(part, "matches") if several else part)
     return reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], schema)
 
 
 def apply(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold a copy of no item."""
-    for block in blocks(benchmark):
+    for block, several in blocks(benchmark):
         docs = arrow_map(docs, _without(block), docs.schema)
+        docs = kept(docs, "clean") if several else docs
     return docs

@@ -554,6 +554,19 @@ def test_decontamination_of_short_items_at_word_borders(spark):
     assert sorted((r.doc_id, r.item_id) for r in decontamination.matches(frame.selectExpr("*", "1 as distance", "2 as budget"), bench).collect()) == [(2, 1), (3, 1), (3, 2), (5, 1)]
 
 
+def test_decontamination_in_several_blocks(spark, monkeypatch):
+    """Blocks of a few items, each written by itself, say what one block says; the plan holds no block's items."""
+    texts = [f"the {w} ship sailed on to the far harbour at dawn {i}" for i, w in enumerate(["first", "second", "third", "fourth", "fifth", "sixth"])]
+    bench = spark.createDataFrame([*((i, t) for i, t in enumerate(texts)), (None, "an item that has no number but a text")], "item_id long, text string")
+    frame = spark.createDataFrame([*((i, f"before {t} after") for i, t in enumerate(texts)), (10, "an item that has no number but a text"), (11, "clean"), (12, None)], "doc_id long, text string")
+    rows = lambda: sorted(map(tuple, decontamination.matches(frame, bench).collect()))
+    one = rows()
+    monkeypatch.setattr(decontamination, "BLOCK_CHARS", 120)
+    assert len(list(decontamination.blocks(bench))) > 2 and rows() == one and len(one) >= 6
+    clean = decontamination.apply(frame, bench)
+    assert sorted(r.doc_id for r in clean.collect()) == [11, 12] and "MapInArrow" not in clean._jdf.queryExecution().toString()
+
+
 def test_decontamination_by_every_item(spark):
     rng = random.Random(21)
     texts = [words(rng, 30, 4000) for _ in range(4)]
