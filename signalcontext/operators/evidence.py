@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,11 +55,12 @@ def lineage(verdicts: DataFrame) -> DataFrame:
     return out.withColumn("corroboration", ladder(F.col("parties")).cast("long"))
 
 
-#: Relation of two claims; the first condition that holds decides.  {l} and {r} are the sides.
+#: Relation of two claims; the first condition that holds decides.  {l} and {r} are the sides, {differ} tells whether their
+#: instants differ.
 RELATION = """CASE
   WHEN {l}.status = 'revoked' OR {r}.status = 'revoked' THEN 'revoked'
   WHEN {l}.status = 'superseded' OR {r}.status = 'superseded' THEN 'supersedes'
-  WHEN {l}.value <> {r}.value AND {l}.publisher = {r}.publisher AND {l}.asserted_at <> {r}.asserted_at THEN 'supersedes'
+  WHEN {l}.value <> {r}.value AND {l}.publisher = {r}.publisher AND {differ} THEN 'supersedes'
   WHEN {l}.value <> {r}.value AND ({l}.stance = 'analyst') <> ({r}.stance = 'analyst') THEN 'analyst_override'
   WHEN {l}.value = {r}.value THEN 'agrees'
   WHEN {l}.slot = 'disposition' AND (({l}.value IN ('malicious', 'suspicious') AND {r}.value IN ('benign', 'allow_listed'))
@@ -66,24 +69,64 @@ RELATION = """CASE
   ELSE 'compatible' END"""
 
 
-def related_claims(claims: DataFrame, single_valued: list[str]) -> DataFrame:
-    """left_id, right_id, subject, slot, relation of each pair of claims on one subject and slot (ids ascending)."""
-    pairs = claims.alias("l").join(claims.alias("r"), (F.col("l.subject") == F.col("r.subject")) & (F.col("l.slot") == F.col("r.slot")) & (F.col("l.id") < F.col("r.id")))
+#: Claims that are equal in these differ to others at most in their instant.
+ALIKE = ["subject", "slot", "status", "value", "publisher", "stance"]
+
+
+def _relation(single_valued: list[str], differ: str) -> Column:
     single = ", ".join(f"'{s}'" for s in single_valued) or "''"
-    return pairs.select(F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id"), F.col("l.subject").alias("subject"), F.col("l.slot").alias("slot"), F.expr(RELATION.format(l="l", r="r", single=single)).alias("relation"))
+    return F.expr(RELATION.format(l="l", r="r", single=single, differ=differ))
+
+
+def _null_safe(left: str, right: str, columns: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, (F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in columns))
+
+
+def claim_classes(claims: DataFrame, more: list[str] = ()) -> DataFrame:
+    """Claims that are alike (and equal in the columns `more`) as one row: class_id (their least id), n, dated (those
+    with an instant)."""
+    return claims.groupBy(*ALIKE, *more).agg(F.min("id").alias("class_id"), F.count("*").alias("n"), F.count("asserted_at").alias("dated"))
+
+
+def claim_members(claims: DataFrame, more: list[str] = ()) -> DataFrame:
+    """id, class_id of every claim."""
+    classes = claim_classes(claims, more)
+    return claims.alias("l").join(classes.alias("r"), _null_safe("l", "r", [*ALIKE, *more])).select("l.id", "r.class_id")
+
+
+def related_classes(claims: DataFrame, single_valued: list[str], more: list[str] = ()) -> DataFrame:
+    """left_id, right_id (classes, ascending), subject, slot, relation, pairs, and both sides' value and `more` (left_,
+    right_): how many pairs of claims on one subject and slot stand in each relation, without making the pairs.
+
+    Claims are met as classes, so a subject costs the square of its different statements, whatever its claims.  The
+    instant decides only between different values of one publisher: there the pairs of equal instants are counted by
+    an equality join of instants and taken off."""
+    columns = [*ALIKE, *more]
+    classes = claim_classes(claims, more)
+    on = reduce(lambda a, b: a & b, (F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("subject", "slot")))
+    itself = F.col("l.class_id") == F.col("r.class_id")
+    pairs = classes.alias("l").join(classes.alias("r"), on & (F.col("l.class_id") <= F.col("r.class_id")))
+    total = F.when(itself, F.expr("l.n * (l.n - 1) div 2")).otherwise(F.col("l.n") * F.col("r.n"))
+    sides = [F.col(f"{s}.{c}").alias(f"{side}_{c}") for c in ("value", *more) for s, side in (("l", "left"), ("r", "right"))]
+    pairs = pairs.select(
+        F.col("l.class_id").alias("left_id"), F.col("r.class_id").alias("right_id"), F.col("l.subject").alias("subject"), F.col("l.slot").alias("slot"),
+        *sides, _relation(single_valued, "false").alias("_same"), _relation(single_valued, "true").alias("_apart"), total.alias("_total"), (F.col("l.dated") * F.col("r.dated")).alias("_dated"))
+    # By instant: the classes of one publisher that spoke then, with the number of their claims.
+    at = claims.where("asserted_at is not null").groupBy(*columns, "asserted_at").agg(F.count("*").alias("n"))
+    at = at.alias("l").join(classes.alias("r"), _null_safe("l", "r", columns)).select("r.class_id", "l.subject", "l.slot", "l.publisher", "l.value", "l.asserted_at", "l.n")
+    once = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("subject", "slot", "publisher", "asserted_at")]
+    met = at.alias("l").join(at.alias("r"), reduce(lambda a, b: a & b, once) & (F.col("l.value") != F.col("r.value")) & (F.col("l.class_id") < F.col("r.class_id")))
+    met = met.groupBy(F.col("l.class_id").alias("left_id"), F.col("r.class_id").alias("right_id")).agg(F.sum(F.col("l.n") * F.col("r.n")).alias("_met"))
+    both = pairs.join(met, ["left_id", "right_id"], "left")
+    apart = F.when(F.col("_same") != F.col("_apart"), F.col("_dated") - F.coalesce("_met", F.lit(0))).otherwise(0)
+    each = F.explode(F.array(F.struct(F.col("_apart").alias("relation"), apart.alias("pairs")), F.struct(F.col("_same").alias("relation"), (F.col("_total") - apart).alias("pairs"))))
+    out = both.withColumn("_x", each).where("_x.pairs > 0")
+    return out.select("left_id", "right_id", "subject", "slot", "_x.relation", "_x.pairs", *(f"{side}_{c}" for c in ("value", *more) for side in ("left", "right")))
 
 
 def relation_summary(claims: DataFrame, single_valued: list[str]) -> DataFrame:
-    """relation, pairs, subjects of related_claims(), without making the pairs: claims that no relation can tell apart
-    are one class, and classes are paired with the product of their sizes."""
-    alike = ["subject", "slot", "status", "value", "publisher", "asserted_at", "stance"]
-    classes = claims.groupBy(*alike).agg(F.count("*").alias("n"), F.min("id").alias("id"))
-    single = ", ".join(f"'{s}'" for s in single_valued) or "''"
-    same = F.col("l.id") == F.col("r.id")
-    pairs = classes.alias("l").join(classes.alias("r"), (F.col("l.subject") == F.col("r.subject")) & (F.col("l.slot") == F.col("r.slot")) & (F.col("l.id") <= F.col("r.id")))
-    count = F.when(same, F.expr("l.n * (l.n - 1) div 2")).otherwise(F.col("l.n") * F.col("r.n"))
-    each = pairs.select(F.col("l.subject").alias("subject"), F.expr(RELATION.format(l="l", r="r", single=single)).alias("relation"), count.alias("n")).where("n > 0")
-    return each.groupBy("relation").agg(F.sum("n").alias("pairs"), F.countDistinct("subject").alias("subjects"))
+    """relation, pairs, subjects over all pairs of claims on one subject and slot."""
+    return related_classes(claims, single_valued).groupBy("relation").agg(F.sum("pairs").alias("pairs"), F.countDistinct("subject").alias("subjects"))
 
 
 def slot(kind: Column, name: Column) -> Column:

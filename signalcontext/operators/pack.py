@@ -13,11 +13,11 @@ from .store import MARKING, Identity, decide
 SERVED, SUMMARIES, SUMMARY_BYTES = ("L0", "L1", "L2", "L3"), ("L0", "L1", "L2"), 2048
 #: The order in which what a pack says stands, the texts of gaps.
 GAPS = {
-    "store": "nothing is stored about this observable",
-    "sightings": "no sightings recorded; it cannot be said when this was last seen",
-    "evidence": "claims are stored but no source object was retained for them",
-    "claims": "every stored claim about this observable has been withdrawn or superseded",
-    "policy": "some records were withheld because of their markings",
+    "store": "no record of this subject was found",
+    "sightings": "never reported as seen, so the time of its last activity is open",
+    "evidence": "its claims name no source that could be checked",
+    "claims": "none of its claims is still in force",
+    "policy": "part of the answer is held back by handling rules",
 }
 
 

@@ -12,7 +12,7 @@ from ..operators import graph as g
 from ..operators import pack as pk
 from ..operators import resolution as rs
 from ..operators import store as st
-from .queries import CLAIMS, EDGES, ENTITIES, NOW, registered
+from .queries import _MET, CLAIMS, EDGES, ENTITIES, NOW, _alike, registered
 
 
 def _text(prefix: str, c: Column) -> Column:
@@ -81,12 +81,13 @@ def resolve_judged(spark, d):
     return rs.judge(pairs, found, _standing(spark, d))
 
 
-@registered("""WITH m AS (SELECT p_partkey AS id, CASE WHEN p_partkey < 3 THEN p_partkey WHEN p_partkey < 9 THEN p_partkey // 3 ELSE p_partkey // 9 END AS root, p_brand FROM part WHERE p_partkey < 27)
-SELECT root AS id, array_to_string(list_sort(list_distinct(list('tlp:' || CASE WHEN id % 2 = 0 THEN 'amber' ELSE 'green' END))), ',') AS markings, array_to_string(list_sort(list_distinct(list(p_brand))), ',') AS sources FROM m GROUP BY root""")
+@registered("""WITH m AS (SELECT p_partkey AS id, p_partkey - p_partkey % 6 AS root, p_brand FROM part)
+SELECT root AS id, array_to_string(list_sort(list_distinct(list('tlp:' || CASE WHEN id % 4 = 0 THEN 'amber' ELSE 'green' END))), ',') AS markings, array_to_string(list_sort(list_distinct(list(p_brand))), ',') AS sources FROM m GROUP BY root""")
 def merged_identity(spark, d):
-    p = b.read(spark, d, "part").where("p_partkey < 27")
-    roots = g.merge_roots(p.where("p_partkey >= 3").select(F.col("p_partkey").alias("id"), F.expr("p_partkey div 3").alias("into")))
-    own = p.select(F.col("p_partkey").alias("id"), F.array(F.when(F.col("p_partkey") % 2 == 0, "tlp:amber").otherwise("tlp:green")).alias("markings"), F.array("p_brand").alias("sources"))
+    """All parts, merged in chains of six: each into the one before."""
+    p = b.read(spark, d, "part")
+    roots = g.merge_roots(p.where("p_partkey % 6 > 0").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") - 1).alias("into")))
+    own = p.select(F.col("p_partkey").alias("id"), F.array(F.when(F.col("p_partkey") % 4 == 0, "tlp:amber").otherwise("tlp:green")).alias("markings"), F.array("p_brand").alias("sources"))
     out = rs.merged_identities(roots, own)
     return out.select("id", F.array_join("markings", ",").alias("markings"), F.array_join("sources", ",").alias("sources"))
 
@@ -137,14 +138,14 @@ def pack_pages(spark, d):
     return cleared.select("subject", F.get(text, 0).alias("title"), F.get(text, 1).alias("line"))
 
 
-@registered("""WITH r AS (SELECT o_orderkey AS id, o_orderkey % 10 AS eb, o_orderkey % 10 - o_orderkey % 3 AS ea, o_orderkey % 4 AS cb, o_orderkey % 4 - (o_orderkey % 5 = 0)::INT AS ca, o_orderkey % 7 > 0 AS reconciles FROM orders WHERE o_orderkey % 10 >= o_orderkey % 3 AND (o_orderkey % 4 > 0 OR o_orderkey % 5 > 0)),
+@registered("""WITH r AS (SELECT o_orderkey AS id, o_orderkey % 10 AS eb, greatest(o_orderkey % 10 - o_orderkey % 3, 0) AS ea, o_orderkey % 4 AS cb, greatest(o_orderkey % 4 - (o_orderkey % 5 = 0)::INT, 0) AS ca, o_orderkey % 7 > 0 AS reconciles FROM orders),
 k AS (SELECT *, CASE WHEN eb = 0 THEN 100 ELSE ea * 100 // nullif(eb, 0) END::BIGINT AS evidence_kept, CASE WHEN cb = 0 THEN 100 ELSE ca * 100 // nullif(cb, 0) END::BIGINT AS contradictions_kept FROM r)
 SELECT id, evidence_kept, contradictions_kept, reconciles, reconciles AND evidence_kept >= 60 AND contradictions_kept = 100 AS acceptable FROM k""")
 def pack_quality(spark, d):
     i = F.col("o_orderkey")
-    rows = b.read(spark, d, "orders").where("o_orderkey % 10 >= o_orderkey % 3 and (o_orderkey % 4 > 0 or o_orderkey % 5 > 0)").select(
+    rows = b.read(spark, d, "orders").select(
         i.alias("id"), F.lit(10).alias("canonical"), F.lit(5).alias("included"), F.lit(3).alias("clustered"), F.when(i % 7 > 0, 2).otherwise(1).alias("dropped"), F.lit(100).alias("source_bytes"), F.lit(40).alias("output_bytes"),
-        (i % 10).alias("evidence_before"), (i % 10 - i % 3).alias("evidence_after"), (i % 4).alias("contradictions_before"), (i % 4 - (i % 5 == 0).cast("int")).alias("contradictions_after"))
+        (i % 10).alias("evidence_before"), F.greatest(i % 10 - i % 3, F.lit(0)).alias("evidence_after"), (i % 4).alias("contradictions_before"), F.greatest(i % 4 - (i % 5 == 0).cast("int"), F.lit(0)).alias("contradictions_after"))
     return pk.quality(rows, 60).select("id", "evidence_kept", "contradictions_kept", "reconciles", "acceptable")
 
 
@@ -205,12 +206,12 @@ def newest_added(spark, d):
     return st.newest_added(rows, "page")
 
 
-@registered(f"""WITH {CLAIMS}, l AS (SELECT *, id % 5 AS tlp FROM claims) SELECT a.id AS left_id, b.id AS right_id, CASE WHEN a.tlp <= 2 AND b.tlp <= 2 THEN a.value || ' / ' || b.value END AS evidence FROM l a JOIN l b ON a.subject = b.subject AND a.slot = b.slot AND a.id < b.id WHERE a.subject = 'c:7'""")
+@registered(f"""WITH {CLAIMS}, {_alike(', id % 5')} SELECT l.class_id AS left_id, r.class_id AS right_id, CASE WHEN l.id % 5 <= 2 AND r.id % 5 <= 2 THEN l.value || ' / ' || r.value END AS evidence, count(*) AS pairs FROM {_MET} GROUP BY ALL""")
 def contradiction_evidence(spark, d):
-    claims = b.claims(spark, d).where("subject = 'c:7'")
-    side = lambda s: claims.select(F.col("id").alias(f"{s}_id"), F.concat("value", F.lit("\x07")).alias(f"{s}_value"), (F.col("id") % 5).alias(f"{s}_level"))
-    pairs = ev.related_claims(claims, ["order_status"]).join(side("left"), "left_id").join(side("right"), "right_id")
-    return ev.quoted(pairs, F.col("left_value"), F.col("right_value"), F.col("left_level"), F.col("right_level"), 2).select("left_id", "right_id", "evidence")
+    """Of all subjects; a control character stands in each value, and claims of two levels of five are hidden."""
+    claims = b.claims(spark, d).withColumn("value", F.concat("value", F.lit("\x07"))).withColumn("level", F.col("id") % 5)
+    pairs = ev.related_classes(claims, ["order_status"], ["level"]).groupBy("left_id", "right_id", "left_value", "right_value", "left_level", "right_level").agg(F.sum("pairs").alias("pairs"))
+    return ev.quoted(pairs, F.col("left_value"), F.col("right_value"), F.col("left_level"), F.col("right_level"), 2).select("left_id", "right_id", "evidence", "pairs")
 
 
 @registered(f"""WITH c AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 > 0 THEN o_orderkey % 101 END AS conf, least(o_orderkey % 6 * 25, 100) AS cor, CASE WHEN o_orderkey % 9 > 0 THEN o_orderdate END AS seen, o_orderkey % 17 = 0 AS gone FROM orders),
@@ -222,9 +223,9 @@ def claim_candidates(spark, d):
     return b.read(spark, d, "orders").select(i.alias("id"), parts["corroboration"].cast("long").alias("corroboration"), parts["freshness"].alias("freshness"), g.rank_score(parts).alias("score"))
 
 
-@registered(f"WITH {ENTITIES}, p AS (SELECT id, kind FROM entities WHERE kind = 'sector' ORDER BY id LIMIT 3) SELECT id, kind, CASE WHEN (SELECT count(*) FROM p) >= 3 THEN 3 END::BIGINT AS next_offset FROM p")
+@registered(f"WITH {ENTITIES}, p AS (SELECT id, kind FROM entities ORDER BY id LIMIT 100 OFFSET 200) SELECT id, kind, CASE WHEN (SELECT count(*) FROM p) >= 100 THEN 300 END::BIGINT AS next_offset FROM p")
 def page_with_cursor(spark, d):
-    return q.page_with_cursor(b.entities(spark, d).where("kind = 'sector'").select("id", "kind"), 3, 0, F.col("id"))
+    return q.page_with_cursor(b.entities(spark, d).select("id", "kind"), 100, 200, F.col("id"))
 
 
 @registered(f"""WITH {EDGES}, {_PACKS}, t AS (SELECT *, 'c' || subject[3:] || '.example' AS host FROM p)

@@ -144,9 +144,38 @@ def dedup_lineage(spark, d):
     return ev.lineage(ev.dedup_verdicts(b.observations(spark, d)))
 
 
-@registered(f"WITH {CLAIMS} SELECT l.id AS left_id, r.id AS right_id, l.subject, l.slot, {_RELATION} AS relation FROM claims l JOIN claims r ON l.subject = r.subject AND l.slot = r.slot AND l.id < r.id")
+#: Claims with the least id of those like them (in `more` too), and each two of one subject and slot once, in the order of their classes.
+def _alike(more: str = "") -> str:
+    return f"k AS (SELECT *, min(id) OVER (PARTITION BY subject, slot, status, value, publisher, stance{more}) AS class_id FROM claims)"
+
+
+_MET = "k l JOIN k r ON l.subject = r.subject AND l.slot = r.slot AND (l.class_id < r.class_id OR (l.class_id = r.class_id AND l.id < r.id))"
+
+
+@registered(f"WITH {CLAIMS}, {_alike()} SELECT l.class_id AS left_id, r.class_id AS right_id, l.subject, l.slot, {_RELATION} AS relation, count(*) AS pairs FROM {_MET} GROUP BY ALL")
 def contradiction_pairs(spark, d):
-    return ev.related_claims(b.claims(spark, d), ["order_status"])
+    return ev.related_classes(b.claims(spark, d), ["order_status"]).select("left_id", "right_id", "subject", "slot", "relation", "pairs")
+
+
+@registered(f"WITH {CLAIMS}, {_alike()} SELECT id, class_id FROM k")
+def contradiction_members(spark, d):
+    return ev.claim_members(b.claims(spark, d))
+
+
+_JUDGED = """claims AS (SELECT doc_id AS id, source AS subject, 'disposition' AS slot, CASE WHEN toxic = 1 THEN 'malicious' WHEN quality = 0 THEN 'suspicious' ELSE 'benign' END AS value, lang AS publisher,
+  CASE WHEN doc_id % 4 > 0 THEN doc_id // 8 END AS asserted_at, CASE WHEN doc_id % 23 = 0 THEN 'revoked' ELSE 'active' END AS status, CASE WHEN doc_id % 11 = 0 THEN 'analyst' ELSE 'reported' END AS stance FROM labels JOIN documents USING (doc_id))"""
+
+
+@registered(f"""WITH {_JUDGED}, {_alike()} SELECT l.class_id AS left_id, r.class_id AS right_id, l.subject, CASE WHEN 'revoked' IN (l.status, r.status) THEN 'revoked' WHEN l.value = r.value THEN 'agrees' WHEN l.publisher = r.publisher AND l.asserted_at <> r.asserted_at THEN 'supersedes'
+  WHEN l.stance <> r.stance THEN 'analyst_override' WHEN 'benign' IN (l.value, r.value) THEN 'conflict' ELSE 'compatible' END AS relation, count(*) AS pairs FROM {_MET} GROUP BY ALL""")
+def disposition_relations(spark, d):
+    """How the judgements of each source's documents stand to each other; some have no instant, and a source may be hot."""
+    i = F.col("doc_id")
+    docs = b.read(spark, d, "documents").select("doc_id", F.col("source").alias("subject"), F.col("lang").alias("publisher"))
+    claims = b.dispositions(spark, d).join(docs, "doc_id").select(
+        i.alias("id"), "subject", ev.slot(F.lit("disposition"), F.lit(None)).alias("slot"), F.col("disposition").alias("value"), "publisher", F.when(i % 4 > 0, F.floor(i / 8)).alias("asserted_at"),
+        F.when(i % 23 == 0, "revoked").otherwise("active").alias("status"), F.when(i % 11 == 0, "analyst").otherwise("reported").alias("stance"))
+    return ev.related_classes(claims, []).select("left_id", "right_id", "subject", "relation", "pairs")
 
 
 @registered(f"WITH {CLAIMS}, p AS (SELECT l.subject, {_RELATION} AS relation FROM claims l JOIN claims r ON l.subject = r.subject AND l.slot = r.slot AND l.id < r.id) SELECT relation, count(*) AS pairs, count(DISTINCT subject) AS subjects FROM p GROUP BY 1")
@@ -393,10 +422,10 @@ def quality_percent(spark, d):
     return n.select("kind", "n", F.floor(F.col("n") * 100 / F.sum("n").over(Window.partitionBy())).cast("long").alias("percent"))
 
 
-@registered(r"SELECT page_id, replace(replace(url, '.', '[.]'), 'http', 'hxxp') AS defanged, url AS plain FROM pages WHERE url NOT LIKE '%hxxp%'")
+@registered(r"SELECT page_id, replace(replace(url, '.', '[.]'), 'http', 'hxxp') AS defanged, replace(url, 'hxxp', 'http') AS plain FROM pages")
 def undefang(spark, d):
     bad = F.replace(F.replace(F.col("url"), F.lit("."), F.lit("[.]")), F.lit("http"), F.lit("hxxp"))
-    return b.read(spark, d, "pages").where("url not like '%hxxp%'").select("page_id", bad.alias("defanged"), canon.undefang(bad).alias("plain"))
+    return b.read(spark, d, "pages").select("page_id", bad.alias("defanged"), canon.undefang(bad).alias("plain"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -103,12 +103,12 @@ def lineage_lists(spark, d):
     return out.select("record_id", F.array_join("versions", ",").alias("versions"), F.array_join("publishers", ",").alias("publishers"))
 
 
-@registered("""SELECT event_id AS id, lower(printf('fe80::%x', event_id % 65536)) AS address, lower(printf('2001:db8:0:%x::/64', event_id % 65535 + 1)) AS network FROM events WHERE event_id % 65536 > 0""")
+@registered("""SELECT event_id AS id, CASE WHEN event_id % 65536 = 0 THEN 'fe80::' ELSE printf('fe80::%x', event_id % 65536) END AS address, lower(printf('2001:db8:0:%x::/64', event_id % 65535 + 1)) AS network FROM events""")
 def ipv6_forms(spark, d):
     i = F.col("event_id")
     raw = F.upper(F.concat(F.lit("fe80:0000:0:00::"), F.lpad(F.hex(i % 65536), 4, "0")))
     net = F.concat(F.lit("2001:DB8:0000:"), F.hex(i % 65535 + 1), F.lit(":ffff::1/64"))
-    return b.read(spark, d, "events").where("event_id % 65536 > 0").select(i.alias("id"), canon.ip_address(raw).alias("address"), canon.any_range(net).alias("network"))
+    return b.read(spark, d, "events").select(i.alias("id"), canon.ip_address(raw).alias("address"), canon.any_range(net).alias("network"))
 
 
 @registered("""SELECT p_partkey AS id, 'cpe:2.3:a:V:p' || p_partkey || ':*:*:*:*:*:*:*:*' AS cpe, 'pkg:npm/P@' || p_partkey AS purl, 'reg.example:5000/app' || p_partkey || ':V1' AS image, 'arn:aws:s3:eu:1:Bucket/' || p_partkey AS cloud,
