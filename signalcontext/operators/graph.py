@@ -312,6 +312,11 @@ def compare(before: DataFrame, after: DataFrame, successors: DataFrame | None =
     a split.  Captures of different shapes are refused."""
     if shapes is not None and shapes[0] != shapes[1]:
         raise PlanRefused("the captures did not ask the same question")
+    return categorised(before, after, successors).where("category is not null")
+
+
+def categorised(before: DataFrame, after: DataFrame, successors: DataFrame | None = None) -> DataFrame:
+    """compare() with the keys that did not change, of null category."""
     b = before.select("key", F.col("digest").alias("b"), F.col("status").alias("bs"))
     a = after.select("key", F.col("digest").alias("a"), F.col("status").alias("as"))
     current = lambda c: F.col(c).isin("active", "deprecated")
@@ -325,4 +330,4 @@ def compare(before: DataFrame, after: DataFrame, successors: DataFrame | None =
         both = b.join(a, "key", "full_outer").withColumn("successors", F.array().cast("array<string>"))
     else:
         both = b.join(a, "key", "full_outer").join(successors.groupBy("key").agg(F.collect_set("successor").alias("successors")), "key", "left")
-    return both.select("key", category.alias("category")).where("category is not null")
+    return both.select("key", category.alias("category"))

@@ -91,6 +91,11 @@ class Snapshots:
     def graph_version(self) -> int:
         return self.state["graph_version"]
 
+    def newest_version(self) -> int:
+        """The graph version of the newest commit, which another writer may have made since this store was opened."""
+        numbers = self._numbers()
+        return self._read(numbers[-1])["graph_version"] if numbers else 0
+
     # Reading.
 
     def _files(self, state: dict, name: str, parts: list[dict], buckets: Column | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import bridge as b
 from .. import query as q
 from ..functions import canon
+from ..operators import capture as cp
 from ..operators import evidence as ev
 from ..operators import graph as g
 from ..operators import store as st
@@ -283,8 +284,9 @@ def reach_depth(spark, d):
     return g.reachable(b.relationships(spark, d), spark.createDataFrame([("r:1",)], "node string"), 2)
 
 
-def _traversal(start: str, depth: int, nodes: int, edges: int, fan_out: int) -> str:
-    """A bounded search hop by hop: ranks, first places, what was spent before each, and the stop."""
+def _traversal(start: str, depth: int, nodes: int, edges: int, fan_out: int, then: str = "") -> str:
+    """A bounded search hop by hop: ranks, first places, what was spent before each, and the stop.  `then` reads the nodes
+    of v and the edges of t."""
     steps = [f"v0 AS (SELECT '{start}' AS node, 0 AS depth)", "t0 AS (SELECT id FROM edges WHERE false)"]
     stops: list[str] = []
     for i in range(1, depth + 1):
@@ -299,6 +301,8 @@ def _traversal(start: str, depth: int, nodes: int, edges: int, fan_out: int) ->
             f"v{i} AS (FROM v{i - 1} UNION ALL SELECT other, {i} FROM a{i} WHERE n = 1)", f"t{i} AS (FROM t{i - 1} UNION ALL SELECT id FROM a{i} WHERE e = 1)",
         ]
         stops += [f"SELECT flag FROM s{i}", f"SELECT 'fan_out' FROM k{i} WHERE k > {fan_out} AND NOT EXISTS (SELECT 1 FROM s{i} s WHERE (k{i}.node, k{i}.id) > (s.node, s.id))"]
+    if then:
+        return f"WITH {EDGES}, {BOTH}, {ENTITIES}, {', '.join(steps)}, v AS (FROM v{depth}), t AS (FROM t{depth}) {then}"
     stops.append(f"SELECT 'depth' FROM v{depth} WHERE depth = {depth} AND NOT EXISTS (FROM s{depth})")
     return f"WITH {EDGES}, {BOTH}, {', '.join(steps)} SELECT node, depth, (SELECT coalesce(string_agg(DISTINCT flag, ',' ORDER BY flag), '') FROM ({' UNION ALL '.join(stops)}) f(flag)) AS truncated FROM v{depth}"
 
@@ -334,6 +338,15 @@ def checkpoint_delta(spark, d):
     return g.compare(_capture(spark, d, "1996-01-01"), _capture(spark, d, "1997-01-01"))
 
 
+@registered(_DELTA + """, k AS (SELECT *, row_number() OVER (ORDER BY key) AS k, count(category) OVER (ORDER BY key) AS c FROM d), z AS (SELECT coalesce(min(k) FILTER (c > 400), 700) AS last, min(k) FILTER (c > 400) IS NULL AS room FROM k WHERE k <= 700)
+SELECT key, category, (SELECT count(*) FROM k WHERE k <= last) AS compared, (SELECT count(*) FROM k WHERE k <= last AND category IS NULL) AS unchanged, CASE WHEN NOT room THEN 'changes' WHEN (SELECT count(*) FROM k) > 700 THEN 'records' ELSE '' END AS truncated FROM k, z WHERE k <= last AND c <= 400 AND category IS NOT NULL""")
+def delta_within_limits(spark, d):
+    """The changes of checkpoint_delta as far as limits of 700 records and 400 changes go."""
+    made = [cp.Capture(_capture(spark, d, until), "orders", 0, until) for until in ("1996-01-01", "1997-01-01")]
+    found = cp.delta(*made, most_records=700, most_changes=400)
+    return found.changes.select("key", "category", F.lit(found.compared).cast("long").alias("compared"), F.lit(found.unchanged).cast("long").alias("unchanged"), F.lit(",".join(found.truncated)).alias("truncated"))
+
+
 @registered(_DELTA + "SELECT category, count(*) AS n FROM d WHERE category IS NOT NULL GROUP BY 1")
 def delta_counts(spark, d):
     return checkpoint_delta(spark, d).groupBy("category").agg(F.count("*").alias("n"))

@@ -7,10 +7,12 @@ import uuid
 from pyspark.sql import functions as F
 
 from .. import bridge as b
+from ..operators import capture as cp
 from ..operators.snapshot import Snapshots
+from ..operators.store import markings
 from ..shared import folder
 from ..streaming import dedup
-from .queries import OBSERVED, registered
+from .queries import OBSERVED, _traversal, registered
 
 
 def _store(spark, **how) -> Snapshots:
@@ -40,3 +42,20 @@ def dedup_streamed(spark, d):
     for n in range(3):
         add(rows.where(F.floor((F.coalesce("arrival", F.lit(low or 0)) - (low or 0)) / third) == n), n)
     return dedup.verdicts(s).select("arrival", "record_id", "publisher", "verdict")
+
+
+_FACETS = "sha256(array_to_string([sha256(x) FOR x IN [{}]], chr(30)))"
+_BAND = "CASE length(name) * 7 % 101 // 20 WHEN 0 THEN '0-19' WHEN 1 THEN '20-39' WHEN 2 THEN '40-59' WHEN 3 THEN '60-79' ELSE '80+' END"
+
+
+@registered(_traversal("r:1", 2, 300, 900, 150, f"""SELECT 'entity:' || id AS key, {_FACETS.format(f"kind, '', name, status, '', {_BAND}, 'tlp:' || CASE WHEN length(name) % 3 = 0 THEN 'green' ELSE 'clear' END, ''")} AS digest, status FROM entities WHERE id IN (SELECT node FROM v)
+UNION ALL SELECT 'relationship:' || id, {_FACETS.format("kind, source_ref || chr(31) || target_ref, '', '', '', 'unstated', '', ''")}, 'active' FROM edges WHERE id IN (FROM t)"""))
+def capture_at_version(spark, d):
+    """All entities and edges are stored; what a bounded traversal reaches is captured at that version and read back."""
+    s = _store(spark)
+    tlp = F.when(F.length("name") % 3 == 0, "green").otherwise("clear")
+    entities = b.entities(spark, d).withColumn("confidence", F.length("name") * 7 % 101).withColumn("markings", markings(tlp))
+    s.upsert({"entities": entities, "relationships": b.relationships(spark, d)})
+    made = cp.capture(s, "r:1", "2024-01-01", most_tlp="green", depth=2, nodes=300, edges=900, fan_out=150)
+    cp.save(s, "first", made)
+    return s.checkpoint("first")[1]
