@@ -148,9 +148,19 @@ def lineage_of(verdicts: DataFrame) -> DataFrame:
 ANCHORS = ["observed", "last_seen", "published", "modified", "created", "first_seen"]
 
 
+def _epoch(at: Column) -> Column:
+    """Seconds since 1970 as a double, with their fraction."""
+    since = at.cast("timestamp_ntz") - F.lit("1970-01-01").cast("timestamp_ntz")
+    part = lambda name: F.extract(F.lit(name), since)
+    whole = part("DAY").cast("long") * 86400 + part("HOUR") * 3600 + part("MINUTE") * 60
+    return (whole * 1_000_000 + (part("SECOND") * 1_000_000).cast("long")) / F.lit(1e6)
+
+
 def decay_anchor(instants: dict[str, Column], now: Column, future: bool = False, order: list[str] = ANCHORS) -> Column:
-    """struct(anchor, at, age): the first usable instant; one after now is passed over unless it is accepted."""
-    tried = [F.when(instants[name].isNotNull() & (F.lit(future) | (instants[name] <= now)), F.struct(F.lit(name).alias("anchor"), instants[name].alias("at"), age_days(instants[name], now).alias("age"))) for name in order if name in instants]
+    """struct(anchor, at, age): the first usable instant; one after now is passed over unless it is accepted.  The age is in
+    whole days, by seconds with their fractions; instants without a time zone (timestamp_ntz, with such a now) hang on none."""
+    age = lambda at: F.greatest(F.floor((_epoch(now) - _epoch(at)) / 86400), F.lit(0)).cast("long")
+    tried = [F.when(instants[name].isNotNull() & (F.lit(future) | (instants[name] <= now)), F.struct(F.lit(name).alias("anchor"), instants[name].alias("at"), age(instants[name]).alias("age"))) for name in order if name in instants]
     return F.coalesce(*tried)
 
 

@@ -64,9 +64,9 @@ SELECT id, anchor, floor((epoch(now) - epoch("at")) / 86400)::BIGINT AS age FROM
 def decay_anchor(spark, d):
     e, i = b.read(spark, d, "events"), F.col("event_id")
     now = e.agg(F.max("ts").alias("now"))
-    ts = F.col("ts").cast("timestamp")
+    ts = F.col("ts").cast("timestamp_ntz")
     instants = {"published": F.when(i % 3 == 0, ts), "last_seen": F.when(i % 2 == 0, ts + F.expr("interval 400 days")), "created": F.when(i % 5 > 0, ts - F.expr("interval 2 days"))}
-    rows = e.join(F.broadcast(now)).select(i.alias("id"), ev.decay_anchor(instants, F.col("now").cast("timestamp")).alias("a"))
+    rows = e.join(F.broadcast(now)).select(i.alias("id"), ev.decay_anchor(instants, F.col("now").cast("timestamp_ntz")).alias("a"))
     return rows.select("id", "a.anchor", "a.age")
 
 

@@ -5,6 +5,7 @@ from collections import Counter
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from signalcontext.operators import evidence as ev
 
@@ -72,3 +73,17 @@ def test_a_hot_subject_is_met_as_classes(spark):
     df = spark.range(100_000).selectExpr("id", "'hot' as subject", "'attribute:os' as slot", "'active' as status", "cast(id % 7 as string) as value", "'p' as publisher", "id as asserted_at", "'reported' as stance")
     rows = ev.related_classes(df, ["os"]).collect()
     assert sum(r.pairs for r in rows) == 100_000 * 99_999 // 2 and len(rows) == 28 and {r.relation for r in rows} == {"agrees", "supersedes"}
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_ages_are_whole_days_to_the_microsecond(spark, zone):
+    """A tenth of a second short of two days is one day, and no summer time makes a day shorter."""
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        rows = [("2024-03-08 12:00:00.500000", "2024-03-10 12:00:00.400000"), ("2024-03-08 12:00:00.4", "2024-03-10 12:00:00.4"), ("2024-03-10 02:30:00", "2024-03-12 02:29:59.999999"), ("2024-03-12", "2024-03-11"), (None, "2024-03-11"), ("2099-01-01", "2099-01-02")]
+        df = spark.createDataFrame(rows, "at string, now string").selectExpr("cast(at as timestamp_ntz) as at", "cast(now as timestamp_ntz) as now")
+        got = df.select(ev.decay_anchor({"published": F.col("at")}, F.col("now"))["age"].alias("a"), ev.decay_anchor({"published": F.col("at")}, F.col("now"), future=True)["age"].alias("b")).collect()
+        assert [tuple(r) for r in got] == [(1, 1), (2, 2), (1, 1), (None, 0), (None, None), (1, 1)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
