@@ -82,6 +82,24 @@ def _null_safe(left: str, right: str, columns: list[str]) -> Column:
     return reduce(lambda a, b: a & b, (F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in columns))
 
 
+#: A subject's claims are paired in blocks of about so many.
+BLOCK = 1024
+
+
+def related_claims(claims: DataFrame, single_valued: list[str]) -> DataFrame:
+    """left_id, right_id, subject, slot, relation of each pair of claims on one subject and slot (ids ascending).
+
+    The pairs of a hot subject are dealt to many tasks: its left claims stand in blocks, and its claims meet each block.
+    Only such subjects are sent to every task, at most one a BLOCK of claims."""
+    hot = claims.groupBy("subject", "slot").agg(F.ceil(F.count("*") / BLOCK).alias("_blocks")).where("_blocks > 1")
+    dealt = claims.join(F.broadcast(hot), ["subject", "slot"], "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
+    left = dealt.withColumn("_block", F.pmod(F.xxhash64("id"), F.col("_blocks")))
+    right = dealt.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
+    on = reduce(lambda a, b: a & b, (F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("subject", "slot", "_block")))
+    pairs = left.alias("l").join(right.alias("r"), on & (F.col("l.id") < F.col("r.id")))
+    return pairs.select(F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id"), "l.subject", "l.slot", _relation(single_valued, "l.asserted_at <> r.asserted_at").alias("relation"))
+
+
 def claim_classes(claims: DataFrame, more: list[str] = ()) -> DataFrame:
     """Claims that are alike (and equal in the columns `more`) as one row: class_id (their least id), n, dated (those
     with an instant)."""

@@ -64,8 +64,28 @@ def test_classes_stand_for_all_pairs(spark, more):
     assert {r.relation: r.pairs for r in ev.relation_summary(df, ["os"]).collect()} == dict(total)
 
 
+@pytest.mark.parametrize("block", [1024, 8])
+def test_every_pair_of_claims(spark, monkeypatch, block):
+    """Each two claims of a subject and slot once, also where the subject's pairs are dealt out in blocks."""
+    monkeypatch.setattr(ev, "BLOCK", block)
+    rows = list(claims(9, 140))
+    df = spark.createDataFrame([tuple(x[c.split()[0]] for c in SCHEMA.split(", ")) for x in rows], SCHEMA)
+    want = sorted((x["id"], y["id"], relation(x, y, "os")) for x, y in combinations(rows, 2) if x["subject"] is not None and x["slot"] is not None and (x["subject"], x["slot"]) == (y["subject"], y["slot"]))
+    assert sorted((r.left_id, r.right_id, r.relation) for r in ev.related_claims(df, ["os"]).collect()) == want
+
+
+def test_the_query_returns_every_pair(spark):
+    """As many rows as there are pairs of orders of a customer, and as its classes count."""
+    from signalcontext.plans import queries as q
+
+    d = "/root/testdata/sf0.001"
+    pairs = spark.read.parquet(f"{d}/orders.parquet").groupBy("o_custkey").count().selectExpr("sum(count * (count - 1) div 2)").first()[0]
+    assert q.contradiction_pairs(spark, d).count() == pairs == q.contradiction_classes(spark, d).agg(F.sum("pairs")).first()[0]
+
+
 def test_no_claims(spark):
     assert ev.related_classes(spark.createDataFrame([], SCHEMA), ["os"]).count() == 0
+    assert ev.related_claims(spark.createDataFrame([], SCHEMA), ["os"]).count() == 0
 
 
 def test_a_hot_subject_is_met_as_classes(spark):
