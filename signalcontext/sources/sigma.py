@@ -1,7 +1,7 @@
 """Detection rules in the Sigma format: rule and technique entities, claims on rules and observables, edges.
 
 A file holds documents parted by marker lines; each is a row of its own and read to leaves (sources/leaves.py), and all
-that follows is DataFrames over leaves.  A document that cannot be read, or is no rule, is rejected alone.  Conditions are
+that follows is columns of that row, so that no task holds, sorts or sends more than it reads.  A document that cannot be read, or is no rule, is rejected alone.  Conditions are
 not evaluated: every selection is read, also one that a condition negates.  Fields whose meaning does not hang on the
 log source name observables; fields with a modifier, other fields and values that have no canonical form are named in
 one claim a rule.  Null and empty files give a reject; a file of too many documents is refused whole.
@@ -56,70 +56,89 @@ def _cut(value: Column) -> Column:
 
 def _canonical(kind: Column, raw: Column) -> Column:
     """struct(kind, value), null where the value has no canonical form."""
-    address = canon.ip_address(raw)
-    pairs = [("ip_address", address), ("domain_name", canon.domain(raw)), ("url", canon.url(raw)), ("file_hash", canon.file_hash(raw))]
+    pairs = [("ip_address", canon.ip_address(raw)), ("domain_name", canon.domain(raw)), ("url", canon.url(raw)), ("file_hash", canon.file_hash(raw))]
     value = F.coalesce(*(F.when(kind == k, v) for k, v in pairs))
-    return F.when(value.isNotNull(), F.struct(F.when(kind == "ip_address", canon.address_kind(value)).otherwise(kind).alias("kind"), value.alias("value")))
-
-
-def selections(found: DataFrame) -> DataFrame:
-    """doc, part, field, value, kind and whether the value is a string, of every field of every selection: a mapping
-    under the detection, or an entry of a sequence of mappings there."""
-    at = F.when(F.get("path", 2).startswith("["), 3).otherwise(2)
-    inner = found.where("get(path, 0) = '.detection' and size(path) > 2").withColumn("at", at)
-    inner = inner.where(F.get("path", F.col("at")).startswith("."))
-    field = F.substring(F.get("path", F.col("at")), F.lit(2), F.lit(MOST_FIELD))
-    # The value itself, or an entry of its list; whatever is nested further is no string.
-    flat = (F.size("path") == F.col("at") + 1) | ((F.size("path") == F.col("at") + 2) & F.get("path", F.col("at") + 1).startswith("["))
+    return canon.let(value, lambda v: F.when(v.isNotNull(), F.struct(F.when(kind == "ip_address", canon.address_kind(v)).otherwise(kind).alias("kind"), v.alias("value"))))
+
+
+def _step(leaf: Column, n: int) -> Column:
+    return F.get(leaf["path"], F.lit(n))
+
+
+def selections(found: Column) -> Column:
+    """Of a document's leaves an array of field, value, the kind of observable that the field names, whether the value is a
+    string and whether it is an empty list, of every field of every selection: a mapping under the detection, or an
+    entry of a sequence of mappings there."""
+    at = lambda x: F.when(_step(x, 2).startswith("["), 3).otherwise(2)
+    inner = F.filter(found, lambda x: (_step(x, 0) == ".detection") & (F.size(x["path"]) > 2) & F.get(x["path"], at(x)).startswith("."))
     known = F.create_map(*(F.lit(x) for kind, names in FIELDS.items() for name in names for x in (name, kind)))
-    return inner.select("doc", "part", field.alias("field"), "value", (F.col("kind") == "empty").alias("empty"), (flat & (F.col("kind") == "string")).alias("text"), F.try_element_at(known, F.trim(field)).alias("observable"))
+
+    def one(x: Column) -> Column:
+        field = F.substring(F.get(x["path"], at(x)), F.lit(2), F.lit(MOST_FIELD))
+        # The value itself, or an entry of its list; whatever is nested further is no string.
+        flat = (F.size(x["path"]) == at(x) + 1) | ((F.size(x["path"]) == at(x) + 2) & F.get(x["path"], at(x) + 1).startswith("["))
+        return F.struct(field.alias("field"), x["value"].alias("value"), (x["kind"] == "empty").alias("empty"), (flat & (x["kind"] == "string")).alias("text"), F.try_element_at(known, F.trim(field)).alias("observable"))
+
+    return F.transform(inner, one)
+
+
+def _judged(x: Column) -> Column:
+    """Of a selection's field the observable that it names (seen), or the reason for which it names none (missed)."""
+    modified = x["field"].contains("|")
+    seen = F.when(x["text"] & ~modified, _canonical(x["observable"], x["value"]))
+
+    def missed(seen: Column) -> Column:
+        return (
+            F.when(modified, F.concat(x["field"], F.lit(" (modifier)"))).when(x["observable"].isNull(), x["field"]).when(x["empty"], F.lit(None).cast("string"))
+            .when(~x["text"], F.concat(x["field"], F.lit(" (not a string)"))).when(seen.isNull(), F.concat(x["field"], F.lit(" (not canonical)")))
+        )
+
+    return canon.let(seen, lambda s: F.struct(s.alias("seen"), missed(s).alias("missed")))
 
 
 def parse(files: DataFrame) -> Rules:
     """files(doc, text) as canonical frames; rejects are doc, part, reason, detail."""
     parts = written(documents(files), "rules")
-    found = written(leaves.rows(parts.where("many is null").select("doc", "part", "text"), leaves.yaml_leaves), "leaves")
+    found = leaves.rows(parts.where("many is null").select("doc", "part", "text"), leaves.yaml_leaves)
+
+    def text(*path: str) -> Column:
+        own = F.filter("leaves", lambda x: (x["path"] == F.array(*(F.lit("." + p) for p in path))) & (x["kind"] == "string"))
+        return F.array_max(F.transform(own, lambda x: x["value"]))
 
-    text = lambda *path: F.max(F.when((F.col("path") == F.array(*(F.lit("." + p) for p in path))) & (F.col("kind") == "string"), F.col("value")))
     facts = {name: text(name) for name in (*FACTS, "title", "description")} | {f"logsource.{name}": text("logsource", name) for name in LOG_SOURCE}
-    rules = found.groupBy("doc", "part").agg(
-        F.max("unread").alias("unread"), F.max(F.coalesce(F.get("path", 0), F.lit("")).startswith(".")).alias("mapping"), F.max(F.get("path", 0) == ".detection").alias("detection"),
-        F.count_distinct(F.when((F.get("path", 0) == ".tags") & F.get("path", 1).startswith("["), F.get("path", 1))).alias("tags"), *(v.alias(k) for k, v in facts.items()),
+    tags = F.filter("leaves", lambda x: (_step(x, 0) == ".tags") & _step(x, 1).startswith("["))
+    # A document of comments alone has no leaf: it is no rule.
+    rules = found.select(
+        "doc", "part", "unread", F.exists("leaves", lambda x: F.coalesce(_step(x, 0), F.lit("")).startswith(".")).alias("mapping"), F.exists("leaves", lambda x: F.coalesce(_step(x, 0), F.lit("")) == ".detection").alias("detection"),
+        F.size(F.array_distinct(F.transform(tags, lambda x: _step(x, 1)))).alias("n_tags"), F.transform(F.filter(tags, lambda x: (F.size(x["path"]) == 2) & (x["kind"] == "string")), lambda x: x["value"]).alias("tags"),
+        F.transform(selections(F.col("leaves")), _judged).alias("fields"), *(v.alias(k) for k, v in facts.items()),
     )
     reason = (
-        F.when(F.col("unread").isNotNull(), "invalid_yaml").when(~F.coalesce("mapping", F.lit(False)), "not_a_rule").when(F.col("title").isNull(), "missing_title")
-        .when(~F.coalesce("detection", F.lit(False)), "missing_detection").when(F.btrim("title", F.lit(_WHITE)) == "", "unusable_title").when(F.col("tags") > MOST_TAGS, "tags_exceeded")
+        F.when(F.col("unread").isNotNull(), "invalid_yaml").when(~F.col("mapping"), "not_a_rule").when(F.col("title").isNull(), "missing_title")
+        .when(~F.col("detection"), "missing_detection").when(F.btrim("title", F.lit(_WHITE)) == "", "unusable_title").when(F.col("n_tags") > MOST_TAGS, "tags_exceeded")
     )
-    rules = written(rules.withColumn("reason", reason).withColumn("rule", ids.named_uuid("sigma", F.coalesce("id", "title"))), "facts")
-    rejects = parts.where("many is not null").select("doc", "part", F.col("many").alias("reason"), F.lit(None).cast("string").alias("detail"))
-    # A document of comments alone has no leaf: it is no rule.
-    bare = parts.where("many is null").join(rules, ["doc", "part"], "left_anti").select("doc", "part", F.lit("not_a_rule").alias("reason"), F.lit(None).cast("string").alias("detail"))
-    rejects = rejects.unionByName(bare).unionByName(rules.where("reason is not null").select("doc", "part", "reason", F.coalesce("unread", "title").alias("detail")))
-    good = rules.where("reason is null").select("doc", "part", "rule")
-    used = found.join(good, ["doc", "part"])
+    observed = F.array_distinct(F.transform(F.filter("fields", lambda x: x["seen"].isNotNull()), lambda x: x["seen"]))
+    missed = F.array_sort(F.array_distinct(F.array_compact(F.transform("fields", lambda x: x["missed"]))))
+    rules = rules.select("*", reason.alias("reason"), ids.named_uuid("sigma", F.coalesce("id", "title")).alias("rule"), observed.alias("observed"), F.when(F.size(missed) > 0, F.array_join(missed, ", ")).alias("missed"))
+    rules = written(rules.drop("fields", "mapping", "detection", "n_tags"), "facts")
+    good = rules.where("reason is null")
+    none = F.lit(None).cast("string")
+    rejects = parts.where("many is not null").select("doc", "part", F.col("many").alias("reason"), none.alias("detail"))
+    rejects = rejects.unionByName(rules.where("reason is not null").select("doc", "part", "reason", F.coalesce("unread", "title").alias("detail")))
 
     state = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in WITHDRAWN.items() for x in pair)), F.col("status")), F.lit("active"))
-    entities = rules.where("reason is null").select("doc", "part", F.col("rule").alias("id"), F.lit("detection_rule").alias("kind"), _cut(F.col("title")).alias("name"), _cut(F.col("description")).alias("description"), state.alias("status"))
+    entities = good.select("doc", "part", F.col("rule").alias("id"), F.lit("detection_rule").alias("kind"), _cut(F.col("title")).alias("name"), _cut(F.col("description")).alias("description"), state.alias("status"))
     said = F.array_compact(F.array(*(F.when(F.col(f"`{k}`").isNotNull(), F.struct(F.lit(f"sigma.{k}").alias("name"), _cut(F.col(f"`{k}`")).alias("value"))) for k in (*FACTS, *(f"logsource.{x}" for x in LOG_SOURCE)))))
-    claims = rules.where("reason is null").select("doc", "part", F.col("rule").alias("subject"), F.explode(said).alias("c")).select("doc", "part", "subject", "c.name", "c.value")
+    claims = good.select("doc", "part", F.col("rule").alias("subject"), F.explode(said).alias("c")).select("doc", "part", "subject", "c.name", "c.value")
 
-    tags = used.where("get(path, 0) = '.tags' and size(path) = 2 and kind = 'string' and get(path, 1) like '[%'").select("doc", "part", "rule", "value")
+    tags = good.select("doc", "part", "rule", F.explode("tags").alias("value"))
     technique = F.when(F.col("value").startswith("attack."), canon.attack_id(F.upper(F.substring("value", 8, MOST_FIELD))))
     named = tags.select("doc", "part", "rule", technique.alias("name")).where("name is not null").select("*", ids.named_uuid("entity", F.lit("attack_technique"), F.lower("name")).alias("id"))
-    none = F.lit(None).cast("string")
     entities = entities.unionByName(named.select("doc", "part", "id", F.lit("attack_technique").alias("kind"), "name", none.alias("description"), F.lit("active").alias("status")))
     claims = claims.unionByName(tags.select("doc", "part", F.col("rule").alias("subject"), F.lit("sigma.tag").alias("name"), _cut(F.col("value")).alias("value")))
 
-    fields = selections(used).join(good, ["doc", "part"]).withColumn("seen", F.when(F.col("text") & ~F.col("field").contains("|"), _canonical(F.col("observable"), F.col("value"))))
-    modified = F.col("field").contains("|")
-    missed = (
-        F.when(modified, F.concat("field", F.lit(" (modifier)"))).when(F.col("observable").isNull(), F.col("field")).when(F.col("empty"), none)
-        .when(~F.col("text"), F.concat("field", F.lit(" (not a string)"))).when(F.col("seen").isNull(), F.concat("field", F.lit(" (not canonical)")))
-    )
-    fields = written(fields.select("doc", "part", "rule", "seen", missed.alias("missed")), "fields")
-    observed = fields.where("seen is not null").select("doc", "part", "rule", "seen.kind", "seen.value").distinct().withColumn("node", ids.named_uuid("observable", F.col("kind"), F.col("value")))
-    unread = fields.where("missed is not null").groupBy("doc", "part", F.col("rule").alias("subject")).agg(F.array_join(F.array_sort(F.collect_set("missed")), ", ").alias("value"))
-    claims = claims.unionByName(observed.select("doc", "part", F.col("node").alias("subject"), F.lit("sigma.detection").alias("name"), _cut(F.col("value")).alias("value")))
-    claims = claims.unionByName(unread.select("doc", "part", "subject", F.lit("sigma.detection.unread").alias("name"), _cut(F.col("value")).alias("value")))
+    seen = good.select("doc", "part", "rule", F.explode("observed").alias("o")).select("doc", "part", "rule", "o.kind", "o.value").withColumn("node", ids.named_uuid("observable", F.col("kind"), F.col("value")))
+    claims = claims.unionByName(seen.select("doc", "part", F.col("node").alias("subject"), F.lit("sigma.detection").alias("name"), _cut(F.col("value")).alias("value")))
+    claims = claims.unionByName(good.where("missed is not null").select("doc", "part", F.col("rule").alias("subject"), F.lit("sigma.detection.unread").alias("name"), _cut(F.col("missed")).alias("value")))
     edge = lambda df, to: df.select("doc", "part", F.lit("indicates").alias("kind"), F.col("rule").alias("source_ref"), F.col(to).alias("target_ref"))
-    return Rules(entities, claims, edge(named, "id").unionByName(edge(observed, "node")), rejects)
+    return Rules(entities, claims, edge(named, "id").unionByName(edge(seen, "node")), rejects)

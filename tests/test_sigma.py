@@ -113,3 +113,12 @@ def test_long(spark):
         text = f"title: t\ndescription: >\n  {filler}\ndetection:\n  s:\n    src_ip: 192.0.2.5\n"
         assert len(leaves.yaml_leaves(text)) == 3
         assert sigma.parse(frame(spark, text)).claims.count() == 1
+
+
+def test_rules_are_read_where_they_lie(spark):
+    """What a rule says is columns of its document: no frame sorts or sends leaves, so no task holds those of others."""
+    got = sigma.parse(frame(spark, *[RULE] * 3))
+    assert got.claims.groupBy("doc").count().select("count").distinct().count() == 1
+    for df in (got.entities, got.claims, got.relationships, got.rejects):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Sort" not in plan and "Aggregate" not in plan
