@@ -232,7 +232,8 @@ def _rules(spark, d):
     first = t("title: ", F.col("p_name"), "\nid: 'r", k, "'\nlevel: high # as found\nlogsource:\n  product: ", F.lower("p_type"), "\ntags:\n  - attack.t", (F.col("p_partkey") % 9000 + 1000).cast("string"), "\n  - attack.impact\ndetection:\n  pick:\n    dst_ip:\n      - ", ip,
               "\n      - '198.51.100.", (F.col("p_partkey") % 200).cast("string"), "'\n      - ", k, "\n    QueryName|endswith: .P", k, ".example\n  filter:\n    - QueryName: Ok", k, ".example\n      Image: x.exe\n    - Hash: none\n  condition: pick and not filter\n")
     second = F.when(F.col("p_partkey") % 9 == 0, "title: [").when(F.col("p_partkey") % 9 == 3, "id: a\ndetection:\n  a: b").when(F.col("p_partkey") % 9 == 6, t("title: old\nstatus: deprecated\ndetection:\n- x\nid: o", k))
-    return b.read(spark, d, "part").select(k.alias("doc"), F.concat_ws("\n---\n", first, second).alias("text"))
+    # Dealt out before the texts are made: a table of parts is a small file that one task would read alone.
+    return b.read(spark, d, "part").select("p_partkey", "p_name", "p_type").hint("rebalance", "p_partkey").select(k.alias("doc"), F.concat_ws("\n---\n", first, second).alias("text"))
 
 
 @registered("""WITH p AS (SELECT p_partkey AS k, p_partkey::VARCHAR AS doc, lower(p_type) AS product, '192.0.' || (p_partkey // 256 % 256) || '.' || (p_partkey % 256) AS ip, '198.51.100.' || (p_partkey % 200) AS ip2 FROM part)
