@@ -18,13 +18,13 @@ import uuid
 from collections.abc import Callable, Iterable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .store import last_writes
 
-FORMAT = 2
+FORMAT = 3
 #: Changes of so many rows in all are sent to every task when a table is read; more are joined by key.
 SMALL = 100_000
 #: A base is dealt into buckets of about so many rows when it is written anew.
@@ -99,8 +99,8 @@ class Snapshots:
     # Reading.
 
     def _files(self, state: dict, name: str, parts: list[dict], buckets: Column | None = None) -> DataFrame:
-        """The folders' rows with _bucket, _doc (hash of the content), _was (what a change does) and _gen (its place)."""
-        ddl = state["schemas"][name] + ", `_doc` string, `_was` string, `_bucket` int"
+        """The folders' rows with _bucket, _was (what a change does) and _gen (its place)."""
+        ddl = state["schemas"][name] + ", `_was` string, `_bucket` int"
         read = lambda i, p: self.spark.read.schema(ddl).parquet(f"{self.root}/{p['path']}").withColumn("_gen", F.lit(i))
         rows = reduce(DataFrame.unionAll, (read(i, p) for i, p in enumerate(parts)))
         return rows if buckets is None else rows.where(buckets)
@@ -127,7 +127,7 @@ class Snapshots:
 
     def table(self, name: str) -> DataFrame | None:
         """The table of the open commit; None before its first write."""
-        return None if name not in self.state["tables"] else self._merged(self.state, name).drop("_doc", "_was", "_bucket", "_gen")
+        return None if name not in self.state["tables"] else self._merged(self.state, name).drop("_was", "_bucket", "_gen")
 
     def get(self, name: str, key: str, value) -> dict | None:
         """One record by its key, out of one bucket; by another column, by a scan."""
@@ -136,7 +136,7 @@ class Snapshots:
         entry = self.state["tables"][name]
         kind = T.StructType.fromDDL(self.state["schemas"][name])[key].dataType
         bucket = F.col("_bucket") == _bucket([F.lit(value).cast(kind)], entry["buckets"]) if entry["key"] == [key] else None
-        row = self._merged(self.state, name, bucket).where(F.col(key) == F.lit(value)).drop("_doc", "_was", "_bucket", "_gen").first()
+        row = self._merged(self.state, name, bucket).where(F.col(key) == F.lit(value)).drop("_was", "_bucket", "_gen").first()
         return None if row is None else row.asDict(recursive=True)
 
     def beside(self, name: str, keys: DataFrame) -> DataFrame | None:
@@ -147,7 +147,7 @@ class Snapshots:
         by = entry["key"]
         asked = keys.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)]).distinct()
         touched = self._touched(keys.select(_bucket([F.col(k) for k in by], entry["buckets"]).alias("_bucket")))
-        return self._merged(self.state, name, touched).join(asked, _same(by), "left_semi").drop("_doc", "_was", "_bucket", "_gen")
+        return self._merged(self.state, name, touched).join(asked, _same(by), "left_semi").drop("_was", "_bucket", "_gen")
 
     # Writing.
 
@@ -157,15 +157,25 @@ class Snapshots:
         rows.hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(f"{self.root}/{path}")
         return {"path": path}
 
-    def _base(self, state: dict, name: str, rows: DataFrame, n: int, key: list[str]) -> None:
+    def _base(self, state: dict, name: str, rows: DataFrame, most: int, key: list[str], *order: Column) -> None:
+        """Writes the last row of each key by `order` as the base, unless a change took it away; `most` bounds the rows.
+
+        One shuffle by bucket does both: a bucket is sorted by key where it is written."""
         buckets = self.buckets
-        while buckets * BUCKET_ROWS < n:
+        while buckets * BUCKET_ROWS < most:
             buckets *= 2
-        rows = rows.withColumn("_bucket", _bucket([F.col(k) for k in key], buckets)).withColumn("_was", F.lit(None).cast("string")).drop("_gen")
-        state["tables"][name] = {"key": key, "buckets": buckets, "parts": [self._put(name, rows) | {"rows": n}]}
+        rows = rows.withColumn("_bucket", _bucket([F.col(k) for k in key], buckets))
+        # Of a large table each bucket has a task to itself, or nearly so.
+        rows = rows.repartition("_bucket") if most <= BUCKET_ROWS else rows.repartition(4 * buckets, "_bucket")
+        last = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_bucket", *key).orderBy(*order))).where("_n = 1")
+        kept = last.where("_was is null or _was <> 'gone'") if "_was" in rows.columns else last
+        columns = [f.name for f in T.StructType.fromDDL(state["schemas"][name])]
+        put = {"path": f"{name}/{uuid.uuid4().hex}"}
+        kept.select(*columns, F.lit(None).cast("string").alias("_was"), "_bucket").write.partitionBy("_bucket").parquet(f"{self.root}/{put['path']}")
+        state["tables"][name] = {"key": key, "buckets": buckets, "parts": [put | {"rows": self._files(state, name, [put]).count()}]}
 
     def _change(self, state: dict, name: str, rows: DataFrame) -> dict[str, int]:
-        """Writes rows (with _doc, _was, _bucket) as a change, if there are any; how many do what."""
+        """Writes rows (with _was, _bucket) as a change, if there are any; how many do what."""
         part = self._put(name, rows)
         entry = state["tables"][name]
         told = {r._was: r.n for r in self._files(state, name, [part]).groupBy("_was").agg(F.count("*").alias("n")).collect()}
@@ -176,8 +186,7 @@ class Snapshots:
         base, *changes = entry["parts"]
         held = sum(p["rows"] for p in changes)
         if held * 4 > base["rows"] and (len(changes) > self.most or held > SMALL):
-            rows = self._merged(state, name)
-            self._base(state, name, rows, rows.count(), entry["key"])
+            self._rewrite(state, name)
         elif len(changes) > self.most:
             # The newest ones, as long as the next is no more than twice those after it.
             first, total = len(changes), 0
@@ -192,6 +201,10 @@ class Snapshots:
             self.fs.delete(self.path(f"{self.root}/{part['path']}"), True)
         return told
 
+    def _rewrite(self, state: dict, name: str) -> None:
+        entry = state["tables"][name]
+        self._base(state, name, self._files(state, name, entry["parts"]), sum(p["rows"] for p in entry["parts"]), entry["key"], F.desc("_gen"))
+
     def upsert(self, batches: dict[str, DataFrame], key: str = "id", order: str | None = None, versioned: bool = True, keys: dict[str, list[str]] | None = None, fold: dict[str, Callable[[DataFrame | None, DataFrame], DataFrame]] | None = None) -> dict[str, dict[str, int]]:
         """Outcomes (inserted, updated, unchanged) by table of one commit over all batches; of several records of a key
         the last by `order` counts, and of those that stand equally late that of the greatest content hash, so a run that
@@ -209,24 +222,29 @@ class Snapshots:
                 place = _bucket([F.col(k) for k in by], buckets)
                 if name in (fold or {}):
                     touched = None if entry is None else self._touched(batch.select(place.alias("_bucket")))
-                    rows = fold[name](None if entry is None else self._merged(state, name, touched).drop("_doc", "_was", "_bucket", "_gen"), batch)
-                    rows = self._typed(state, name, rows, by)
+                    rows = fold[name](None if entry is None else self._merged(state, name, touched).drop("_was", "_bucket", "_gen"), batch)
+                    rows = self._typed(state, name, rows)
                 else:
                     late = [order] if order else []
-                    rows = self._typed(state, name, batch, by, *late)
-                    rows = last_writes(rows, by, *late, "_doc").drop(*late)
-                rows.withColumn("_bucket", place).write.parquet(f"{scratch}/{name}")
-                new = self.spark.read.parquet(f"{scratch}/{name}")
+                    rows = self._typed(state, name, batch, *late)
+                    if entry is not None:
+                        rows = last_writes(rows.withColumn("_doc", _content(rows.drop(*late), by)), by, *late, "_doc").drop(*late, "_doc")
+                # What is written first is as the batch is: it may be costly, and is worked out once.
+                rows.write.parquet(f"{scratch}/{name}")
+                new = self.spark.read.schema(rows.schema).parquet(f"{scratch}/{name}")
                 total = new.count()
                 told[name] = {"inserted": 0, "updated": 0, "unchanged": 0}
                 if entry is None:
-                    state["schemas"][name] = _ddl(new.drop("_doc", "_bucket"))
-                    self._base(state, name, new, total, by)
-                    told[name]["inserted"] = total
+                    late = [order] if order and name not in (fold or {}) else []
+                    state["schemas"][name] = _ddl(new.drop(*late))
+                    self._base(state, name, new, total, by, *(F.desc(c) for c in late), _content(new.drop(*late), by).desc())
+                    told[name]["inserted"] = state["tables"][name]["parts"][0]["rows"]
                 else:
-                    # Keys and hashes of the touched buckets alone are read of what is stored.
-                    old = self._merged(state, name, self._touched(new)).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)], F.col("_doc").alias("_old"), F.lit(True).alias("_there"))
-                    was = F.when(F.col("_there").isNull(), "inserted").when(F.col("_old") != F.col("_doc"), "updated")
+                    new = new.withColumn("_bucket", place)
+                    # Keys and hashes of the touched buckets alone are sent of what is stored.
+                    old = self._merged(state, name, self._touched(new))
+                    old = old.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)], _content(old, by).alias("_old"), F.lit(True).alias("_there"))
+                    was = F.when(F.col("_there").isNull(), "inserted").when(F.col("_old") != _content(new, by), "updated")
                     rows = new.join(old, _same(by), "left").withColumn("_was", was).where("_was is not null").select(*new.columns, "_was")
                     told[name] |= self._change(state, name, rows)
                     told[name]["unchanged"] = total - told[name]["inserted"] - told[name]["updated"]
@@ -238,12 +256,11 @@ class Snapshots:
             self._commit(state)
         return told
 
-    def _typed(self, state: dict, name: str, batch: DataFrame, key: list[str], *more: str) -> DataFrame:
-        """The batch in the table's columns and types, with the hash of its content and the columns that order it."""
+    def _typed(self, state: dict, name: str, batch: DataFrame, *more: str) -> DataFrame:
+        """The batch in the table's columns and types, with the columns that order it."""
         if name in state["tables"]:
             batch = batch.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(state["schemas"][name])], *more)
-        rest = sorted(c for c in batch.columns if c not in key and c not in more)
-        return batch.withColumn("_doc", F.sha2(F.to_json(F.struct(*(rest or key)), {"ignoreNullFields": "false"}), 256))
+        return batch
 
     def _touched(self, rows: DataFrame) -> Column:
         """The condition that a bucket is one of those of the rows: as many numbers as the table has buckets at most."""
@@ -258,7 +275,9 @@ class Snapshots:
         by = entry["key"]
         gone = keys.select(*by).distinct().withColumn("_bucket", _bucket([F.col(k) for k in by], entry["buckets"]))
         right = gone.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)])
-        rows = self._merged(state, name, self._touched(gone)).join(right, _same(by), "left_semi").withColumn("_was", F.lit("gone")).drop("_gen")
+        # A row that takes a record away has its key alone.
+        rows = self._merged(state, name, self._touched(gone)).select(*by, "_bucket").join(right, _same(by), "left_semi").withColumn("_was", F.lit("gone"))
+        rows = rows.select(*[F.col(f.name) if f.name in by else F.lit(None).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(state["schemas"][name])], "_was", "_bucket")
         n = self._change(state, name, rows).get("gone", 0)
         if n:
             self._commit(state)
@@ -267,8 +286,7 @@ class Snapshots:
     def compact(self, name: str) -> None:
         """The table as one base, in one commit; its buckets are as many as its rows ask for."""
         state = json.loads(json.dumps(self.state))
-        rows = self._merged(state, name)
-        self._base(state, name, rows, rows.count(), state["tables"][name]["key"])
+        self._rewrite(state, name)
         self._commit(state)
 
     def clean(self, keep: int = 2) -> int:
@@ -326,6 +344,12 @@ def _bucket(key: Iterable[Column], buckets: int) -> Column:
     return F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
 
 
+def _content(rows: DataFrame, key: list[str]) -> Column:
+    """The hash of a record's content, of all but its key and the inner columns; it is worked out where it is asked for."""
+    rest = sorted(c for c in rows.columns if c not in (*key, "_was", "_bucket", "_gen"))
+    return F.unhex(F.sha2(F.to_json(F.struct(*(rest or key)), {"ignoreNullFields": "false"}), 256))
+
+
 def _same(key: list[str]) -> Column:
     """The key equal to the other side's _k0, _k1 ...; a null is equal to a null."""
     return reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(key)))

@@ -154,3 +154,17 @@ def test_null_keys_and_parts_of_a_key(spark, tmp_path):
     s.upsert({"t": rows((None, 1, "a"), ("d", None, "b"), ("d", 1, "c"))}, keys=keys)
     assert s.upsert({"t": rows((None, 1, "z"), ("d", None, "b"), ("e", 1, "c"))})["t"] == {"inserted": 1, "updated": 1, "unchanged": 1}
     assert sorted(map(str, map(tuple, s.table("t").collect()))) == ["('d', 1, 'c')", "('d', None, 'b')", "('e', 1, 'c')", "(None, 1, 'z')"]
+
+
+def test_a_store_sends_rows_once(spark, tmp_path):
+    """A first write keeps the last of each key, deals them by bucket and stores no hash; a deletion stores keys alone."""
+    s = Snapshots(spark, str(tmp_path), buckets=2)
+    rows = spark.createDataFrame([(i % 50, i // 50, f"v{i % 7}") for i in range(200)] + [(0, 3, "w"), (None, 0, "n")], "id long, at long, v string")
+    assert s.upsert({"t": rows}, order="at")["t"] == {"inserted": 51, "updated": 0, "unchanged": 0}
+    assert s.upsert({"t": rows}, order="at")["t"] == {"inserted": 0, "updated": 0, "unchanged": 51}
+    assert s.delete("t", rows.where("id < 10").select("id")) == 10
+    base, gone = (spark.read.parquet(f"{tmp_path}/{p['path']}") for p in s.state["tables"]["t"]["parts"])
+    assert "_doc" not in base.columns and gone.where("v is not null").isEmpty()
+    s.compact("t")
+    assert {r.id: r.v for r in s.table("t").collect()} == {None: "n"} | {i: f"v{(150 + i) % 7}" for i in range(10, 50)}
+    assert s.upsert({"t": rows.where("id = 3")}, order="at")["t"]["inserted"] == 1
