@@ -196,16 +196,17 @@ class Reach:
     truncated: list[str]
 
 
-def traverse(relationships: DataFrame, start: str, depth: int = 3, nodes: int = 500, edges: int = 2000, fan_out: int = 200, permitted: Column | None = None) -> Reach:
+def traverse(relationships: DataFrame, start: str, depth: int = 3, nodes: int = 500, edges: int = 2000, fan_out: int = 200, permitted: Column | None = None, stored: bool = False) -> Reach:
     """Level-synchronous bounded search from a node; the limits that fired are named.
 
     A hop reads the frontier's edges in (node, edge) order, fan_out at most from each node, and stops in front of
     the first new edge or node over its budget.  Where that is follows from how many new edges and nodes stand before
     each place: the hop's rows are dealt out by range, counted in each range and summed up over the ranges, so no
-    row of a hop comes to the driver, which learns the place of the stop and two counts.  Every hop is written."""
+    row of a hop comes to the driver, which learns the place of the stop and two counts.  Every hop is written.  The
+    edges are read once a hop; `stored` tells that they lie in files already, otherwise they are written first."""
     spark = relationships.sparkSession
-    links = doubled(relationships.withColumn("_ok", permitted if permitted is not None else F.lit(True)))
-    links = written(links.select("node", "id", "other", "_ok"), "links")
+    once = relationships.withColumn("_ok", permitted if permitted is not None else F.lit(True)).select("id", "source_ref", "target_ref", "_ok")
+    links = doubled(once if stored else written(once, "links"))
     visited = written(spark.createDataFrame([(start, 0)], "node string, depth int"), "visited")
     taken = written(spark.createDataFrame([], "id string, depth int"), "taken")
     seen, used, flags = 1, 0, set()
@@ -259,12 +260,14 @@ def _spent_before(marked: DataFrame) -> DataFrame:
 
 def reachable(relationships: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     """node, depth within `depth` hops of the starts (node), in either direction, without budgets: one join a hop."""
-    # The edges are made once, whatever the depth.
-    links = written(doubled(relationships).select("node", "other"), "links")
-    seen = starts.select("node").distinct().withColumn("depth", F.lit(0))
-    front = seen
+    # The edges are made once, whatever the depth, and stand there once; so does each hop, whose size then tells whether
+    # it is sent to every task or the edges to it.
+    links = doubled(written(relationships.select("source_ref", "target_ref"), "links")).select("node", "other")
+    front = written(starts.select("node").distinct().withColumn("depth", F.lit(0)), "hop")
+    seen = front
     for level in range(1, depth + 1):
-        front = front.select("node").join(links, "node").select(F.col("other").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(level))
+        reached = links.join(front.select("node"), "node", "left_semi").select(F.col("other").alias("node")).distinct()
+        front = written(reached.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(level)), "hop")
         seen = seen.unionByName(front)
     return seen
 

@@ -9,6 +9,7 @@ from signalcontext import query as q
 from signalcontext.functions import canon, ids
 from signalcontext.operators import graph as g
 from signalcontext.plans import queries as plans
+from signalcontext.shared import written
 
 plans.queries()
 
@@ -196,3 +197,24 @@ def test_budget_of_a_large_pack(spark):
     rows = spark.range(2_000_000).select(F.lit("p").alias("pack"), i.alias("place"), i, (i % 2).cast("string").alias("section"), F.lit(3).alias("bytes"), F.lit(1).alias("tokens"), (i % 10 == 0).alias("is_link"), F.lit(False).alias("required"))
     got = g.budget_rows(rows, "pack", 10**6, 10**6, 50, 5).groupBy().agg(F.sum("kept"), F.sum("dropped"), F.max(F.when(F.col("kept") > 0, i))).first()
     assert tuple(got) == (50 + 5, 2_000_000 - 55, 59)
+
+
+def test_edges_stand_once_however_far_a_search_goes(spark, monkeypatch):
+    """A search writes each edge once, not from both of its ends, and none where the edges lie in files."""
+    sizes = []
+
+    def watched(df, name):
+        out = written(df, name)
+        sizes.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(g, "written", watched)
+    edges = spark.createDataFrame([(f"e{i}", "k", f"n{i:03d}", f"n{i + 1:03d}") for i in range(40)], "id string, kind string, source_ref string, target_ref string")
+    assert {r.node: r.depth for r in g.reachable(edges, spark.createDataFrame([("n003",)], "node string"), 3).collect()} == {f"n{i:03d}": abs(i - 3) for i in range(7)}
+    assert [n for name, n in sizes if name == "links"] == [40]
+    sizes.clear()
+    want = {(f"n{i:03d}", abs(i - 3)) for i in range(1, 6)}
+    for stored, links in ((False, [40]), (True, [])):
+        sizes.clear()
+        assert {tuple(r) for r in g.traverse(edges, "n003", depth=2, stored=stored).nodes.collect()} == want
+        assert [n for name, n in sizes if name == "links"] == links
