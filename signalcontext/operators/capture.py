@@ -92,7 +92,7 @@ def capture(store: Snapshots, start: str, at: str, most_tlp: str | None = None,
         raise PlanRefused("the store has no entities or no relationships")
     planned(relationships, entities, start, most_tlp, depth, nodes, edges, fan_out)
     judged = lambda df: permitted(F.col("markings"), most_tlp) if most_tlp and "markings" in df.columns else F.lit(True)
-    found = traverse(relationships, start, depth, nodes, edges, fan_out, judged(relationships))
+    found = traverse(relationships, start, depth, nodes, edges, fan_out, judged(relationships), stored=True)
     seen = F.col("node").startswith("observable:")
     known = store.beside("entities", found.nodes.where(~seen).select(F.col("node").alias("id"))).withColumn("_ok", judged(entities))
     observables = found.nodes.where(seen).select(F.col("node").alias("key"), fingerprint(F.lit("observable")).alias("digest"), F.lit("active").alias("status"))
