@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: A task joins about so many lines with their orders.
+TASK_ROWS = 500_000
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -33,8 +37,13 @@ def relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, kind, source_ref, target_ref; each edge once."""
     c, s, n = (read(spark, sf_dir, t) for t in ("customer", "supplier", "nation"))
     lines = read(spark, sf_dir, "lineitem")
-    hosts = lines.select("l_suppkey", "l_partkey").distinct()
-    targets = lines.select("l_orderkey", "l_partkey").join(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "l_partkey").distinct()
+    # Many lines are dealt to tasks by their number; that of a file of lines stands in its footer.
+    tasks = lines.count() // TASK_ROWS
+    dealt = lambda df, *key: df.repartition(tasks, *key) if tasks > 8 else df
+    hosts = dealt(lines.select("l_suppkey", "l_partkey"), "l_suppkey", "l_partkey").distinct()
+    ordered = dealt(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
+    targets = dealt(lines.select("l_orderkey", "l_partkey"), "l_orderkey").join(ordered, F.col("l_orderkey") == F.col("o_orderkey"))
+    targets = dealt(targets.select("o_custkey", "l_partkey"), "o_custkey", "l_partkey").distinct()
     parts = [
         c.select(F.lit("located_at").alias("kind"), _ref("c", "c_custkey").alias("source_ref"), _ref("n", "c_nationkey").alias("target_ref")),
         s.select(F.lit("located_at").alias("kind"), _ref("s", "s_suppkey").alias("source_ref"), _ref("n", "s_nationkey").alias("target_ref")),

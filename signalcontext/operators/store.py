@@ -122,9 +122,10 @@ def upserted(stored: DataFrame, batch: DataFrame, key: str) -> DataFrame:
 
 
 def dangling(relationships: DataFrame, entities: DataFrame) -> DataFrame:
-    """id, end: edge ends that name no entity."""
+    """id, end: edge ends that name no entity.  A task holds its share of the entities' ids and no edges: these, with the
+    ends that very many of them have, pass by unsorted."""
     ends = relationships.select("id", F.explode(F.array("source_ref", "target_ref")).alias("end"))
-    return ends.join(entities.select(F.col("id").alias("end")), "end", "left_anti").select("id", "end")
+    return ends.join(entities.select(F.col("id").alias("end")).hint("shuffle_hash"), "end", "left_anti").select("id", "end")
 
 
 def quarantine_rollup(rejects: DataFrame, *key: str) -> DataFrame:

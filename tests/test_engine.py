@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from signalcontext import query as q
 from signalcontext.functions import canon, ids
 from signalcontext.operators import graph as g
+from signalcontext.operators.store import dangling as g_dangling
 from signalcontext.plans import queries as plans
 from signalcontext.shared import written
 
@@ -218,3 +219,12 @@ def test_edges_stand_once_however_far_a_search_goes(spark, monkeypatch):
         sizes.clear()
         assert {tuple(r) for r in g.traverse(edges, "n003", depth=2, stored=stored).nodes.collect()} == want
         assert [n for name, n in sizes if name == "links"] == links
+
+
+def test_dangling_ends_are_not_sorted(spark):
+    """A node of very many edges is met by hashing the entities, so no task orders its edges."""
+    edges = spark.range(2000).selectExpr("concat('e', id) as id", "concat('c', id) as source_ref", "'hub' as target_ref")
+    got = g_dangling(edges, spark.range(0, 2000, 2).selectExpr("concat('c', id) as id"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan and "ShuffledHashJoin" in plan
+    assert sorted(tuple(r) for r in got.collect()) == sorted([(f"e{i}", f"c{i}") for i in range(1, 2000, 2)] + [(f"e{i}", "hub") for i in range(2000)])
